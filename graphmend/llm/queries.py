@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_simhash import op1_simhash
+from .op2_packing import op2_packing
+from .op6_store import op6_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_packing": op2_packing,
+    "op6_store": op6_store,
 }
 
 ORACLES: dict[str, str] = {}
