@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .op1_simhash import op1_simhash
 from .op2_packing import op2_packing
 from .op6_store import op6_store
+from .op9_winnow import ORACLE as OP9_SQL
+from .op9_winnow import op9_winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op6_store": op6_store,
+    "op9_winnow": op9_winnow,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_winnow": OP9_SQL,
+}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,24 @@ def own_name(df: DataFrame, name: str) -> str:
 def text_of(column: str):
     """A string column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def each_text(
+    docs: DataFrame, text_col: str, carry: list[str], fields: str, make: Callable[[], Callable[[list], list[pa.Array]]]
+) -> DataFrame:
+    """Columns ``carry`` of each row as the struct ``carried``, and new ``fields`` made from its text.
+
+    ``make`` runs once a task and gives the function from a batch of texts (null stays None) to one array a field. Rows
+    stay where they are: no shuffle. The struct keeps carried names apart from the new ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, names = make(), None
+        for batch in batches:
+            made = work(batch.column(1).to_pylist())
+            names = ["carried", *(f"f{i}" for i in range(len(made)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
+
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"), F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["carried"].dataType.simpleString()
+    return source.mapInArrow(run, f"carried {kind}, {fields}")
