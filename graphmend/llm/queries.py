@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_simhash import op1_simhash
+from .op10_shards import op10_shards
 from .op2_packing import op2_packing
+from .op3_quality import op3_quality
 from .op6_store import op6_store
 from .op9_winnow import ORACLE as OP9_SQL
 from .op9_winnow import op9_winnow
@@ -15,8 +17,10 @@ from .op9_winnow import op9_winnow
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
     "op6_store": op6_store,
     "op9_winnow": op9_winnow,
+    "op10_shards": op10_shards,
 }
 
 ORACLES: dict[str, str] = {
