@@ -10,7 +10,10 @@ from .op1_simhash import op1_simhash
 from .op10_shards import op10_shards
 from .op2_packing import op2_packing
 from .op3_quality import op3_quality
+from .op4_warc import ORACLE as OP4_SQL
+from .op4_warc import op4_warc
 from .op6_store import op6_store
+from .op7_secrets import op7_secrets
 from .op9_winnow import ORACLE as OP9_SQL
 from .op9_winnow import op9_winnow
 
@@ -18,11 +21,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
     "op6_store": op6_store,
+    "op7_secrets": op7_secrets,
     "op9_winnow": op9_winnow,
     "op10_shards": op10_shards,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc": OP4_SQL,
     "op9_winnow": OP9_SQL,
 }
