@@ -17,6 +17,9 @@ CACHE_WORDS = 600_000
 #: Words that one call to the library encodes at a time.
 JOINED = 400
 
+#: Characters whose words are held at a time.
+SLICE_CHARS = 1 << 20
+
 #: Letters that normalisation and lowering keep letters.
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
@@ -91,6 +94,17 @@ class Encoder:
         return {k: before(k) + ids for k, ids in learnt.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; words are cut for about ``SLICE_CHARS`` characters of texts at a time."""
+        out: list[bytes] = []
+        start = held = 0
+        for end, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= SLICE_CHARS or end == len(texts):
+                out += self._encode(texts[start:end])
+                start, held = end, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         get, tails = self.cache.get, self.tail_ids
         rows: list[tuple[list, list] | None] = []
         need: set[str] = set()
