@@ -12,8 +12,10 @@ from .op2_packing import op2_packing
 from .op3_quality import op3_quality
 from .op4_warc import ORACLE as OP4_SQL
 from .op4_warc import op4_warc
+from .op5_pii import op5_pii
 from .op6_store import op6_store
 from .op7_secrets import op7_secrets
+from .op8_counts import op8_counts
 from .op9_winnow import ORACLE as OP9_SQL
 from .op9_winnow import op9_winnow
 
@@ -22,8 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
+    "op5_pii": op5_pii,
     "op6_store": op6_store,
     "op7_secrets": op7_secrets,
+    "op8_counts": op8_counts,
     "op9_winnow": op9_winnow,
     "op10_shards": op10_shards,
 }
