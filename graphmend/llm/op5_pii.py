@@ -3,7 +3,7 @@ r"""Personal data with offset-preserving deobfuscation.
 Base kinds are matched in the text as it is. Then transducers rewrite a copy of the text and keep, for every character
 of the copy, the source span it stands for: look-alike and full-width signs become ASCII and invisible ones go, runs of
 spelled digits become digits, bracketed or spelled at/dot disguises become signs. The same detectors run on the copy,
-and what they find maps back to source characters. A mapped span counts unless a base span of its kind overlaps it.
+and what they find maps back to source characters. A mapped span counts unless a base span of its kind holds all of it.
 
 Results for odd input: null and empty texts have no spans; texts that no transducer changes have base spans only; long
 texts are handled whole, in time linear in their length; repeated rows are documents of their own; an empty table gives
@@ -200,7 +200,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int, bool]]:
             while at < len(own) and own[at][1] <= start:
                 at += 1
             places[k] = at
-            if at == len(own) or own[at][0] >= end:
+            if at == len(own) or own[at][0] > start or own[at][1] < end:
                 more.append((k, start, end))
     return sorted([(*s, True) for s in base] + [(*s, False) for s in more])
 
