@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle_base import labels
+from .oracle_base import RECORDS, labels
 
 _COVERAGE = """
 select case when in_registry then family else 'missing_registry' end family, count(*) total,
@@ -15,7 +15,148 @@ from f group by 1"""
 
 _told = lambda c: f"string_agg({c}::varchar, ',' order by constraint_id)"
 
+_BIN = """case when n <= 0 then '0' when n <= 32 then '1-32' when n <= 64 then '33-64' when n <= 83 then '65-83' when n <= 107 then '84-107'
+  when n = 108 then '108' when n <= 160 then '109-160' when n <= 267 then '161-267' else '268+' end"""
+_SIZES = f"""{RECORDS},
+sizes as (select violation_id, split, constraint_type, n, {_BIN} bin
+  from (select violation_id, count(*) n from cl group by 1) join v using (violation_id)),
+sampled as (select * from (
+  select *, row_number() over (partition by split, constraint_type, bin order by md5('42-' || violation_id), violation_id) rn,
+    count(*) over (partition by split, constraint_type, bin) total from sizes)
+  where rn <= least(total, greatest(1, round_even(total * 0.5, 0))))"""
+
+
+def _closure(name: str) -> str:
+    return f"""with {RECORDS}
+select violation_id, count(*) attached, md5(string_agg(constraint_id::varchar, ',' order by constraint_id)) ids_md5 from {name} group by 1"""
+
+
+_SLOTS = ("add_s", "add_p", "add_o", "del_s", "del_p", "del_o")
+_EDIT = ("add_subject", "add_predicate", "add_object", "del_subject", "del_predicate", "del_object")
+_GOLD = ", ".join(f"{e} {s}" for e, s in zip(_EDIT, _SLOTS, strict=True))
+_FOCUS = ", ".join(f"{x}::bigint {s}" for x, s in zip((0, 0, 0, 1, 2, 3), _SLOTS, strict=True))
+
+
+def _majority(key: str) -> str:
+    modes = ", ".join(
+        f"(select arg_max({e}, (n, -{e})) from (select {e}, count(*) n from v t where t.split = 'train' and t.{key} = r.{key} group by 1)) {s}"
+        for e, s in zip(_EDIT, _SLOTS, strict=True)
+    )
+    whole = ", ".join(
+        f"(select arg_max({e}, (n, -{e})) from (select {e}, count(*) n from v t where t.split = 'train' group by 1)) g_{s}"
+        for e, s in zip(_EDIT, _SLOTS, strict=True)
+    )
+    both = ", ".join(f"coalesce({s}, g_{s})::bigint {s}" for s in _SLOTS)
+    return f"""with {RECORDS}, m as (select r.{key} mk, {modes} from (select distinct {key} from v) r), g as (select {whole})
+select violation_id, {both} from v left join m on mk = {key}, g"""
+
+
+_PREDICTED = f"""{RECORDS},
+g as (select violation_id, constraint_type, {_GOLD} from v),
+pr as (select violation_id, constraint_type, {', '.join(f"case when violation_id % 5 = 0 then {x} else {s} end {s}" for x, s in zip((0, 0, 0, 1, 2, 3), _SLOTS, strict=True))} from g),
+act as (
+  select violation_id, g.constraint_type, a action,
+    case when a = 'add' and pr.add_s <> 0 and pr.add_p <> 0 and pr.add_o <> 0 then [pr.add_s, pr.add_p, pr.add_o]
+      when a = 'del' and pr.del_s <> 0 and pr.del_p <> 0 and pr.del_o <> 0 then [pr.del_s, pr.del_p, pr.del_o] end predicted,
+    case when a = 'add' and g.add_s <> 0 and g.add_p <> 0 and g.add_o <> 0 then [g.add_s, g.add_p, g.add_o]
+      when a = 'del' and g.del_s <> 0 and g.del_p <> 0 and g.del_o <> 0 then [g.del_s, g.del_p, g.del_o] end gold
+  from g join pr using (violation_id), (values ('add'), ('del')) t(a)),
+hits as (select *, coalesce(predicted = gold, false) hit from act)"""
+_PRF = """select *, coalesce(tp / nullif(tp + fp, 0), 0) "precision", coalesce(tp / nullif(tp + fn, 0), 0) recall,
+  coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) f1 from"""
+_SUMS = """count(*) filter (where hit) tp, count(*) filter (where predicted is not null and not hit) fp,
+  count(*) filter (where gold is not null and not hit) fn"""
+
+
+def _fits(value: str, *roles: str) -> str:
+    """Whether a triple's parts are the roles' placeholders or ids."""
+    order = ("subject", "predicate", "object", "other_subject", "other_predicate", "other_object")
+    return " and ".join(f"({value}[{i}] = {order.index(r) + 1} or ({r} <> 0 and {value}[{i}] = {r}))" for i, r in enumerate(roles, 1))
+
+
+_RIVAL = "other_subject <> 0 and other_object <> 0 and other_predicate = predicate and other_object = object and other_subject <> subject"
+_MIXED = "constraint_type in ('conflictWith', 'single', 'oneOf') and other_subject <> 0 and other_subject = subject and other_predicate <> 0"
+_PAR = lambda kind, test: f"exists (select 1 from def d where d.constraint_id = r.constraint_id and d.parameter = '{kind}' and {test})"
+_OUTCOME = f"""{_PREDICTED},
+fixed as (
+  select violation_id, r.constraint_type, action, case
+    when predicted is null then case when gold is null then 'exact' else 'missing_prediction' end when hit then 'exact'
+    when action = 'del' and (({_fits('predicted', 'subject', 'predicate', 'object')})
+      or (other_predicate <> 0 and {_fits('predicted', 'other_subject', 'other_predicate', 'other_object')})
+      or (constraint_type = 'distinct' and {_RIVAL} and {_fits('predicted', 'other_subject', 'predicate', 'object')})
+      or ({_MIXED} and other_predicate = predicate and {_fits('predicted', 'subject', 'predicate', 'other_object')})
+      or ({_MIXED} and {_fits('predicted', 'subject', 'other_predicate', 'object')})
+      or ({_MIXED} and {_fits('predicted', 'subject', 'other_predicate', 'other_object')})
+      or (constraint_type in ('conflictWith', 'single', 'oneOf') and {_RIVAL} and {_fits('predicted', 'other_subject', 'predicate', 'object')}))
+      then 'alternative_fix'
+    when action = 'add' and case constraint_type
+      when 'oneOf' then (predicted[1] in (1, subject)) and predicted[2] in (2, predicate) and {_PAR('P2305', 'd.value = predicted[3]')}
+      when 'type' then predicted[1] in (1, subject) and predicted[2] = 106 and {_PAR('P2308', 'd.value = predicted[3]')}
+      when 'valueType' then predicted[1] in (3, object) and predicted[2] = 106 and {_PAR('P2308', 'd.value = predicted[3]')}
+      when 'itemRequiresStatement' then predicted[1] in (1, subject) and {_PAR('P2306', 'd.value = predicted[2]')}
+      when 'valueRequiresStatement' then predicted[1] in (3, object) and {_PAR('P2306', 'd.value = predicted[2]')}
+      when 'inverse' then predicted[1] in (3, object) and predicted[3] in (1, subject) and {_PAR('P1696', 'd.value = predicted[2]')}
+      else false end then 'alternative_fix'
+    else 'no_fix' end outcome
+  from hits join v r using (violation_id, constraint_type))"""
+_KINDS = ("exact", "alternative_fix", "missing_prediction", "no_fix")
+_ROLE = lambda c: "case {0} when 1 then subject when 2 then predicate when 3 then object when 4 then other_subject when 5 then other_predicate when 6 then other_object else {0} end".format(c)
+
 ORACLES: dict[str, str] = {
+    "local_closure": _closure("cl"),
+    "focus_closure": _closure("cf"),
+    "attached_hist": f"""with {_SIZES} select split, n attached, count(*) records from sizes group by 1, 2
+union all select 'all', n, count(*) from sizes group by n""",
+    "attached_summary": f"""with {_SIZES} select split, min(n) least, quantile_disc(n, 0.5) median, avg(n) mean, quantile_disc(n, 0.95) p95, max(n) most
+from sizes group by 1""",
+    "stratified_sample": f"with {_SIZES} select violation_id, split, constraint_type, bin from sampled",
+    "sampling_report": f"""with {_SIZES} select a.*, coalesce(b.sampled, 0) sampled, coalesce(b.sampled, 0) / source realised from (
+  select split, constraint_type, bin, count(*) source from sizes group by all) a
+  left join (select split, constraint_type, bin, count(*) sampled from sampled group by all) b using (split, constraint_type, bin)""",
+    "support_by_split": f"""with {labels()}, r as (
+  select split, violation_id, count(*) n, count(*) filter (where supported) good, count(*) filter (where in_registry and not supported) bad,
+    count(*) filter (where not in_registry) gone, bool_or(is_primary and supported) p_good, bool_or(is_primary and not in_registry) p_gone,
+    bool_or(is_primary and supported and family <> constraint_type) p_other from f group by all)
+select *, supported / factors supported_rate, with_supported / records with_supported_rate from (
+  select split, count(*) records, sum(n)::bigint factors, sum(good)::bigint supported, sum(bad)::bigint unsupported, sum(gone)::bigint missing,
+    count(*) filter (where good > 0) with_supported, count(*) filter (where good = 0) without_supported,
+    count(*) filter (where good = 0 and bad > 0) only_unsupported, count(*) filter (where p_good) primary_supported,
+    count(*) filter (where p_gone) primary_missing, count(*) filter (where p_other) primary_family_mismatch from r group by 1)""",
+    "family_occurrences": f"""with {labels()} select family, supported, count(*) occurrences, count(distinct violation_id) records,
+  count(*) / (select count(*) from f) share from f where in_registry group by all""",
+    "missing_registry_ids": f"""with {labels()} select constraint_id, count(*) occurrences, count(*) filter (where is_primary) as_primary
+from f where not in_registry group by 1""",
+    "support_histogram": f"""with {labels()}, r as (select violation_id, count(*) total, count(*) filter (where supported) supported,
+  count(*) filter (where in_registry and not supported) unsupported from f group by 1)
+select 'total' kind, total factors, count(*) records from r group by 2 union all select 'supported', supported, count(*) from r group by 2
+union all select 'unsupported', unsupported, count(*) from r group by 2""",
+    "baseline_delete_focus": f"with {RECORDS} select violation_id, {_FOCUS} from v",
+    "baseline_add_mirror": f"""with {RECORDS} select violation_id, case constraint_type when 'inverse' then 3 else 0 end::bigint add_s,
+  case constraint_type when 'inverse' then 109 else 0 end::bigint add_p, case constraint_type when 'inverse' then 1 else 0 end::bigint add_o,
+  0::bigint del_s, 0::bigint del_p, 0::bigint del_o from v""",
+    "baseline_majority_definition": _majority("constraint_id"),
+    "baseline_majority_family": _majority("constraint_type"),
+    "fidelity_micro": f"""with {_PREDICTED} {_PRF} (select case when grouping(constraint_type) = 1 then 'all' else constraint_type end constraint_type,
+  case when grouping(action) = 1 then 'all' else action end action, {_SUMS} from hits group by cube (constraint_type, action))""",
+    "fidelity_macro": f"""with {_PREDICTED}, per as ({_PRF} (select constraint_type, action, {_SUMS} from hits group by all)),
+micro as ({_PRF} (select constraint_type, {_SUMS} from hits group by all))
+select constraint_type, avg("precision") "precision", avg(recall) recall, avg(f1) f1 from per where tp + fp + fn > 0 group by 1
+union all select 'all', avg("precision"), avg(recall), avg(f1) from micro where tp + fp + fn > 0""",
+    "repair_outcomes": f"with {_OUTCOME} select violation_id, action, outcome from fixed",
+    "repair_rates": f"""with {_OUTCOME} select *, {', '.join(f"{k} / total {k}_rate" for k in _KINDS)} from (
+  select coalesce(constraint_type, 'all') constraint_type, coalesce(action, 'all') action, count(*) total,
+    {', '.join(f"count(*) filter (where outcome = '{k}') {k}" for k in _KINDS)} from fixed
+  group by grouping sets ((), (action), (constraint_type, action)))""",
+    "primary_fix": f"""with {_OUTCOME} select *, fixed / total primary_fix_rate from (
+  select constraint_type, count(*) total, count(*) filter (where outcome in ('exact', 'alternative_fix')) fixed from fixed group by 1)""",
+    "policy_labels": f"""with {RECORDS}, e as (select constraint_type, subject, predicate, object, other_subject, other_predicate, other_object,
+  {', '.join(f"{_ROLE(c)} {s}" for c, s in zip(_EDIT, _SLOTS, strict=True))} from v),
+l as (select constraint_type, case when least(add_s, add_p, add_o) = 0 and least(del_s, del_p, del_o) = 0 then 'NOOP'
+  when del_s <> 0 and (del_s, del_p, del_o) = (subject, predicate, object) then 'DELETE_FOCUS'
+  when del_s <> 0 and other_predicate <> 0 and (del_s, del_p, del_o) = (other_subject, other_predicate, other_object) then 'DELETE_CONFLICT'
+  when add_s <> 0 and add_p = predicate then 'ADD_TO_FOCUS_PREDICATE' when add_s <> 0 and add_s = subject then 'CHANGE_PREDICATE'
+  else 'OTHER' end "policy" from e)
+select constraint_type, "policy", count(*) records from l group by all""",
     "coverage_local": f"with {labels()} {_COVERAGE}",
     "coverage_focus": f"with {labels(scope='focus')} {_COVERAGE}",
     "coverage_open_world": f"with {labels(closed=False)} {_COVERAGE}",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmend.operators import labels
+from graphmend.operators import baselines, labels, metrics, patterns, profile
+from graphmend.operators.evidence import resolved
 from graphmend.operators.registry import instances
 from graphmend.sources.violations import definitions, violations
 
@@ -35,6 +36,53 @@ def factor_labels_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("violation_id", *map(told, lists), "num_checkable_pre", "num_checkable_post", "coverage_pre", "coverage_post")
 
 
+def told(ids: str) -> Column:
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+
+
+def closures(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ids = f"local_constraint_ids{name}"
+    return violations(spark, sf_dir).select("violation_id", F.size(ids).cast("long").alias("attached"), F.md5(told(ids).cast("binary")).alias("ids_md5"))
+
+
+def inverses(spark: SparkSession) -> DataFrame:
+    """(property, inverse): the inverse properties that the definitions name."""
+    return definitions(spark).where("parameter = 'P1696'").groupBy("property").agg(F.min("value").alias("inverse"))
+
+
+def suite(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return baselines.suite(violations(spark, sf_dir), inverses(spark)).where(F.col("baseline") == name).drop("baseline")
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = violations(spark, sf_dir)
+    predicted = baselines.predictions(records).where("variant = 'normal'").drop("variant")
+    return metrics.by_action(predicted, baselines.gold(records))
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = patterns.with_patterns(violations(spark, sf_dir), instances(definitions(spark)))
+    return metrics.outcomes(actions(spark, sf_dir), known)
+
+
+def policy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = violations(spark, sf_dir)
+    name = patterns.policy([resolved(F.col(c)) for c in labels.EDIT])
+    return records.groupBy("constraint_type", name.alias("policy")).agg(F.count("*").alias("records"))
+
+
+def _suite(name: str) -> Query:
+    return lambda spark, sf: suite(spark, sf, name)
+
+
+def _records(work: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: work(violations(spark, sf))
+
+
+def _labels(work: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: work(labelled(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     "coverage_local": _coverage(),
     "coverage_focus": _coverage("focus"),
@@ -43,5 +91,25 @@ QUERIES: dict[str, Query] = {
     "factor_labels_arrays": factor_labels_arrays,
     "filter_stats": lambda spark, sf: labels.filter_stats(labelled(spark, sf)),
     "filter_families": lambda spark, sf: labels.filter_families(labelled(spark, sf)),
+    "local_closure": lambda spark, sf: closures(spark, sf, ""),
+    "focus_closure": lambda spark, sf: closures(spark, sf, "_focus"),
+    "attached_hist": _records(profile.histogram),
+    "attached_summary": _records(profile.summary),
+    "stratified_sample": _records(profile.stratified_sample),
+    "sampling_report": _records(profile.sampling_report),
+    "support_by_split": _labels(profile.support_by_split),
+    "family_occurrences": _labels(profile.family_occurrences),
+    "missing_registry_ids": _labels(profile.missing_ids),
+    "support_histogram": _labels(profile.support_histogram),
+    "baseline_delete_focus": _suite("delete_focus"),
+    "baseline_add_mirror": _suite("add_mirror"),
+    "baseline_majority_definition": _suite("majority_definition"),
+    "baseline_majority_family": _suite("majority_family"),
+    "fidelity_micro": lambda spark, sf: metrics.fidelity(actions(spark, sf)),
+    "fidelity_macro": lambda spark, sf: metrics.macro(actions(spark, sf)),
+    "repair_outcomes": lambda spark, sf: outcomes(spark, sf).select("violation_id", "action", "outcome"),
+    "repair_rates": lambda spark, sf: metrics.outcome_rates(outcomes(spark, sf)),
+    "primary_fix": lambda spark, sf: metrics.primary_fix(outcomes(spark, sf)),
+    "policy_labels": policy_labels,
     "label_invariants": lambda spark, sf: labels.invariants(labelled(spark, sf)),
 }
