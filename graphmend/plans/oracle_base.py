@@ -73,8 +73,21 @@ cf as (
   union select violation_id, constraint_id from v)"""
 
 
-def labels(closed: bool = True, scope: str = "local") -> str:
-    """Common table expressions up to ``f``: a row per record and attached constraint with its four flags."""
+#: Slots of candidates that need no model, as SQL for the six edit columns.
+DELETE_FOCUS = " 0 add_subject, 0 add_predicate, 0 add_object, 1 del_subject, 2 del_predicate, 3 del_object"
+ADD_MIRROR = """ case k when 2 then 3 else 0 end add_subject, case k when 2 then 109 else 0 end add_predicate,
+  case k when 2 then 1 else 0 end add_object, 0 del_subject, 0 del_predicate, 0 del_object"""
+
+
+def labels(closed: bool = True, scope: str = "local", edit: str | None = None) -> str:
+    """Common table expressions up to ``f``: a row per record and attached constraint with its four flags.
+
+    ``edit`` replaces the historical edit.
+    """
+    return _labels(closed, scope) if edit is None else _labels(closed, scope).replace(_EDIT, edit)
+
+
+def _labels(closed: bool, scope: str) -> str:
     attached = "cl" if scope == "local" else "cf"
     role = lambda c: "case {0} when 1 then subject when 2 then predicate when 3 then object when 4 then other_subject when 5 then other_predicate when 6 then other_object else {0} end".format(c)
     edit = lambda a: f"select violation_id, '{a}' act, {role(a + '_subject')} e, {role(a + '_predicate')} p, {role(a + '_object')} v from v"
@@ -180,3 +193,31 @@ f as (
   from {attached} a join v r using (violation_id) left join entry e on e.constraint_id = a.constraint_id
     left join j x on x.violation_id = a.violation_id and x.constraint_id = a.constraint_id and x.st = 'pre'
     left join j y on y.violation_id = a.violation_id and y.constraint_id = a.constraint_id and y.st = 'post')"""
+
+
+def evaluated(edits: dict[int, str | None]) -> str:
+    """A row per record and candidate, by number; each candidate's labels come from a query of their own."""
+    focus = lambda st: f"exists (select 1 from state t where t.violation_id = v.violation_id and t.st = '{st}' and t.e = subject and t.p = predicate and t.v = object)"
+    role = lambda c: "case {0} when 1 then subject when 2 then predicate when 3 then object when 4 then other_subject when 5 then other_predicate when 6 then other_object else {0} end".format(c)
+    gold = f"(with {labels()} select violation_id, constraint_id, checkable_post gc, satisfied_post gs from f)"
+    one = lambda i, e: f"""select {i} idx, z.*, c.* exclude (violation_id) from (with {labels(edit=e)}
+  select violation_id, constraint_type, (least(add_subject, add_predicate, add_object) <> 0)::bigint add_count,
+    (least(del_subject, del_predicate, del_object) <> 0)::bigint del_count, {focus('pre')} pre_focus, {focus('post')} post_focus,
+    {role('del_subject')} = subject and {role('del_predicate')} = predicate and {role('del_object')} = object deletes_focus from v) z
+  join (select violation_id, count(*) filter (where checkable_pre) checkable_pre, sum(satisfied_pre)::bigint satisfied_pre,
+      count(*) filter (where checkable_post) checkable_post, sum(satisfied_post)::bigint satisfied_post,
+      sum(satisfied_post) filter (where is_primary)::bigint primary_satisfied,
+      count(*) filter (where b and satisfied_pre = 1 and satisfied_post = 0) regressions, count(*) filter (where b and satisfied_pre = 1) regressions_denom,
+      count(*) filter (where b and satisfied_pre = 0 and satisfied_post = 1) improvements, count(*) filter (where b and satisfied_pre = 0) improvements_denom,
+      count(*) filter (where t and satisfied_post = 0) gold_regressions, count(*) filter (where t) gold_regressions_denom
+    from (select f.*, not is_primary and checkable_pre and checkable_post b, not is_primary and gc and gs = 1 and checkable_post t
+      from (with {labels(edit=e)} select * from f) f join {gold} g using (violation_id, constraint_id))
+    group by 1) c using (violation_id)"""
+    rows = " union all ".join(one(i, e) for i, e in edits.items())
+    return f"""(select *, focus_preserved and primary_satisfied = 1 non_vacuous_fix, focus_deleted and post_fraction > pre_fraction vacuous_improvement,
+  safe and focus_preserved non_vacuous_safe from (
+  select *, primary_satisfied = 1 and regressions = 0 and post_fraction >= pre_fraction and ops <= 2 safe from (
+  select *, coalesce(satisfied_pre / nullif(checkable_pre, 0), 0) pre_fraction, coalesce(satisfied_post / nullif(checkable_post, 0), 0) post_fraction,
+    coalesce(regressions / nullif(regressions_denom, 0), 0) srr, coalesce(improvements / nullif(improvements_denom, 0), 0) sir,
+    coalesce(gold_regressions / nullif(gold_regressions_denom, 0), 0) gold_srr, add_count + del_count ops,
+    pre_focus and post_focus focus_preserved, pre_focus and not post_focus focus_deleted from ({rows}))))"""

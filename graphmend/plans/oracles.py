@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle_base import RECORDS, labels
+from .oracle_base import ADD_MIRROR, DELETE_FOCUS, RECORDS, evaluated, labels
 
 _COVERAGE = """
 select case when in_registry then family else 'missing_registry' end family, count(*) total,
@@ -102,7 +102,108 @@ fixed as (
 _KINDS = ("exact", "alternative_fix", "missing_prediction", "no_fix")
 _ROLE = lambda c: "case {0} when 1 then subject when 2 then predicate when 3 then object when 4 then other_subject when 5 then other_predicate when 6 then other_object else {0} end".format(c)
 
+_EVALUATED = evaluated({0: None, 1: DELETE_FOCUS, 2: ADD_MIRROR})
+_COLUMNS = """violation_id, constraint_type, idx, add_count, del_count, pre_focus, post_focus, deletes_focus, checkable_pre, satisfied_pre,
+  checkable_post, satisfied_post, primary_satisfied, regressions, regressions_denom, improvements, improvements_denom, gold_regressions,
+  gold_regressions_denom, pre_fraction, post_fraction, srr, sir, gold_srr, ops, focus_preserved, focus_deleted, non_vacuous_fix,
+  vacuous_improvement, safe, non_vacuous_safe"""
+_GLOBAL = """count(*) records, avg(post_fraction) gfr, avg(srr) srr, avg(sir) sir, avg(ops) disruption, sum(regressions)::bigint regressions,
+  sum(regressions_denom)::bigint regressions_denom, sum(improvements)::bigint improvements, sum(improvements_denom)::bigint improvements_denom,
+  avg(primary_satisfied) primary_satisfied_rate, avg(focus_preserved::int) focus_preserved_rate, avg(focus_deleted::int) focus_deleted_rate,
+  avg(deletes_focus::int) deletes_focus_rate, avg(non_vacuous_fix::int) non_vacuous_fix_rate, avg(vacuous_improvement::int) vacuous_improvement_rate"""
+_CHOICE = f"""ev as (select *, (violation_id * 7 + idx * 5) % 11 / 11 score from {_EVALUATED}),
+pick as (
+  select a.violation_id, oracle_idx, non_vacuous_idx, selected_idx from (
+    select violation_id, idx oracle_idx from ev qualify row_number() over (partition by violation_id
+      order by primary_satisfied desc, (regressions = 0) desc, post_fraction desc, ops, srr, score desc, idx) = 1) a
+  join (select violation_id, idx selected_idx from ev qualify row_number() over (partition by violation_id order by score desc, idx) = 1) b using (violation_id)
+  left join (select violation_id, idx non_vacuous_idx from ev where non_vacuous_safe qualify row_number() over (partition by violation_id
+      order by post_fraction desc, ops, srr, score desc, idx) = 1) c using (violation_id))"""
+_MEANS = ("primary_satisfied", "post_fraction", "ops", "safe", "non_vacuous_safe", "focus_preserved")
+_SCORES = """slots as (select violation_id, slot, id, (violation_id * 31 + slot * 17 + id * 7) % 1000 / 1000 score
+  from v, range(6) t(slot), unnest([0, 1, 2, 3, subject, predicate, object, 109]) u(id)),
+top as (select *, row_number() over (partition by violation_id, slot order by score desc, id) "rank" from slots
+  qualify row_number() over (partition by violation_id, slot order by score desc, id) <= 5)"""
+_FACTOR_SCORES = f"""{labels()}, fs as (
+  select violation_id, split, constraint_type, constraint_id, is_primary, family, 'pre' state, checkable_pre checkable, satisfied_pre label,
+    (violation_id * 13 + constraint_id * 29) % 997 / 997 score from f where supported
+  union all select violation_id, split, constraint_type, constraint_id, is_primary, family, 'post', checkable_post, satisfied_post,
+    (violation_id * 13 + constraint_id * 29 + 1) % 997 / 997 from f where supported)"""
+_CLASS = """count(*) support, count(*) filter (where label = 1) / count(*) positive_rate,
+  count(*) filter (where (label = 1) = (score >= 0.5)) / count(*) accuracy,
+  coalesce(count(*) filter (where label = 1 and score >= 0.5) / nullif(count(*) filter (where score >= 0.5), 0), 0) "precision",
+  coalesce(count(*) filter (where label = 1 and score >= 0.5) / nullif(count(*) filter (where label = 1), 0), 0) recall,
+  coalesce(2 * count(*) filter (where label = 1 and score >= 0.5) / nullif(count(*) filter (where label = 1) + count(*) filter (where score >= 0.5), 0), 0) f1"""
+_DENSITY = """case when n <= 0 then '0' when n = 1 then '1' when n <= 4 then '2_4' when n <= 16 then '5_16' when n <= 64 then '17_64' else '65_plus' end"""
+_VARIANTS = f"""{RECORDS}, g as (select violation_id, constraint_type, {_GOLD} from v),
+pv as (select t.variant, g.*, {', '.join(f"case when variant <> 'normal' and violation_id % 3 = 0 then case variant when 'none' then {x} else 0 end when violation_id % 5 = 0 and variant = 'normal' then {x} when variant <> 'normal' and violation_id % 3 <> 0 and violation_id % 5 = 0 then {x} else {s} end p_{s}" for x, s in zip((0, 0, 0, 1, 2, 3), _SLOTS, strict=True))}
+  from g, (values ('normal'), ('none'), ('primary')) t(variant)),
+va as (select variant, violation_id, constraint_type, a action,
+  case when a = 'add' and least(p_add_s, p_add_p, p_add_o) <> 0 then [p_add_s, p_add_p, p_add_o]
+    when a = 'del' and least(p_del_s, p_del_p, p_del_o) <> 0 then [p_del_s, p_del_p, p_del_o] end predicted,
+  case when a = 'add' and least(add_s, add_p, add_o) <> 0 then [add_s, add_p, add_o] when a = 'del' and least(del_s, del_p, del_o) <> 0 then [del_s, del_p, del_o] end gold
+  from pv, (values ('add'), ('del')) t(a))"""
+_CHANGED = " + ".join(f"(a.p_{s} <> b.p_{s})::int" for s in _SLOTS)
+
 ORACLES: dict[str, str] = {
+    "slot_topk": f"with {RECORDS}, {_SCORES} select violation_id, slot, id, score, \"rank\" from top",
+    "triple_topk": f"""with {RECORDS}, {_SCORES}, grid as (
+  select a.violation_id, act action, a.id s, b.id p, c.id as o, a.score + b.score + c.score score, row_number() over (
+    partition by a.violation_id, act order by a.score + b.score + c.score desc, a."rank", b."rank", c."rank") "rank"
+  from (values ('add', 0), ('del', 3)) t(act, k) join top a on a.slot = k join top b on b.violation_id = a.violation_id and b.slot = k + 1
+    join top c on c.violation_id = a.violation_id and c.slot = k + 2)
+select * from grid where "rank" <= 20""",
+    "candidate_metrics": f"select {_COLUMNS} from {_EVALUATED}",
+    "oracle_choice": f"with {_CHOICE} select * from pick",
+    "oracle_report": f"""with {_CHOICE}, sz as (select violation_id, {_DENSITY} density from (with {RECORDS} select violation_id, count(*) n from cl group by 1)),
+r as (select p.*, density, s.constraint_type, {', '.join(f"{x}.{c} {n}_{c}" for x, n in (('s', 'selected'), ('o', 'oracle')) for c in (*_MEANS, 'regressions', 'regressions_denom', 'improvements', 'improvements_denom'))}
+  from pick p join ev s on s.violation_id = p.violation_id and s.idx = selected_idx join ev o on o.violation_id = p.violation_id and o.idx = oracle_idx
+    join sz on sz.violation_id = p.violation_id)
+select coalesce(density, 'all') density, coalesce(constraint_type, 'all') constraint_type, count(*) records,
+  {', '.join(f"avg({n}_{c}::double) {n}_{c}" for n in ('selected', 'oracle') for c in _MEANS)},
+  {', '.join(f"coalesce(sum({n}_{c}) / nullif(sum({n}_{c}_denom), 0), 0) {n}_pooled_{c}" for n in ('selected', 'oracle') for c in ('regressions', 'improvements'))},
+  avg((selected_idx = oracle_idx)::int) agreement, avg((non_vacuous_idx is not null)::int) has_non_vacuous
+from r group by grouping sets ((), (density), (constraint_type))""",
+    "deletion_degeneracy": f"""with g as (with {RECORDS} select violation_id, {_GOLD} from v), ev as (select * from {evaluated({0: None, 1: DELETE_FOCUS})})
+select coalesce(a.constraint_type, 'all') constraint_type, count(*) records, avg(((add_s, add_p, add_o, del_s, del_p, del_o) = (0, 0, 0, 1, 2, 3))::int) exact,
+  avg((a.primary_satisfied = b.primary_satisfied and a.regressions = b.regressions and a.improvements = b.improvements and a.ops = b.ops
+    and abs(a.post_fraction - b.post_fraction) <= 1e-9 and abs(a.srr - b.srr) <= 1e-9 and abs(a.sir - b.sir) <= 1e-9)::int) equivalent,
+  avg(a.focus_deleted::int) focus_deleted, avg(a.vacuous_improvement::int) vacuous_improvement
+from ev a join ev b on a.violation_id = b.violation_id and a.idx = 0 and b.idx = 1 join g on g.violation_id = a.violation_id group by rollup (a.constraint_type)""",
+    "global_metrics": f"select coalesce(constraint_type, 'all') constraint_type, {_GLOBAL} from {evaluated({0: None})} t group by rollup (constraint_type)",
+    "per_constraint_report": f"""with m as (with {_OUTCOME.replace(f"case when violation_id % 5 = 0 then", "case when true then")}
+  select a.*, primary_fix_rate from (select constraint_type, "precision", recall, f1 from ({_PRF} (select constraint_type, {_SUMS} from hits group by 1))) a
+  join (select constraint_type, count(*) filter (where outcome in ('exact', 'alternative_fix')) / count(*) primary_fix_rate from fixed group by 1) using (constraint_type)),
+w as (select constraint_type, {_GLOBAL} from {evaluated({1: DELETE_FOCUS})} t group by 1)
+select m.*, records, gfr, srr, sir, disruption, primary_fix_rate + (1 - srr) + f1 - 0.1 * disruption selection,
+  primary_fix_rate + (1 - srr) + f1 - 0.1 * ln(1 + disruption) selection_log, '' missing from m join w using (constraint_type)""",
+    "semantic_metrics": f"with {_FACTOR_SCORES} select state, family, {_CLASS} from fs where checkable group by all",
+    "auroc_auprc": f"""with {_FACTOR_SCORES}, ok as (select * from fs where checkable),
+t as (select state, family, score, count(*) filter (where label = 1) p, count(*) n from ok group by all),
+k as (select *, sum(p) over w tp, sum(n) over w seen from t window w as (partition by state, family order by score desc)),
+r as (select state, family, label, rank() over (partition by state, family order by score) + (count(*) over (partition by state, family, score) - 1) / 2 rk from ok),
+a as (select state, family, sum(label) p, count(*) - sum(label) q, sum(rk) filter (where label = 1) s from r group by all)
+select a.state, a.family, case when p > 0 and q > 0 then (s - p * (p + 1) / 2) / (p * q) end auroc,
+  case when p > 0 and q > 0 then (select sum(k.p * tp / seen) from k where k.state = a.state and k.family = a.family) / p end auprc from a""",
+    "ece": f"""with {_FACTOR_SCORES}, b as (select state, family, least(floor(score * 10), 9) bin, count(*) n, avg(((score >= 0.5) = (label = 1))::int) acc, avg(score) conf
+  from fs where checkable group by all)
+select state, family, sum(n * abs(acc - conf)) / sum(n) ece, sum(n)::bigint support from b group by all""",
+    "train_exposure": f"with {RECORDS} select cl.constraint_id, count(*) exposure from cl join v r using (violation_id) where r.split = 'train' group by 1",
+    "transfer_slices": f"""with {_FACTOR_SCORES}, e as (select cl.constraint_id, count(*) n from cl join v using (violation_id) where split = 'train' group by 1),
+x as (select fs.*, case when n is null then 'unseen' when n <= 10 then 'low_1_10' when n <= 100 then 'medium_11_100' else 'high_gt100' end exposure,
+  case when is_primary then 'primary' else 'secondary' end "role" from fs left join e using (constraint_id) where split = 'test')
+select state, exposure, "role", family, {_CLASS} from x where checkable group by all""",
+    "density_slices": f"""with {_FACTOR_SCORES}, d as (select violation_id, {_DENSITY} density from (select violation_id, count(*) n from cl group by 1))
+select state, density, family, constraint_type, {_CLASS} from fs join d using (violation_id) where checkable group by all""",
+    "variant_deltas": f"""with {_VARIANTS}, m as ({_PRF} (select variant, constraint_type, count(*) filter (where coalesce(predicted = gold, false)) tp,
+  count(*) filter (where predicted is not null and not coalesce(predicted = gold, false)) fp, count(*) filter (where gold is not null and not coalesce(predicted = gold, false)) fn
+  from va group by all))
+select a.variant, a.constraint_type, a."precision" - b."precision" delta_precision, a.recall - b.recall delta_recall, a.f1 - b.f1 delta_f1
+from m a join m b on a.constraint_type = b.constraint_type and b.variant = 'normal' where a.variant <> 'normal'""",
+    "prediction_change": f"""with {_VARIANTS} select variant, count(*) records, avg((c > 0)::int) changed_share, avg(c) / 6 slot_share, avg(c) mean_changed
+from (select a.variant, {_CHANGED} c from pv a join pv b using (violation_id) where b.variant = 'normal' and a.variant <> 'normal') group by 1""",
+    "slot_accuracy": f"""with {_PREDICTED} select g.constraint_type, count(*) records, {', '.join(f"avg((pr.{s} = g.{s})::int) acc_{s}" for s in _SLOTS)},
+  avg(({' and '.join(f"pr.{s} = g.{s}" for s in _SLOTS)})::int) acc_all from g join pr using (violation_id) group by 1""",
     "local_closure": _closure("cl"),
     "focus_closure": _closure("cf"),
     "attached_hist": f"""with {_SIZES} select split, n attached, count(*) records from sizes group by 1, 2

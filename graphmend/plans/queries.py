@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmend.operators import baselines, labels, metrics, patterns, profile
+from graphmend.operators import baselines, candidates, evaluate, labels, metrics, patterns, profile, scores
 from graphmend.operators.evidence import resolved
 from graphmend.operators.registry import instances
 from graphmend.sources.violations import definitions, violations
@@ -83,6 +83,102 @@ def _labels(work: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: work(labelled(spark, sf))
 
 
+def simple_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three candidates a record: the historical edit, delete-focus, add-mirror."""
+    records = violations(spark, sf_dir)
+    more = [baselines.delete_focus(records), baselines.add_mirror(records, inverses(spark))]
+    parts = [evaluate.gold_candidates(records), *(m.withColumn("idx", F.lit(i)) for i, m in enumerate(more, 1))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def evaluated(spark: SparkSession, sf_dir: str, only: int | None = None) -> DataFrame:
+    found = simple_candidates(spark, sf_dir)
+    found = found if only is None else found.where(F.col("idx") == only)
+    return evaluate.evaluate(found, violations(spark, sf_dir), instances(definitions(spark)))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluated candidates with stand-in scores."""
+    return evaluated(spark, sf_dir).withColumn("score", ((F.col("violation_id") * 7 + F.col("idx") * 5) % 11) / F.lit(11.0))
+
+
+def oracle_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir)
+    return evaluate.oracle_choice(rows).join(evaluate.selected(rows), "violation_id")
+
+
+def degeneracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = simple_candidates(spark, sf_dir)
+    rows = evaluated(spark, sf_dir).join(slots, ["violation_id", "idx"])
+    return evaluate.degeneracy(rows.where("idx = 0"), rows.where("idx = 1"))
+
+
+def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = patterns.with_patterns(violations(spark, sf_dir), instances(definitions(spark)))
+    return candidates.candidate_sets(records, candidates.triple_topk(candidates.slot_topk(candidates.slot_scores(records))))
+
+
+def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = candidate_sets(spark, sf_dir).groupBy("violation_id").agg(F.count("*").alias("candidates"), F.max_by("idx", "is_gold").alias("gold_idx"))
+    return rows.groupBy("candidates").agg(F.count("*").alias("records"))
+
+
+def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full candidate set, evaluated, with the summed slot scores, and its oracle choices."""
+    found = candidates.candidate_scores(candidate_sets(spark, sf_dir), candidates.slot_scores(violations(spark, sf_dir)))
+    rows = evaluate.evaluate(found, violations(spark, sf_dir), instances(definitions(spark))).join(found.select("violation_id", "idx", "score"), ["violation_id", "idx"])
+    return evaluate.oracle_report(rows, violations(spark, sf_dir))
+
+
+def fix_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = patterns.with_patterns(violations(spark, sf_dir), instances(definitions(spark)))
+    return candidates.fix_probability(records, candidates.slot_scores(records))
+
+
+def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.factor_scores(labelled(spark, sf_dir, policy="supported_only").where("supported"))
+
+
+def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = scores.exposure(violations(spark, sf_dir).where("split = 'train'"))
+    return scores.transfer_slices(factor_scores(spark, sf_dir).where("split = 'test'"), seen)
+
+
+def density_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = violations(spark, sf_dir).select("violation_id", evaluate.density_bucket(F.size("local_constraint_ids")).alias("density"))
+    return scores.classification(factor_scores(spark, sf_dir).join(size, "violation_id"), ["state", "density", "family", "constraint_type"])
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Micro figures of every prediction variant."""
+    records = violations(spark, sf_dir)
+    acts = metrics.by_action(baselines.predictions(records), baselines.gold(records))
+    return metrics.prf(acts.groupBy("variant", "constraint_type").agg(*metrics._hits()))
+
+
+def variant_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.variant_deltas(variants(spark, sf_dir), ["constraint_type"], ["precision", "recall", "f1"])
+
+
+def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per type: fidelity, primary fix and global metrics of delete-focus predictions, with the selection scores."""
+    records, known = violations(spark, sf_dir), patterns.with_patterns(violations(spark, sf_dir), instances(definitions(spark)))
+    acts = metrics.by_action(baselines.delete_focus(records), baselines.gold(records))
+    micro = metrics.prf(acts.groupBy("constraint_type").agg(*metrics._hits())).select("constraint_type", "precision", "recall", "f1")
+    fix = metrics.primary_fix(metrics.outcomes(acts, known)).select("constraint_type", "primary_fix_rate")
+    whole = evaluate.global_metrics(evaluated(spark, sf_dir, 1)).select("constraint_type", "records", "gfr", "srr", "sir", "disruption")
+    return evaluate.selection_score(micro.join(fix, "constraint_type").join(whole, "constraint_type"))
+
+
+def slot_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = violations(spark, sf_dir)
+    return scores.slot_accuracy(baselines.predictions(records).where("variant = 'normal'").drop("variant"), baselines.gold(records))
+
+
+def slot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.slot_topk(candidates.slot_scores(violations(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "coverage_local": _coverage(),
     "coverage_focus": _coverage("focus"),
@@ -111,5 +207,26 @@ QUERIES: dict[str, Query] = {
     "repair_rates": lambda spark, sf: metrics.outcome_rates(outcomes(spark, sf)),
     "primary_fix": lambda spark, sf: metrics.primary_fix(outcomes(spark, sf)),
     "policy_labels": policy_labels,
+    "slot_topk": slot_topk,
+    "triple_topk": lambda spark, sf: candidates.triple_topk(slot_topk(spark, sf)),
+    "candidates": lambda spark, sf: candidate_sets(spark, sf),
+    "candidate_counts": candidate_counts,
+    "candidate_metrics": evaluated,
+    "best_candidates": best_candidates,
+    "oracle_choice": oracle_choice,
+    "oracle_report": lambda spark, sf: evaluate.oracle_report(scored(spark, sf), violations(spark, sf)),
+    "deletion_degeneracy": degeneracy,
+    "global_metrics": lambda spark, sf: evaluate.global_metrics(evaluated(spark, sf, 0)),
+    "per_constraint_report": constraint_report,
+    "fix_probability": fix_probability,
+    "semantic_metrics": lambda spark, sf: scores.classification(factor_scores(spark, sf), ["state", "family"]),
+    "auroc_auprc": lambda spark, sf: scores.ranking(factor_scores(spark, sf), ["state", "family"]),
+    "ece": lambda spark, sf: scores.calibration(factor_scores(spark, sf), ["state", "family"]),
+    "train_exposure": lambda spark, sf: scores.exposure(violations(spark, sf).where("split = 'train'")),
+    "transfer_slices": transfer,
+    "density_slices": density_slices,
+    "variant_deltas": variant_deltas,
+    "prediction_change": lambda spark, sf: scores.prediction_change(baselines.predictions(violations(spark, sf))),
+    "slot_accuracy": slot_accuracy,
     "label_invariants": lambda spark, sf: labels.invariants(labelled(spark, sf)),
 }
