@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from graphmend.operators.registry import TYPE_ITEMS
+
 from .oracle_base import ADD_MIRROR, DELETE_FOCUS, RECORDS, evaluated, labels
 
 _COVERAGE = """
@@ -145,7 +147,108 @@ va as (select variant, violation_id, constraint_type, a action,
   from pv, (values ('add'), ('del')) t(a))"""
 _CHANGED = " + ".join(f"(a.p_{s} <> b.p_{s})::int" for s in _SLOTS)
 
+_GRAPH = f"""{RECORDS},
+tr as (
+  select violation_id, row_number() over (partition by violation_id order by src, ord) - 1 ord, case s when 0 then 8 else s end s,
+    case p when 0 then 8 else p end p, case t.o when 0 then 8 else t.o end as o from (
+    select violation_id, 0 src, 0 ord, subject s, predicate p, object as o from v
+    union all select violation_id, 1, 0, other_subject, other_predicate, other_object from v where other_predicate <> 0
+    union all select violation_id, 2, ord, subject, p, f.v from sf f join v using (violation_id)
+    union all select violation_id, 3, ord, object, p, f.v from of f join v using (violation_id)
+    union all select violation_id, 4, ord, case when other_subject = subject then other_object else other_subject end, p, f.v
+      from xf f join v using (violation_id) where (other_subject = subject and other_object <> 0) or (other_object = object and other_subject <> 0)) t)"""
+_WIRED = f"""{_GRAPH},
+wf as (
+  select violation_id, e.constraint_id, e.constraint_id = r.constraint_id is_primary, property, family, subject, object, other_subject, other_predicate
+  from cl join entry e using (constraint_id) join v r using (violation_id) where supported),
+obs as (
+  select violation_id, constraint_id, property p from wf
+  union select violation_id, constraint_id, value from wf join def using (constraint_id) where value between 100 and 999 and (wf.family = 'conflictWith'
+    or (parameter = 'P1696' and wf.family in ('inverse', 'symmetric')) or (parameter = 'P2306' and wf.family in ('itemRequiresStatement', 'valueRequiresStatement'))
+    or (parameter = 'P2309' and wf.family in ('type', 'valueType')))
+  union select violation_id, constraint_id, other_predicate from wf where family = 'conflictWith' and other_predicate <> 0
+  union select violation_id, constraint_id, p from wf, (values (106), (110)) t(p) where family in ('type', 'valueType')
+    and constraint_id not in (select constraint_id from def where parameter = 'P2309')),
+wi as (
+  select violation_id, constraint_id, is_primary, 4 "type", tr.ord target, tr.ord from wf join obs using (violation_id, constraint_id) join tr using (violation_id, p)
+  where case when family in ('single', 'conflictWith', 'itemRequiresStatement') then s = subject
+    when family in ('valueRequiresStatement', 'valueType') then s = object when family = 'distinct' then s in (subject, other_subject) else true end
+  union all select violation_id, constraint_id, is_primary, x, case x when 5 then s else tr.o end, tr.ord
+  from wf join tr using (violation_id), (values (5), (6)) t(x) where tr.p = property)"""
+_NAMES = ("constraint_id", "subject", "predicate", "object", "other_subject", "other_predicate", "other_object", *_EDIT)
+_TOKENS = f"""{RECORDS},
+tk as (
+  {' union all '.join(f"select violation_id, '{c}' field, -1 pos, {c} token from v" for c in _NAMES)}
+  {' '.join(f"union all select violation_id, '{r}_{n}', row_number() over (partition by violation_id order by ord), {c} from {t}" for t, r in (('sf', 'subject'), ('of', 'object'), ('xf', 'other_entity')) for n, c in (('predicates', 'p'), ('objects', 'v')))}
+  union all select violation_id, 'local_constraint_ids', row_number() over (partition by violation_id order by constraint_id), constraint_id from cl
+  union all select violation_id, 'local_constraint_ids_focus', row_number() over (partition by violation_id order by constraint_id), constraint_id from cf),
+nz as (select * from tk where token <> 0),
+ko as (select token, token <= 8 or token in (select token from nz join v using (violation_id) where split = 'train' group by 1 having count(*) >= 5) kept
+  from (select distinct token from nz)),
+vi as (select token, token new_id from ko where kept and token <= 8
+  union all select token, 8 + row_number() over (order by md5('42-' || token), token) from ko where kept and token > 8)"""
+_ITEMS = sorted(TYPE_ITEMS)
+_PARTS = f"""pd as (
+  select p_partkey, 'c' || p_partkey constraint_id, 'P' || (100 + p_partkey % 37) property,
+    [{', '.join(f"'{i}'" for i in _ITEMS)}, 'Q1', ''][p_partkey % 12 + 1] type_item,
+    'P' || p_size || case when p_partkey % 3 = 0 then ' ^P7' else '' end "P2306", case when p_partkey % 4 = 0 then 'Q' || p_partkey end "P2305" from part),
+pp as (
+  select constraint_id, 'P2306' parameter, 0 "position", 'P' || p_size "value" from pd join part using (p_partkey)
+  union all select constraint_id, 'P2306', 1, 'P7' from pd where p_partkey % 3 = 0
+  union all select constraint_id, 'P2305', 0, "P2305" from pd where p_partkey % 4 = 0),
+fa as (select constraint_id, property, case type_item {' '.join(f"when '{i}' then '{TYPE_ITEMS[i]}'" for i in _ITEMS)} else 'unsupported:' || type_item end family,
+  type_item in ({', '.join(f"'{i}'" for i in _ITEMS)}) supported,
+  case when type_item = '' then -1 else (select count(distinct type_item) from pd b where b.type_item < pd.type_item and b.type_item <> '') end type_index from pd),
+rb as (select fa.*, coalesce(n, 0) parameters from fa left join (select constraint_id, count(*) n from pp group by 1) using (constraint_id))"""
+
 ORACLES: dict[str, str] = {
+    "graph_edges": f'with {_GRAPH} select violation_id, 1::bigint "type", s, p, o, ord from tr',
+    "graph_nodes": f"""with {_GRAPH} select violation_id, 'entity' kind, id, min(ord) ord
+from (select violation_id, s id, ord from tr union all select violation_id, o, ord from tr) group by violation_id, id
+union all select violation_id, 'predicate', p, ord from tr""",
+    "role_masks": f"""with {_GRAPH}, r as (select violation_id, subject id, 1 bit from v union all select violation_id, predicate, 2 from v union all select violation_id, object, 4 from v)
+select violation_id, id, sum(bit)::bigint mask from r where (violation_id, id) in (select (violation_id, s) from tr union select (violation_id, p) from tr union select (violation_id, o) from tr) group by 1, 2""",
+    "factor_wiring": f'with {_WIRED} select violation_id, constraint_id, is_primary, "type"::bigint "type", target from wi',
+    "parameter_edges": f"""with {RECORDS} select violation_id, constraint_id, 3::bigint "type", value target from v join def using (constraint_id) where parameter is not null and family is not null""",
+    "wiring_diagnostics": f"""with {_WIRED} select family, count(*) factors, count(*) filter (where coalesce(n, 0) = 0) unwired, avg(coalesce(n, 0)) mean_edges,
+  max(coalesce(n, 0)) most_edges, count(*) filter (where t) primary_on_focus
+from wf left join (select violation_id, constraint_id, count(*) n, bool_or(ord = 0 and is_primary) t from wi group by 1, 2) using (violation_id, constraint_id) group by 1""",
+    "pressure_overlap": f"""with {_WIRED} select violation_id, sum(e)::bigint edges, count(*) targets, avg(n) mean_factors, max(n) most_factors, count(*) filter (where n > 1) shared
+from (select violation_id, "type", target, count(distinct constraint_id) n, count(*) e from wi group by all) group by 1""",
+    "pressure_masks": f"""with {_WIRED} select 'normal' variant, count(*) edges, count(distinct violation_id) records from wi
+union all select case when is_primary then 'primary' else 'secondary' end, count(*), count(distinct violation_id) from wi group by 1""",
+    "target_vocab": f"""with {RECORDS} select split, 'entity' kind, unnest([add_subject, add_object, del_subject, del_object, 0]) id from v
+union select split, 'predicate', unnest([add_predicate, del_predicate, 0]) from v""",
+    "definition_pairs": f'with {_PARTS} select constraint_id, parameter, "position"::bigint "position", "value" from pp',
+    "registry_build": f"with {_PARTS} select * from rb",
+    "registry_validation": f"""with {_PARTS} select count(*) entries, count(distinct constraint_id) ids, 0::bigint bad_property, 0::bigint inconsistent,
+  count(*) filter (where parameters = 0) without_parameters, count(*) filter (where type_index < 0) blank_type, max(type_index) + 1 types from rb""",
+    "registry_family_counts": f"with {_PARTS} select family, supported, count(*) entries from rb group by all",
+    "property_index": f"with {_PARTS} select property, count(*) constraints, string_agg(constraint_id, ',' order by constraint_id) ids from rb group by 1",
+    "token_frequency": f"with {_TOKENS} select token, count(*) n from nz join v using (violation_id) where split = 'train' group by 1",
+    "min_occurrence": f"with {_TOKENS} select token, kept from ko",
+    "vocab_reindex": f"with {_TOKENS} select token, new_id from vi",
+    "min_occurrence_remap": f"""with {_TOKENS} select violation_id, field, count(*) n, md5(string_agg(coalesce(new_id, 8)::varchar, ',' order by pos)) values_md5
+from nz left join vi using (token) group by 1, 2""",
+    "stratified_split": f"""with {RECORDS}, r as (select violation_id, constraint_type, count(*) over (partition by constraint_type) n,
+  row_number() over (partition by constraint_type order by md5('42-' || violation_id), violation_id) * 100 k from v)
+select violation_id, constraint_type, case when k <= n * 70 then 'train' when k <= n * 85 then 'val' else 'test' end part from r""",
+    "parse_corrections": """select o_orderkey violation_id, 'c' || (o_orderkey % 9) constraint_id, 'Q' || o_orderkey subject, 'P101' predicate, 'Q9' || o_custkey object,
+  case when o_orderkey % 2 = 0 then 'Q' || o_orderkey else '' end add_s, case when o_orderkey % 2 = 0 then 'P101' else '' end add_p,
+  'Q' || o_orderkey del_s, 'P101' del_p, case when o_orderkey % 2 = 0 then o_orderstatus else '' end add_text, 2::bigint n_descriptions from orders""",
+    "page_label_facts": """select page_id, split_part(coalesce(text, ''), ' ', 1) "label", contains(coalesce(html, ''), split_part(coalesce(text, ''), ' ', 1)) mentioned
+from pages join conversations on page_id = conv_id and turn = 0""",
+    "uri_normalise": """select page_id, case page_id % 4 when 0 then 'Q' || (page_id + 1) when 1 then 'P' || (page_id + 1) when 2 then 'http://www.wikidata.org/prop/statement/P' || (page_id + 1)
+    else url end token, case when page_id % 4 = 1 then 'P' || (page_id + 1) end property,
+  case page_id % 4 when 0 then 'Q' || (page_id + 1) when 1 then 'P' || (page_id + 1) when 2 then 'P' || (page_id + 1) end entity,
+  case page_id % 4 when 0 then 'Q' || (page_id + 1) when 1 then 'P' || (page_id + 1) when 2 then 'P' || (page_id + 1) || ' (statement)' end lookup,
+  case when page_id % 4 < 3 then 'uri' else 'literal' end kind from pages""",
+    "cache_merge": """with w as (select distinct 'literal' kind, lang || '-' || source "key", doc_id % 50 id from documents),
+c as (select lang || '-' || source "key", doc_id % 50 id, min(substring(text, 1, 20)) text from documents where doc_id % 6 = 0 group by 1, 2)
+select kind, w."key", w.id, coalesce(c.text, b.text) text, case when c.text is not null then 'hit' when b.text is not null then 'copied' else 'pending' end state
+from w left join c on c."key" = w."key" and c.id = w.id left join (select "key", min(text) text from c group by 1) b on b."key" = w."key" """,
+    "event_props": """select event_type, count(*) events, count(k) with_k, coalesce(sum(k), 0)::bigint sum_k
+from (select event_type, try_cast(json_extract_string(props, '$.k') as bigint) k from events) group by 1""",
     "slot_topk": f"with {RECORDS}, {_SCORES} select violation_id, slot, id, score, \"rank\" from top",
     "triple_topk": f"""with {RECORDS}, {_SCORES}, grid as (
   select a.violation_id, act action, a.id s, b.id p, c.id as o, a.score + b.score + c.score score, row_number() over (

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmend.operators import baselines, candidates, evaluate, labels, metrics, patterns, profile, scores
+from graphmend.functions import tokens
+from graphmend.operators import baselines, candidates, evaluate, graph, labels, metrics, patterns, profile, registry, scores, textcache, vocabulary
 from graphmend.operators.evidence import resolved
 from graphmend.operators.registry import instances
-from graphmend.sources.violations import definitions, violations
+from graphmend.sources import corrections
+from graphmend.sources.violations import definitions, table, violations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -179,7 +181,138 @@ def slot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.slot_topk(candidates.slot_scores(violations(spark, sf_dir)))
 
 
+def factor_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.factor_nodes(violations(spark, sf_dir), instances(definitions(spark)))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.triples(violations(spark, sf_dir))
+
+
+def wired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.wiring(factor_nodes(spark, sf_dir), facts(spark, sf_dir))
+
+
+def part_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A definition row per part: raw ids and cells of blank-separated values."""
+    part = table(spark, sf_dir, "part")
+    key, uri = F.col("p_partkey"), F.lit(tokens.ENTITY)
+    item = F.element_at(F.array(*map(F.lit, sorted(registry.TYPE_ITEMS)), F.lit("Q1"), F.lit("")), (key % 12 + 1).cast("int"))
+    return part.select(
+        F.concat(F.lit("c"), key.cast("string")).alias("constraint_id"), F.concat(F.lit("<"), uri, F.lit("P"), (100 + key % 37).cast("string"), F.lit(">")).alias("property"),
+        item.alias("type_item"), F.concat_ws(" ", F.concat(F.lit("P"), F.col("p_size").cast("string")), F.when(key % 3 == 0, F.lit("^P7"))).alias("P2306"),
+        F.when(key % 4 == 0, F.concat(F.lit("Q"), key.cast("string"))).alias("P2305"),
+    )
+
+
+def definition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(constraint_id, parameter, position, value): cells split at blanks, empty ones left out."""
+    rows = part_definitions(spark, sf_dir)
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("parameter"), F.col(c).alias("cell")) for c in ("P2306", "P2305")))).alias("x")
+    each = rows.select("constraint_id", cells).where("x.cell is not null").select("constraint_id", "x.parameter", F.posexplode(F.split("x.cell", " ")).alias("position", "value"))
+    return each.where("value <> ''").select("constraint_id", "parameter", F.col("position").cast("long").alias("position"), tokens.token(F.col("value")).alias("value"))
+
+
+def registry_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry entries: family, support and dense type index of each definition, with its number of parameters."""
+    rows = part_definitions(spark, sf_dir)
+    known = F.create_map(*(F.lit(x) for kv in registry.TYPE_ITEMS.items() for x in kv))
+    family = F.coalesce(F.try_element_at(known, F.col("type_item")), F.concat(F.lit("unsupported:"), "type_item"))
+    sizes = definition_pairs(spark, sf_dir).groupBy("constraint_id").agg(F.count("*").alias("parameters"))
+    rows = rows.join(registry.type_index(rows, "type_item"), "type_item").join(sizes, "constraint_id", "left")
+    return rows.select(
+        "constraint_id", tokens.property_id(F.col("property")).alias("property"), family.alias("family"), family.isin(*registry.SUPPORTED).alias("supported"),
+        "type_index", F.coalesce("parameters", F.lit(0).cast("long")).alias("parameters"),
+    )
+
+
+def registry_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = registry_build(spark, sf_dir)
+    return rows.agg(
+        F.count("*").alias("entries"), F.count_distinct("constraint_id").alias("ids"), F.count_if(F.col("property").isNull()).alias("bad_property"),
+        F.count_if(F.col("supported") & F.col("family").startswith("unsupported")).alias("inconsistent"), F.count_if(F.col("parameters") == 0).alias("without_parameters"),
+        F.count_if(F.col("type_index") < 0).alias("blank_type"), (F.max("type_index") + 1).alias("types"),
+    )
+
+
+def property_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = registry_build(spark, sf_dir).groupBy("property").agg(F.count("*").alias("constraints"), F.array_sort(F.collect_list("constraint_id")).alias("ids"))
+    return rows.select("property", "constraints", F.array_join("ids", ",").alias("ids"))
+
+
+def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = violations(spark, sf_dir)
+    return vocabulary.reindexed(vocabulary.kept_tokens(records.where("split = 'train'"), records, 5))
+
+
+def remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vocabulary.remapped(violations(spark, sf_dir), vocab(spark, sf_dir))
+    return rows.select("violation_id", "field", F.size("values").cast("long").alias("n"), F.md5(told("values").cast("binary")).alias("values_md5"))
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corrections.normalised(corrections.parse_corrections(corrections.lines_from_orders(spark, sf_dir)))
+
+
+def page_label_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page's content holds the first word of its conversation's first turn."""
+    talk = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.substring_index(F.coalesce("text", F.lit("")), " ", 1).alias("label"))
+    pages = table(spark, sf_dir, "pages").join(talk, F.col("page_id") == F.col("conv_id"))
+    return pages.select("page_id", "label", corrections.mentions(F.array("label"), F.coalesce("html", F.lit(""))).alias("mentioned"))
+
+
+def uri_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("page_id")
+    parts = ("http://www.wikidata.org/entity/Q", "http://www.wikidata.org/prop/direct/P", "http://www.wikidata.org/prop/statement/P")
+    spelled = F.when(key % 4 == 3, F.col("url"))
+    for i, p in enumerate(parts):
+        spelled = spelled.when(key % 4 == i, F.concat(F.lit("<" * (i % 2) + p), (key + 1).cast("string"), F.lit(">" * (i % 2))))
+    rows = table(spark, sf_dir, "pages").select("page_id", spelled.alias("uri"))
+    return rows.select(
+        "page_id", tokens.token(F.col("uri")).alias("token"), tokens.property_id(F.col("uri")).alias("property"), tokens.lookup_id(F.col("uri")).alias("entity"),
+        tokens.lookup_text(F.col("uri")).alias("lookup"), tokens.kind(F.col("uri")).alias("kind"),
+    )
+
+
+def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and languages of documents as cached keys; a cache of the even documents meets the wishes of all."""
+    docs = table(spark, sf_dir, "documents")
+    wanted = docs.select(F.lit("literal").alias("kind"), F.concat_ws("-", "lang", "source").alias("key"), (F.col("doc_id") % 50).alias("id"))
+    cache = docs.where("doc_id % 2 = 0 and doc_id % 3 = 0").groupBy(F.lit("literal").alias("kind"), F.concat_ws("-", "lang", "source").alias("key"), (F.col("doc_id") % 50).alias("id"))
+    return textcache.merge(cache.agg(F.min(F.substring("text", 1, 20)).alias("text")), wanted)
+
+
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the events' JSON properties by type; bad JSON counts as none."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k long").alias("p"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("events"), F.count("p.k").alias("with_k"), F.coalesce(F.sum("p.k"), F.lit(0).cast("long")).alias("sum_k"))
+
+
 QUERIES: dict[str, Query] = {
+    "graph_edges": lambda spark, sf: graph.edges(facts(spark, sf)),
+    "graph_nodes": lambda spark, sf: graph.nodes(facts(spark, sf)),
+    "role_masks": lambda spark, sf: graph.role_masks(violations(spark, sf), facts(spark, sf)),
+    "factor_wiring": lambda spark, sf: wired(spark, sf).drop("ord"),
+    "parameter_edges": lambda spark, sf: graph.parameter_edges(graph.factor_nodes(violations(spark, sf), instances(definitions(spark)), passive=True), definitions(spark)),
+    "wiring_diagnostics": lambda spark, sf: graph.wiring_diagnostics(factor_nodes(spark, sf), wired(spark, sf)),
+    "pressure_overlap": lambda spark, sf: graph.pressure_overlap(wired(spark, sf)),
+    "pressure_masks": lambda spark, sf: graph.pressure_masks(wired(spark, sf)),
+    "target_vocab": lambda spark, sf: graph.target_ids(violations(spark, sf)),
+    "definition_pairs": definition_pairs,
+    "registry_build": registry_build,
+    "registry_validation": registry_validation,
+    "registry_family_counts": lambda spark, sf: registry_build(spark, sf).groupBy("family", "supported").agg(F.count("*").alias("entries")),
+    "property_index": property_index,
+    "token_frequency": lambda spark, sf: vocabulary.frequencies(violations(spark, sf).where("split = 'train'")),
+    "min_occurrence": lambda spark, sf: vocabulary.kept_tokens(violations(spark, sf).where("split = 'train'"), violations(spark, sf), 5),
+    "vocab_reindex": vocab,
+    "min_occurrence_remap": remapped,
+    "stratified_split": lambda spark, sf: vocabulary.stratified_split(violations(spark, sf)),
+    "parse_corrections": parsed,
+    "page_label_facts": page_label_facts,
+    "uri_normalise": uri_normalise,
+    "cache_merge": cache_merge,
+    "event_props": event_props,
     "coverage_local": _coverage(),
     "coverage_focus": _coverage("focus"),
     "coverage_open_world": _coverage(closed=False),
