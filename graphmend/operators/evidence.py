@@ -100,98 +100,79 @@ def with_edit(rows: DataFrame, slots: list[Column], name: str, closed: bool = Tr
 
 
 class Check:
-    """Checkability and satisfaction of an instance in the state column ``state``; a row has the record and instance."""
+    """Checkability and satisfaction of an instance in the state column ``state``; a row has the record and instance.
+
+    Rules are SQL text: one expression a family, so that plans are built in a few calls.
+    """
 
     def __init__(self, state: str, closed: bool = True) -> None:
         self.state, self.closed = state, closed
-        self.subject, self.object = F.col("subject"), F.col("object")
-        self.prop = F.col("property")
-
-    def facts(self, of: str) -> Column:
-        return F.col(f"{self.state}.{of}")
+        self.focus = f"exists({state}.s, x -> x.p = predicate and x.o = object)"
+        self.local = "array_contains(p_local, property)"
+        self.free = f"not {self.guarded('s', 'property')}"
+        self.base = f"subject <> 0 and property <> 0 and {self.free}"
+        self.complete = self.known("s", "property")
 
-    def has(self, of: str, p: Column) -> Column:
-        return F.exists(self.facts(of), lambda x: x["p"] == p)
+    def has(self, of: str, p: str) -> str:
+        return f"exists({self.state}.{of}, x -> x.p = {p})"
 
-    def known(self, of: str, p: Column) -> Column:
+    def known(self, of: str, p: str) -> str:
         """The property is complete or present at an entity in scope (the focus subject always is)."""
         if self.closed:
-            return F.lit(True) if of == "s" else self.object != 0
-        return F.array_contains(F.col(f"{self.state}.{of}p"), p)
+            return "true" if of == "s" else "object <> 0"
+        return f"array_contains({self.state}.{of}p, {p})"
 
-    def guarded(self, of: str, p: Column) -> Column:
-        entity = self.subject if of == "s" else self.object
-        return F.exists(F.col(f"{self.state}.missing"), lambda x: (x["e"] == entity) & (x["p"] == p))
+    def guarded(self, of: str, p: str) -> str:
+        return f"exists({self.state}.missing, m -> m.e = {'subject' if of == 's' else 'object'} and m.p = {p})"
 
-    def usable(self, of: str, props: str | Column) -> Column:
+    def usable(self, of: str, props: str) -> str:
         """Every property is local, free of unknown edits and known at the entity."""
-        good = lambda p: (p != 0) & F.array_contains("p_local", p) & ~self.guarded(of, p) & self.known(of, p)
-        return F.forall(props, good)
-
-    @property
-    def local(self) -> Column:
-        return F.array_contains("p_local", self.prop)
-
-    @property
-    def focus(self) -> Column:
-        wanted = lambda x: (x["p"] == F.col("predicate")) & (x["o"] == self.object)
-        return F.exists(self.facts("s"), wanted)
-
-    @property
-    def base(self) -> Column:
-        return (self.subject != 0) & (self.prop != 0) & ~self.guarded("s", self.prop)
-
-    def conflict_with(self) -> tuple[Column, Column]:
-        props = F.when(F.size("conflicts") > 0, F.col("conflicts")).when(F.col("other_predicate") != 0, F.array("other_predicate")).otherwise(F.col("conflicts"))
-        good = self.base & self.local & (F.size(props) > 0) & self.usable("s", props) & self.known("s", self.prop)
-        clash = self.has("s", self.prop) & F.exists(props, lambda p: self.has("s", p))
-        return good, ~clash
-
-    def inverse(self) -> tuple[Column, Column]:
-        good = self.base & (F.col("predicate") == self.prop) & F.when(~self.focus, self.known("s", self.prop)).otherwise(
-            (self.object != 0) & self.usable("o", "inverses")
-        )
-        back = F.exists(self.facts("o"), lambda x: F.array_contains("inverses", x["p"]) & (x["o"] == self.subject))
-        return good, ~self.focus | back
-
-    def item_requires(self) -> tuple[Column, Column]:
-        trigger = self.has("s", self.prop)
-        good = self.base & (F.size("required") > 0) & self.local
-        good = good & F.when(~trigger, self.known("s", self.prop)).otherwise(self.usable("s", "required"))
-        return good, ~trigger | F.forall("required", lambda p: self.has("s", p))
-
-    def value_requires(self) -> tuple[Column, Column]:
-        good = (self.prop != 0) & ~self.guarded("s", self.prop) & (F.col("predicate") == self.prop)
-        good = good & F.when(~self.focus, self.known("s", self.prop)).otherwise(
-            (self.object != 0) & (F.size("required") > 0) & self.usable("o", "required")
-        )
-        return good, ~self.focus | F.forall("required", lambda p: self.has("o", p))
-
-    def one_of(self) -> tuple[Column, Column]:
-        good = (F.size("items") > 0) & (F.col("predicate") == self.prop) & self.local & ~self.guarded("s", self.prop)
-        good = good & F.when(~self.focus, self.known("s", self.prop)).otherwise(self.object != 0)
-        return good, ~self.focus | F.array_contains("items", self.object)
-
-    def single(self) -> tuple[Column, Column]:
-        good = self.base & self.local & self.known("s", self.prop)
-        return good, F.size(F.filter(self.facts("s"), lambda x: x["p"] == self.prop)) <= 1
-
-    def _typed(self, of: str) -> tuple[Column, Column]:
-        trigger = self.has("s", self.prop)
-        some = F.exists(F.col("relations"), lambda r: self.has(of, r))
-        good = (self.prop != 0) & self.local & ~self.guarded("s", self.prop) & (F.size("classes") > 0)
-        good = good & (self.subject != 0 if of == "s" else self.object != 0)
-        good = good & F.when(~trigger, self.known("s", self.prop)).otherwise((F.size("relations") > 0) & self.usable(of, "relations") & some)
-        held = F.exists(self.facts(of), lambda x: F.array_contains("relations", x["p"]) & F.array_contains("classes", x["o"]))
-        return good, ~trigger | held
-
-    def distinct(self) -> tuple[Column, Column]:
-        other = (F.col("other_subject") != 0) & (F.col("other_predicate") != 0) & (F.col("other_object") != 0) & (F.col("other_predicate") == self.prop)
-        good = self.base & self.local & F.when(~self.focus, self.known("s", self.prop)).otherwise(other)
-        rival = other & (F.col("other_object") == self.object) & (F.col("other_subject") != self.subject)
-        return good, ~self.focus | ~rival
-
-    def families(self) -> dict[str, Callable[[], tuple[Column, Column]]]:
+        return f"forall({props}, p -> p <> 0 and array_contains(p_local, p) and not {self.guarded(of, 'p')} and {self.known(of, 'p')})"
+
+    def triggered(self, trigger: str, then: str) -> str:
+        """Without the trigger, completeness of the property decides."""
+        return f"if({trigger}, {then}, {self.complete})"
+
+    def conflict_with(self) -> tuple[str, str]:
+        props = "if(size(conflicts) = 0 and other_predicate <> 0, array(other_predicate), conflicts)"
+        good = f"{self.base} and {self.local} and size({props}) > 0 and {self.usable('s', props)} and {self.complete}"
+        return good, f"not ({self.has('s', 'property')} and exists({props}, q -> {self.has('s', 'q')}))"
+
+    def inverse(self) -> tuple[str, str]:
+        then = f"object <> 0 and {self.usable('o', 'inverses')}"
+        back = f"exists({self.state}.o, x -> array_contains(inverses, x.p) and x.o = subject)"
+        return f"{self.base} and predicate = property and {self.triggered(self.focus, then)}", f"not {self.focus} or {back}"
+
+    def item_requires(self) -> tuple[str, str]:
+        trigger = self.has("s", "property")
+        good = f"{self.base} and size(required) > 0 and {self.local} and {self.triggered(trigger, self.usable('s', 'required'))}"
+        return good, f"not {trigger} or forall(required, q -> {self.has('s', 'q')})"
+
+    def value_requires(self) -> tuple[str, str]:
+        then = f"object <> 0 and size(required) > 0 and {self.usable('o', 'required')}"
+        good = f"property <> 0 and {self.free} and predicate = property and {self.triggered(self.focus, then)}"
+        return good, f"not {self.focus} or forall(required, q -> {self.has('o', 'q')})"
+
+    def one_of(self) -> tuple[str, str]:
+        good = f"size(items) > 0 and predicate = property and {self.local} and {self.free} and {self.triggered(self.focus, 'object <> 0')}"
+        return good, f"not {self.focus} or array_contains(items, object)"
+
+    def single(self) -> tuple[str, str]:
+        return f"{self.base} and {self.local} and {self.complete}", f"size(filter({self.state}.s, x -> x.p = property)) <= 1"
+
+    def _typed(self, of: str) -> tuple[str, str]:
+        trigger, entity = self.has("s", "property"), "subject" if of == "s" else "object"
+        some = f"exists(relations, r -> {self.has(of, 'r')})"
+        then = f"size(relations) > 0 and {self.usable(of, 'relations')} and {some}"
+        good = f"{entity} <> 0 and property <> 0 and {self.local} and {self.free} and size(classes) > 0 and {self.triggered(trigger, then)}"
+        return good, f"not {trigger} or exists({self.state}.{of}, x -> array_contains(relations, x.p) and array_contains(classes, x.o))"
+
+    def distinct(self) -> tuple[str, str]:
+        other = "other_subject <> 0 and other_predicate <> 0 and other_object <> 0 and other_predicate = property"
+        rival = f"{other} and other_object = object and other_subject <> subject"
+        return f"{self.base} and {self.local} and {self.triggered(self.focus, other)}", f"not {self.focus} or not ({rival})"
+
+    def families(self) -> dict[str, Callable[[], tuple[str, str]]]:
         return {
             "conflictWith": self.conflict_with, "inverse": self.inverse, "symmetric": self.inverse,
             "itemRequiresStatement": self.item_requires, "valueRequiresStatement": self.value_requires, "oneOf": self.one_of,
@@ -199,11 +180,8 @@ class Check:
         }
 
     def columns(self) -> tuple[Column, Column]:
-        """(checkable, satisfied): false and 0 where a family has no checker; satisfied only where checkable."""
-        checkable, satisfied = F.lit(False), F.lit(False)
-        for family, check in self.families().items():
-            good, fine = check()
-            checkable = F.when(F.col("family") == family, good).otherwise(checkable)
-            satisfied = F.when(F.col("family") == family, fine).otherwise(satisfied)
-        checkable = F.coalesce(F.col("supported") & checkable, F.lit(False))
-        return checkable, (checkable & F.coalesce(satisfied, F.lit(False)))
+        """(checkable, satisfied): false where a family has no checker; satisfied only where checkable."""
+        rules = {family: check() for family, check in self.families().items()}
+        case = lambda i: "case family " + " ".join(f"when '{f}' then {r[i]}" for f, r in rules.items()) + " else false end"
+        checkable = f"coalesce(supported and {case(0)}, false)"
+        return F.expr(checkable), F.expr(f"{checkable} and coalesce({case(1)}, false)")

@@ -56,15 +56,14 @@ def suite(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return baselines.suite(violations(spark, sf_dir), inverses(spark)).where(F.col("baseline") == name).drop("baseline")
 
 
-def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = violations(spark, sf_dir)
+def actions(records: DataFrame) -> DataFrame:
     predicted = baselines.predictions(records).where("variant = 'normal'").drop("variant")
     return metrics.by_action(predicted, baselines.gold(records))
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = patterns.with_patterns(violations(spark, sf_dir), instances(definitions(spark)))
-    return metrics.outcomes(actions(spark, sf_dir), known)
+    records = violations(spark, sf_dir)
+    return metrics.outcomes(actions(records), patterns.with_patterns(records, instances(definitions(spark))))
 
 
 def policy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,18 +84,18 @@ def _labels(work: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: work(labelled(spark, sf))
 
 
-def simple_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def simple_candidates(spark: SparkSession, records: DataFrame) -> DataFrame:
     """Three candidates a record: the historical edit, delete-focus, add-mirror."""
-    records = violations(spark, sf_dir)
     more = [baselines.delete_focus(records), baselines.add_mirror(records, inverses(spark))]
     parts = [evaluate.gold_candidates(records), *(m.withColumn("idx", F.lit(i)) for i, m in enumerate(more, 1))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def evaluated(spark: SparkSession, sf_dir: str, only: int | None = None) -> DataFrame:
-    found = simple_candidates(spark, sf_dir)
+    records = violations(spark, sf_dir)
+    found = simple_candidates(spark, records)
     found = found if only is None else found.where(F.col("idx") == only)
-    return evaluate.evaluate(found, violations(spark, sf_dir), instances(definitions(spark)))
+    return evaluate.evaluate(found, records, instances(definitions(spark)))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +109,7 @@ def oracle_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def degeneracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = simple_candidates(spark, sf_dir)
+    slots = simple_candidates(spark, violations(spark, sf_dir))
     rows = evaluated(spark, sf_dir).join(slots, ["violation_id", "idx"])
     return evaluate.degeneracy(rows.where("idx = 0"), rows.where("idx = 1"))
 
@@ -164,7 +163,8 @@ def variant_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per type: fidelity, primary fix and global metrics of delete-focus predictions, with the selection scores."""
-    records, known = violations(spark, sf_dir), patterns.with_patterns(violations(spark, sf_dir), instances(definitions(spark)))
+    records = violations(spark, sf_dir)
+    known = patterns.with_patterns(records, instances(definitions(spark)))
     acts = metrics.by_action(baselines.delete_focus(records), baselines.gold(records))
     micro = metrics.prf(acts.groupBy("constraint_type").agg(*metrics._hits())).select("constraint_type", "precision", "recall", "f1")
     fix = metrics.primary_fix(metrics.outcomes(acts, known)).select("constraint_type", "primary_fix_rate")
@@ -334,8 +334,8 @@ QUERIES: dict[str, Query] = {
     "baseline_add_mirror": _suite("add_mirror"),
     "baseline_majority_definition": _suite("majority_definition"),
     "baseline_majority_family": _suite("majority_family"),
-    "fidelity_micro": lambda spark, sf: metrics.fidelity(actions(spark, sf)),
-    "fidelity_macro": lambda spark, sf: metrics.macro(actions(spark, sf)),
+    "fidelity_micro": lambda spark, sf: metrics.fidelity(actions(violations(spark, sf))),
+    "fidelity_macro": lambda spark, sf: metrics.macro(actions(violations(spark, sf))),
     "repair_outcomes": lambda spark, sf: outcomes(spark, sf).select("violation_id", "action", "outcome"),
     "repair_rates": lambda spark, sf: metrics.outcome_rates(outcomes(spark, sf)),
     "primary_fix": lambda spark, sf: metrics.primary_fix(outcomes(spark, sf)),

@@ -59,79 +59,60 @@ def definitions(spark: SparkSession) -> DataFrame:
     return fixed.unionByName(items).unionByName(filler)
 
 
-def _facts(*parts: tuple[Column | None, int | Column, int | Column]) -> Column:
-    """An array of (p, o) facts, those whose condition holds."""
-    made = []
-    for condition, p, o in parts:
-        p, o = (x if isinstance(x, Column) else long(x) for x in (p, o))
-        fact = F.struct(p.cast("long").alias("p"), o.cast("long").alias("o"))
-        made.append(fact if condition is None else F.when(condition, fact))
-    return F.array_compact(F.array(*made))
-
-
-def _edit(case: dict[int, tuple], k: Column) -> list[Column]:
-    out = []
-    for i in range(6):
-        value = long(0)
-        for family, slots in case.items():
-            slot = slots[i]
-            value = F.when(k == family, slot if isinstance(slot, Column) else long(slot)).otherwise(value)
-        out.append(value)
-    return out
+def _facts(*parts: tuple[str, object, object]) -> str:
+    """SQL of an array of (p, o) facts, those whose condition holds."""
+    made = (f"if({c}, named_struct('p', cast({p} as bigint), 'o', cast({o} as bigint)), null)" for c, p, o in parts)
+    return f"array_compact(array({', '.join(made)}))"
+
+
+def _edit() -> list[str]:
+    """SQL of the six edit slots, in placeholder ids, by the number of the family."""
+    cases = {
+        0: (0, 0, 0, 4, 5, 6), 1: (0, 0, 0, 1, 2, 3), 2: (3, 109, 1, 0, 0, 0), 3: (1, 102, 8079, 0, 0, 0),
+        4: (1, 2, "2000000000 + ck % 50", 1, 2, 3), 5: (0, 0, 0, "if(q % 2 = 0, 4, 1)", "if(q % 2 = 0, 5, 2)", "if(q % 2 = 0, 6, 3)"),
+        6: (1, 106, 9001, 0, 0, 0), 7: (3, 109, 1, 0, 0, 0), 8: (3, 106, 9002, 0, 0, 0),
+    }
+    pick = lambda i: " ".join(f"when {k} then {slots[i]}" for k, slots in cases.items())
+    return [f"cast(if(q % 11 = 10, 0, case k {pick(i)} end) as bigint)" for i in range(6)]
 
 
 def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per order (rules in the fixtures' description), without the constraint closures."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     counts = orders.agg(F.count("*").alias("no")).crossJoin(customer.agg(F.count("*").alias("nc")))  # one row
-    rows = orders.join(customer, orders.o_custkey == customer.c_custkey).crossJoin(F.broadcast(counts))
-    key, ck = F.col("o_orderkey"), F.col("o_custkey")
-    rows = rows.select(
-        key.alias("violation_id"), (key % 9).alias("k"), F.expr("o_orderkey div 9").alias("q"), ck.alias("ck"),
-        (key + 1_000_000_000).alias("s"), (ck + 2_000_000_000).alias("o"),
-        ((key + 1) % F.col("no") + 1_000_000_000).alias("s2"), ((ck + 1) % F.col("nc") + 2_000_000_000).alias("ob2"),
-        (F.ascii("o_orderstatus") + long(8000)).alias("status"),
-        (F.substring("o_orderpriority", 1, 1).cast("long") + 8200).alias("pr"),
-        (F.col("c_nationkey").cast("long") + 3_000_000_000).alias("nation"),
-        (F.ascii("c_mktsegment") + long(8300)).alias("segment"), (F.col("c_acctbal") >= 0).alias("good"),
+    rows = orders.join(customer, orders.o_custkey == customer.c_custkey).crossJoin(F.broadcast(counts)).selectExpr(
+        "o_orderkey as violation_id", "o_orderkey % 9 as k", "o_orderkey div 9 as q", "o_custkey as ck", "o_orderkey + 1000000000 as s",
+        "o_custkey + 2000000000 as o", "(o_orderkey + 1) % no + 1000000000 as s2", "(o_custkey + 1) % nc + 2000000000 as ob2",
+        "ascii(o_orderstatus) + 8000L as status", "cast(substring(o_orderpriority, 1, 1) as bigint) + 8200 as pr",
+        "cast(c_nationkey as bigint) + 3000000000 as nation", "ascii(c_mktsegment) + 8300L as segment", "c_acctbal >= 0 as good",
     )
-    c = {name: F.col(name) for name in rows.columns}
-    k, q, ck = c["k"], c["q"], c["ck"]
     subject = _facts(
-        (q % 7 != 6, 101, c["o"]), (q % 5 != 4, 102, c["status"]), (q % 6 != 5, 103, c["pr"]), (q % 4 != 0, 106, 9001),
-        ((q % 4 == 0) & (q % 8 == 0), 106, 9003), (q % 6 == 2, 109, c["s2"]), (k == 5, 101, c["ob2"]),
+        ("q % 7 <> 6", 101, "o"), ("q % 5 <> 4", 102, "status"), ("q % 6 <> 5", 103, "pr"), ("q % 4 <> 0", 106, 9001),
+        ("q % 8 = 0", 106, 9003), ("q % 6 = 2", 109, "s2"), ("k = 5", 101, "ob2"),
     )
     object_ = _facts(
-        (None, 104, c["nation"]), (ck % 4 != 0, 105, c["segment"]), (c["good"], 106, 9002), (~c["good"] & (ck % 2 == 0), 106, 9003),
-        (q % 3 == 0, 109, c["s"]), (q % 3 == 1, 109, c["s2"]), (ck % 3 == 0, 102, 8079), (None, 130 + ck % 8, 7000),
+        ("true", 104, "nation"), ("ck % 4 <> 0", 105, "segment"), ("good", 106, 9002), ("not good and ck % 2 = 0", 106, 9003),
+        ("q % 3 = 0", 109, "s"), ("q % 3 = 1", 109, "s2"), ("ck % 3 = 0", 102, 8079), ("true", "130 + ck % 8", 7000),
     )
-    even = q % 2 == 0
-    other = (
-        F.when((k == 0) & ~even, _facts((None, 106, 9004)))
-        .when(k == 1, _facts((None, 101, c["o"]), (None, 106, 9001)))
-        .when((k == 5) & ~even, _facts((None, 104, 3_000_000_000)))
-        .when(((k == 0) | (k == 5)) & even, F.col("subject_facts"))
-        .otherwise(F.array().cast("array<struct<p:bigint,o:bigint>>"))
+    own = _facts(
+        ("k = 0 and q % 2 = 1", 106, 9004), ("k = 1", 101, "o"), ("k = 1", 106, 9001), ("k = 5 and q % 2 = 1", 104, 3_000_000_000),
+    )
+    rows = rows.selectExpr("*", f"{subject} as subject_facts", f"{object_} as object_facts").selectExpr(
+        "*", f"if(k in (0, 5) and q % 2 = 0, subject_facts, {own}) as other_facts"
     )
-    edits = {
-        0: (0, 0, 0, 4, 5, 6), 1: (0, 0, 0, 1, 2, 3), 2: (3, 109, 1, 0, 0, 0), 3: (1, 102, 8079, 0, 0, 0),
-        4: (1, 2, 2_000_000_000 + ck % 50, 1, 2, 3), 5: (0, 0, 0, *(F.when(even, long(x + 3)).otherwise(long(x)) for x in (1, 2, 3))),
-        6: (1, 106, 9001, 0, 0, 0), 7: (3, 109, 1, 0, 0, 0), 8: (3, 106, 9002, 0, 0, 0),
-    }
-    part = c["violation_id"] % 20
-    pick = lambda *cases: F.coalesce(*(F.when(k == n, v) for n, v in cases), long(0))
-    rows = rows.withColumns({"subject_facts": subject, "object_facts": object_}).withColumn("other_facts", other)
-    slots = [F.when(q % 11 == 10, long(0)).otherwise(x) for x in _edit(edits, k)]
-    lists = {f"{r}_{n}": F.col(f"{f}_facts.{n[0]}") for f, r in (("subject", "subject"), ("object", "object"), ("other", "other_entity")) for n in ("predicates", "objects")}
-    return rows.select(
-        "violation_id", F.when(part < 14, "train").when(part < 17, "val").otherwise("test").alias("split"),
-        F.element_at(F.array(*map(F.lit, FAMILIES)), (k + 1).cast("int")).alias("constraint_type"),
-        (k + 501).alias("constraint_id"), c["s"].alias("subject"), long(101).alias("predicate"), c["o"].alias("object"),
-        pick((0, c["s"]), (1, c["s2"]), (5, c["s"])).alias("other_subject"),
-        pick((0, long(103)), (1, long(101)), (5, long(101))).alias("other_predicate"),
-        pick((0, c["pr"]), (1, c["o"]), (5, c["ob2"])).alias("other_object"),
-        *(x.alias(name) for x, name in zip(slots, EDIT, strict=True)),
-        *(x.alias(name) for name, x in lists.items()),
+    families = " ".join(f"when {k} then '{f}'" for k, f in enumerate(FAMILIES))
+    lists = [
+        f"transform({facts}_facts, x -> x.{part[0]}) as {role}_{name}"
+        for facts, role in (("subject", "subject"), ("object", "object"), ("other", "other_entity"))
+        for part, name in (("p", "predicates"), ("o", "objects"))
+    ]
+    return rows.selectExpr(
+        "violation_id", "case when violation_id % 20 < 14 then 'train' when violation_id % 20 < 17 then 'val' else 'test' end as split",
+        f"case k {families} end as constraint_type", "k + 501 as constraint_id", "s as subject", "101L as predicate", "o as object",
+        "case k when 0 then s when 1 then s2 when 5 then s else 0L end as other_subject",
+        "case k when 0 then 103L when 1 then 101L when 5 then 101L else 0L end as other_predicate",
+        "case k when 0 then pr when 1 then o when 5 then ob2 else 0L end as other_object",
+        *(f"{slot} as {name}" for slot, name in zip(_edit(), EDIT, strict=True)), *lists,
     )
 
 
