@@ -36,14 +36,17 @@ def evaluate(candidates: DataFrame, records: DataFrame, instances: DataFrame, cl
         {
             "add_count": whole("add"), "del_count": whole("del"),
             "pre_focus": focus_present("pre"), "post_focus": focus_present("post"),
+            "changed": F.col("post") != F.col("pre"),
             "deletes_focus": (gone[0] == F.col("subject")) & (gone[1] == F.col("predicate")) & (gone[2] == F.col("object")),
         }
     )
     per = ["violation_id", "constraint_type", "idx", "add_count", "del_count", "pre_focus", "post_focus", "deletes_focus"]
-    each = rows.select(*per, "p_local", "post", "subject", "predicate", "object", "other_subject", "other_predicate", "other_object", F.explode_outer("known").alias("x"))
+    each = rows.select(*per, "changed", "p_local", "post", "subject", "predicate", "object", "other_subject", "other_predicate", "other_object", F.explode_outer("known").alias("x"))
     each = each.select("*", "x.*").drop("x").join(instances, "constraint_id", "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
-    checkable, satisfied = Check("post", closed).columns()
-    each = each.withColumns({"chk": checkable, "sat": satisfied})
+    checkable, satisfied = Check("post", closed).columns("chk")
+    # An edit that changes nothing leaves every verdict as it was.
+    each = each.withColumn("chk", F.when(F.col("changed"), checkable).otherwise(F.coalesce("checkable_pre", F.lit(False))))
+    each = each.withColumn("sat", F.when(F.col("changed"), satisfied).otherwise(F.coalesce(F.col("satisfied_pre") == 1, F.lit(False))))
     pre_ok, pre_sat = F.coalesce("checkable_pre", F.lit(False)), F.coalesce(F.col("satisfied_pre") == 1, F.lit(False))
     primary, c, s = F.coalesce("is_primary", F.lit(False)), F.col("chk"), F.col("sat")
     both = ~primary & pre_ok & c

@@ -179,9 +179,12 @@ class Check:
             "single": self.single, "type": lambda: self._typed("s"), "valueType": lambda: self._typed("o"), "distinct": self.distinct,
         }
 
-    def columns(self) -> tuple[Column, Column]:
-        """(checkable, satisfied): false where a family has no checker; satisfied only where checkable."""
+    def columns(self, checkable_name: str) -> tuple[Column, Column]:
+        """(checkable, satisfied): false where a family has no checker; satisfied only where checkable.
+
+        Satisfaction reads the first of the two from the column ``checkable_name``, so that it isn't computed twice.
+        """
         rules = {family: check() for family, check in self.families().items()}
         case = lambda i: "case family " + " ".join(f"when '{f}' then {r[i]}" for f, r in rules.items()) + " else false end"
         checkable = f"coalesce(supported and {case(0)}, false)"
-        return F.expr(checkable), F.expr(f"{checkable} and coalesce({case(1)}, false)")
+        return F.expr(checkable), F.expr(f"{checkable_name} and coalesce({case(1)}, false)")

@@ -49,9 +49,9 @@ def factors(records: DataFrame, instances: DataFrame, scope: str = "local", poli
         joined = joined.where("supported or is_primary")
     elif policy != "all":
         raise ValueError(f"unknown policy: {policy}")
-    for state, name in (("pre", "pre"), ("post", "post")):
-        checkable, satisfied = Check(state, closed).columns()
-        joined = joined.withColumns({f"checkable_{name}": checkable, f"satisfied_{name}": satisfied.cast("int")})
+    rules = {s: Check(s, closed).columns(f"checkable_{s}") for s in ("pre", "post")}
+    joined = joined.withColumns({f"checkable_{s}": r[0] for s, r in rules.items()})
+    joined = joined.withColumns({f"satisfied_{s}": r[1].cast("int") for s, r in rules.items()})
     return joined.select(*KEYS, *STATES)
 
 

@@ -345,7 +345,6 @@ QUERIES: dict[str, Query] = {
     "candidates": lambda spark, sf: candidate_sets(spark, sf),
     "candidate_counts": candidate_counts,
     "candidate_metrics": evaluated,
-    "best_candidates": best_candidates,
     "oracle_choice": oracle_choice,
     "oracle_report": lambda spark, sf: evaluate.oracle_report(scored(spark, sf), violations(spark, sf)),
     "deletion_degeneracy": degeneracy,
