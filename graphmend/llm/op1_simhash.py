@@ -7,6 +7,10 @@ children hang at their integer Hamming distance to the parent; a search follows
 The trees of one shard go to the tasks that hold the fingerprints of that shard by one shuffle on the shard key and not
 by a broadcast: together they hold every fingerprint of the corpus several times, so their size has no bound.
 
+``keep_one_of_each`` takes five-word shingles and a similarity of 0.8. Such texts differ in about 10 of 64 bits, so no
+choice of agreeing bit blocks finds them. There the shards are groups of texts that agree on the least hashes of some
+band; the BK-tree of a shard is searched with a radius of 20, and what it finds is compared by exact similarity.
+
 Results for odd input: a null or wordless text has the fingerprint zero and links like any other; texts of one or two
 words have one shingle, the whole sequence; equal texts (repeated rows too) share a fingerprint and meet before any
 search; a null doc_id stays a row and never becomes a component id unless its whole component has none; an empty table
@@ -35,20 +39,34 @@ BLOCKS = 5
 #: chunks is a group of its own, so no group outgrows a task and no member is left out.
 CHUNK = 1024
 
+#: Similarity (Jaccard, of the sets of shingles) from which texts are copies of each other.
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+#: Bits differ with probability acos(2s / (1 + s)) / pi: 0.15 at 0.8, so 9.7 of 64, deviation 2.9. Above 20: 3 in 10,000.
+SIMILAR_RADIUS = 20
+#: A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 8) ** 32 = 0.997, one at 0.3 with 0.002.
+BANDS, BAND_ROWS = 32, 8
+#: Shingles held by one task at a time, 8 bytes each; shards are split by it as by ``CHUNK``.
+CHUNK_SHINGLES = 1 << 22
 
-def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """Fingerprint of one text as an unsigned 64-bit integer."""
+
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """Unsigned 64-bit hashes of the shingles in order, repeats included; none for a text without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
     if len(words) < shingle_words:
-        shingles: list[bytes] = [b" ".join(words)]
+        shingles: list[bytes] = [b" ".join(words)] if words else []
     else:
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(shingle_words)), strict=False)))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles))
+    return np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The 64-bit integer whose bits are those set in over half the hashes."""
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     # Eight byte lanes at a time: bit k of every byte, summed over at most 255 hashes so that no lane overflows.
     lane = np.uint64(0x0101010101010101)
@@ -60,6 +78,11 @@ def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SE
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """Fingerprint of one text as an unsigned 64-bit integer."""
+    return majority_bits(shingle_hashes(text, shingle_words, seed))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp): one row per document; fp holds the 64 bits as a signed long."""
 
@@ -245,29 +268,175 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id", "component_docs")
 
 
-def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One signed 64-bit key a band: its least hashes of a set of shingles under ``BAND_ROWS`` odd multipliers."""
+    draw = np.random.default_rng(SEED)
+    odd = draw.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    mix = draw.integers(0, 1 << 63, BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 256):
+        np.minimum(least, (shingles[at : at + 256, None] * odd).min(axis=0), out=least)
+    return (least.reshape(BANDS, BAND_ROWS) * mix).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, text_col: str, row_col: str) -> DataFrame:
+    """(row, same, shingles, keys): digest and size of each text's set of shingles, and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            same, sizes, keys = [], [], []
+            for text in batch.column(1).to_pylist():
+                found = np.unique(shingle_hashes(text, SIMILAR_WORDS))
+                same.append(xxhash.xxh3_128_digest(found.tobytes()))
+                sizes.append(len(found))
+                keys.append(band_keys(found))
+            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "same", "shingles", "keys"])
+
+    return docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, "row long, same binary, shingles long, keys array<long>"
+    )
+
+
+class Shard:
+    """A BK-tree of held texts and the links found so far; a text meets the held ones that it isn't joined with yet."""
+
+    def __init__(self, radius: int, similarity: float) -> None:
+        self.radius, self.similarity = radius, similarity
+        self.tree, self.at, self.sets = BKTree(), [], {}
+        self.parent: dict[int, int] = {}
+        self.parts = 0
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while (above := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = self.parent[above]
+            x = above
+        return x
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> bool:
+        small, large = (a, b) if len(a) <= len(b) else (b, a)
+        if len(small) < self.similarity * len(large) - 1e-9:
+            return False
+        place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        both = int(np.count_nonzero(large[place] == small))
+        return both >= self.similarity * (len(a) + len(b) - both) - 1e-9
+
+    def meet(self, row: int, bits: int, found: np.ndarray) -> int:
+        """Links the row with every component of held texts that has one alike; ends when all are one."""
+        joined = 0
+        for node in self.tree.search(bits, self.radius):
+            for other in self.at[node]:
+                if joined == self.parts:
+                    return joined
+                a, b = self.root(row), self.root(other)
+                if a != b and self.alike(found, self.sets[other]):
+                    self.parent[a] = b
+                    self.links.append((row, other))
+                    joined += 1
+        return joined
+
+    def hold(self, row: int, bits: int, found: np.ndarray) -> None:
+        node = self.tree.add(bits)
+        if node == len(self.at):
+            self.at.append([])
+        self.at[node].append(row)
+        self.sets[row] = found
+        self.parts += 1
+
+    def put(self, row: int, text: str | None, meets: bool, holds: bool) -> None:
+        found = np.unique(shingle_hashes(text, SIMILAR_WORDS))
+        bits = majority_bits(found)
+        joined = self.meet(row, bits, found) if meets else 0
+        if holds:
+            self.hold(row, bits, found)
+            self.parts -= joined
+        else:
+            self.parts -= max(0, joined - 1)
+
+
+def similar_links(
+    texts: DataFrame, groups: DataFrame, radius: int, similarity: float, chunk: int = CHUNK, chunk_shingles: int = CHUNK_SHINGLES
+) -> DataFrame:
+    """Links (a, b) of rows whose components are those of all similar pairs within each group.
+
+    ``texts`` has (row, text), ``groups`` (row, root, shingles). A group of more than ``chunk`` texts is split, and each
+    pair of chunks is a shard: its lower chunk is held as a tree, the other streams past it.
+    """
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("shingles").alias("held"))
+    chunks = F.greatest(F.ceil(F.col("n") / F.lit(chunk)), F.ceil(F.col("held") / F.lit(chunk_shingles))).cast("int")
+    dealt = (
+        groups.join(sizes, "root")
+        .withColumn("chunks", chunks)
+        .withColumn("c", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("row", "root", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard = None, Shard(radius, similarity)
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for root, i, j, c, row, text in zip(*(batch.column(x).to_pylist() for x in range(6)), strict=True):
+                if (root, i, j) != now:
+                    links += shard.links
+                    now, shard = (root, i, j), Shard(radius, similarity)
+                shard.put(row, text, meets=i == j or c == j, holds=c == i)
+            yield _rows(links)
+        yield _rows(shard.links)
+
+    def _rows(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        both = np.array(links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+    placed = texts.join(dealt, "row").select("root", "i", "j", "c", "row", "text")
+    shards = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "c", "row")
+    return shards.mapInArrow(run, "a long, b long")
+
+
+def similar_documents(
+    docs: DataFrame, text_col: str, row_col: str, radius: int = SIMILAR_RADIUS, similarity: float = SIMILARITY, chunk: int = CHUNK
+) -> DataFrame:
+    """(row, component_id, component_docs) of documents with a unique long ``row_col``; component_id is a least row.
+
+    Texts of equal sets of shingles become one first. Texts that share a band key link to the least row of that key;
+    the components of these links are the shards, and within a shard only similar texts stay linked.
+    """
+    marked = written(shingle_sets(docs, text_col, row_col), "sets")
+    size = F.first("shingles").alias("shingles")
+    alone = marked.groupBy("same").agg(F.min("row").alias("row"), F.count("*").alias("docs"), size, F.first("keys").alias("keys"))
+    alone = written(alone, "alone")
+    banded = alone.select("row", F.posexplode("keys").alias("band", "key"))
+    heads = banded.groupBy("band", "key").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = components(banded.join(heads, ["band", "key"]).select(F.col("row").alias("a"), F.col("head").alias("b")))
+    groups = alone.select("row", "shingles").join(near.withColumnRenamed("node", "row"), "row").select("row", "root", "shingles")
+    texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    found = components(similar_links(texts, written(groups, "groups"), radius, similarity, chunk))
+    rooted = alone.join(found, F.col("row") == F.col("node"), "left").select("same", "docs", F.coalesce("root", "row").alias("component_id"))
+    rooted = written(rooted, "rooted")
+    sizes = rooted.groupBy("component_id").agg(F.sum("docs").alias("component_docs"))
+    classes = written(rooted.join(sizes, "component_id").select("same", "component_id", "component_docs"), "classes")
+    return marked.select("row", "same").join(classes, "same").select("row", "component_id", "component_docs")
+
+
+def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, with one row of each near-duplicate component: that of the smallest doc_id.
 
-    Repeated rows of that doc_id count as copies too: the first by text stays. Null ids are one component's rows only
-    where no document of it has an id; one of them stays.
+    Repeated rows of that doc_id count as copies too: the first in row order stays. Null ids come last, so a row
+    without an id stays only where no document of its component has one. Texts without words are copies of each other.
     """
     row = own_name(docs, "row")
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    classes = near_duplicates(numbered, text_col, row, radius)
-    # Rows are numbered by place; the row to keep has the smallest (doc_id, row) of its component.
-    ids = numbered.select(F.col(row).alias("r"), F.col(id_col).alias("i"))
+    classes = similar_documents(numbered, text_col, row, similarity=similarity).where("component_docs > 1")
+    copies = written(classes.select(F.col("row").alias("copy"), "component_id"), "copies")
+    ids = numbered.select(F.col(row).alias("r"), F.col(f"`{id_col}`").alias("i"))
     rank = F.struct(F.col("i").isNull().alias("none"), F.col("i").alias("i"), F.col("r").alias("r"))
-    stay = (
-        classes.where("component_docs > 1")
-        .join(ids, F.col("doc_id") == F.col("r"))
-        .groupBy("component_id")
-        .agg(F.min(rank).alias("first"))
-        .select(F.col("component_id").alias("c"), F.col("first.r").alias("stays"))
-    )
-    stay = written(stay, "stay")
-    copies = classes.where("component_docs > 1").select(F.col("doc_id").alias(own_name(docs, "copy")), "component_id")
-    gone = written(copies, "copies").join(stay, F.col("component_id") == F.col("c"))
-    gone = written(gone.where(F.col(own_name(docs, "copy")) != F.col("stays")).select(own_name(docs, "copy")), "gone")
+    first = copies.join(ids, F.col("copy") == F.col("r")).groupBy("component_id").agg(F.min(rank).alias("first"))
+    stay = written(first.select(F.col("first.r").alias("stays")), "stay")
+    gone = copies.join(stay, F.col("copy") == F.col("stays"), "left_anti").select(F.col("copy").alias(own_name(docs, "copy")))
+    gone = written(gone, "gone")
     return numbered.join(gone, F.col(row) == F.col(own_name(docs, "copy")), "left_anti").drop(row)
 
 

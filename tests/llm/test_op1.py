@@ -2,7 +2,18 @@ from collections import Counter
 
 import xxhash
 
-from graphmend.llm.op1_simhash import BKTree, _links, keep_one_of_each, near_duplicates, near_links, simhash
+from graphmend.llm.op1_simhash import (
+    BKTree,
+    _links,
+    band_keys,
+    keep_one_of_each,
+    near_duplicates,
+    near_links,
+    shingle_hashes,
+    similar_documents,
+    similar_links,
+    simhash,
+)
 
 SCHEMA = "doc_id long, text string, fp string"
 
@@ -92,5 +103,83 @@ def test_empty_table_and_keep(spark):
     data = rows()
     kept = keep_one_of_each(spark.createDataFrame(data, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp"]
-    comps = slow_components([r[0] for r in data], [slow_simhash(r[1]) for r in data])
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comps))
+    comps = similar_components([r[1] for r in data])
+    want = {}
+    for c, r in zip(comps, data, strict=True):
+        want[c] = min(want.get(c, (True, 0)), (r[0] is None, r[0] or 0))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for _, i in want.values())
+    assert keep_one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_components(texts):
+    sets = [shingle_set(t) for t in texts]
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0:
+                old, new = comp[i], comp[j]
+                comp = [new if c == old else c for c in comp]
+    return comp
+
+
+def families(seed, count=12, copies=12):
+    """Texts of 8 to 300 words, and copies of each with more and more words replaced."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    texts = []
+    for _ in range(count):
+        base = [word() for _ in range(rng.choice([8, 30, 100, 300]))]
+        for k in range(copies):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), min(len(copy), k * len(copy) // 150)):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    return texts
+
+
+def partition(comps):
+    groups = {}
+    for i, c in enumerate(comps):
+        groups.setdefault(c, []).append(i)
+    return sorted(groups.values())
+
+
+def test_similar_components_match_brute_force(spark):
+    texts = families(3) + ["", None, "one two", "One two", "three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    found = {r.row: r.component_id for r in similar_documents(docs, "text", "row").collect()}
+    assert partition([found[i] for i in range(len(texts))]) == partition(similar_components(texts))
+
+
+def test_similar_links_in_any_chunking(spark):
+    texts = families(4, count=4)
+    want = partition(similar_components(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    groups = spark.createDataFrame([(i, 0, len(shingle_set(t))) for i, t in enumerate(texts)], "row long, root long, shingles long")
+    for chunk, shingles in ((1000, 1 << 22), (5, 1 << 22), (1000, 500)):
+        comp = list(range(len(texts)))
+        for r in similar_links(docs, groups, 20, 0.8, chunk, shingles).collect():
+            old, new = comp[r.a], comp[r.b]
+            comp = [new if c == old else c for c in comp]
+        assert partition(comp) == want
+
+
+def test_band_keys_meet_at_the_similarity():
+    import numpy as np
+
+    rng, met = np.random.default_rng(1), Counter()
+    for shared in (800, 300):
+        for _ in range(200):
+            both = rng.integers(0, 1 << 63, 1000, np.uint64)
+            own = (1000 - shared) // 2
+            a, b = both[: shared + own], np.concatenate([both[:shared], both[shared + own :]])
+            met[shared] += bool((band_keys(a) == band_keys(b)).any())
+    assert met[800] >= 196 and met[300] <= 10
+    assert len(shingle_hashes("", 5)) == len(shingle_hashes(None, 5)) == 0
