@@ -5,8 +5,8 @@ space as single blanks) and hashed; a line that more than ``SHARE`` of a host's
 ``LEAST_DOCS`` at least, is boilerplate there and is removed. A document that this leaves with under ``LEAST_WORDS`` words
 or under ``LEAST_LEFT`` of its words is depleted and rejected.
 
-Copies must not make each other's lines boilerplate: documents with the same least line hash count as one. Should copies
-still deplete each other, the first of them by doc_id stays, whole. At most 1 / SHARE times a host's mean number of lines
+Equal texts must not make each other's lines boilerplate: documents with the same set of normalised lines count as one,
+all others count apart, near copies too. Should copies still deplete each other, the first of them by doc_id stays, whole. At most 1 / SHARE times a host's mean number of lines
 can be boilerplate, so a host's list stays short at any corpus size.
 
 Results for odd input: a null, empty or blank text has no words, fails the base rules and has no lines; very long
@@ -104,7 +104,8 @@ def measured(docs: DataFrame, text_col: str, id_col: str, host_col: str, carry:
         F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), _measures(text).alias("m"),
     ).select("carried", "row", "id", "host", "m.w.*", "m.n_symbols", "m.l.*")
     failed = F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > 30 * n_words")
-    return written(found.withColumn("base_failed", failed).withColumn("copy", F.array_min("lines.h")), "measured")
+    same = F.xxhash64(F.array_sort(F.array_distinct("lines.h")))
+    return written(found.withColumn("base_failed", failed).withColumn("copy", same), "measured")
 
 
 def boilerplate(found: DataFrame, share: float = SHARE, least_docs: int = LEAST_DOCS) -> DataFrame:

@@ -74,6 +74,20 @@ def test_boilerplate_lines_go_and_depleted_documents(spark):
     assert "cookies" in kept[41] and kept[105] == copy
 
 
+def test_lines_count_once_a_distinct_document(spark):
+    """Whatever the hashes are: lines that always come together, on documents with one line of their own."""
+    rng = random.Random(7)
+    say = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(n))
+    shared = [say(4) for _ in range(12)]
+    rows = [(i, "\n".join([*shared, say(60)]), "a") for i in range(25)]
+    rows += [(100 + i, rows[0][1], "a") for i in range(30)] + [(200 + i, say(60), "a") for i in range(100)]
+    rows += [(300 + i, "\n".join([*shared, say(60)]), "b") for i in range(19)] + [(400, rows[-1][1], "b")]
+    kept = {r.doc_id: r.text for r in op3_quality.keep_good(frame(spark, rows)).collect()}
+    assert len(kept) == len(rows)
+    for i, text, _ in rows:
+        assert kept[i] == (text.split("\n")[-1] if i < 200 else text)
+
+
 # --- personal data -------------------------------------------------------------------------------------------------
 
 
