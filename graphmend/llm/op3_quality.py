@@ -6,7 +6,10 @@ space as single blanks) and hashed; a line that more than ``SHARE`` of a host's
 or under ``LEAST_LEFT`` of its words is depleted and rejected.
 
 Equal texts must not make each other's lines boilerplate: documents with the same set of normalised lines count as one,
-all others count apart, near copies too. Should copies still deplete each other, the first of them by doc_id stays, whole. At most 1 / SHARE times a host's mean number of lines
+all others count apart, near copies too. Near copies that deplete each other are rescued: a depleted text joins the first
+text of its host, by doc_id, that is depleted, holds one of its frequent lines or just the same ones, and shares lines of
+``NEAR`` of the words of either. Where such a group has two texts or more, and the first of it isn't depleted once each
+group counts as one document, the first stays, whole. Every other depleted document is rejected. At most 1 / SHARE times a host's mean number of lines
 can be boilerplate, so a host's list stays short at any corpus size.
 
 Results for odd input: a null, empty or blank text has no words, fails the base rules and has no lines; very long
@@ -30,6 +33,7 @@ SHARE = 0.05
 LEAST_DOCS = 20
 LEAST_WORDS = 20
 LEAST_LEFT = 0.2
+NEAR = 0.8
 REPEAT_WINDOW = 8
 
 
@@ -108,30 +112,76 @@ def measured(docs: DataFrame, text_col: str, id_col: str, host_col: str, carry:
     return written(found.withColumn("base_failed", failed).withColumn("copy", same), "measured")
 
 
+def _above(docs: str, of: str, share: float, least_docs: int) -> Column:
+    return (F.col(docs) >= least_docs) & (F.col(docs) > share * F.col(of))
+
+
 def boilerplate(found: DataFrame, share: float = SHARE, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(host, frequent): hashes of the lines of each host that are above the limits."""
+    """(host, frequent, docs, all): hashes and documents of the lines of each host that are above the limits, its documents."""
     held = found.where("size(lines) > 0").select("host", "copy", F.explode(F.array_distinct("lines.h")).alias("h"))
     counts = held.distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
     hosts = found.select(F.col("host").alias("of"), "copy").distinct().groupBy("of").agg(F.count("*").alias("all"))
-    above = counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("docs") > share * F.col("all"))
-    return written(above.groupBy("host").agg(F.collect_list("h").alias("frequent")), "boilerplate")
+    above = counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(_above("docs", "all", share, least_docs))
+    lists = above.groupBy("host").agg(F.collect_list(F.struct("h", "docs")).alias("x"), F.max("all").alias("all"))
+    return written(lists.select("host", F.col("x.h").alias("frequent"), F.col("x.docs").alias("docs"), "all"), "boilerplate")
+
+
+def _depleted(n_words: str, n_removed: str) -> Column:
+    left = F.col(n_words) - F.col(n_removed)
+    return (F.col(n_removed) > 0) & ((left < LEAST_WORDS) | (left < LEAST_LEFT * F.col(n_words)))
+
+
+def rescued(bare: DataFrame, lists: DataFrame, share: float = SHARE, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """Written table (first): the rows of depleted documents that stay, as the first of near copies."""
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    texts = bare.groupBy("host", "copy").agg(F.min(rank).alias("rank"), F.min_by(F.struct("n_words", "lines", "frequent"), rank).alias("x"))
+    texts = written(texts.select("host", "rank", F.col("rank.row").alias("row"), "x.*"), "depleted")
+    lines = texts.select("row", F.explode("lines").alias("x")).groupBy("row", F.col("x.h").alias("h")).agg(F.sum("x.w").alias("w"))
+    lines = written(lines, "depleted_lines")
+
+    # Each text meets the first holders of its frequent lines and of just these lines.
+    core = F.array_sort(F.array_intersect("lines.h", "frequent"))
+    keys = texts.select("host", "rank", F.explode(F.array_append(core, F.xxhash64(core))).alias("key"))
+    firsts = keys.groupBy(F.col("host").alias("of"), F.col("key").alias("k")).agg(F.min("rank").alias("lead"))
+    met = keys.join(firsts, F.col("host").eqNullSafe(F.col("of")) & (F.col("key") == F.col("k"))).where("lead.row <> rank.row")
+    met = met.select(F.col("rank.row").alias("row"), "lead").distinct()
+    own = met.join(lines, "row").withColumn("lead_row", F.col("lead.row"))
+    theirs = lines.select(F.col("row").alias("lead_row"), "h", F.col("w").alias("lead_w"))
+    both = own.join(theirs, ["lead_row", "h"]).groupBy("row", "lead").agg(F.sum("w").alias("w"), F.sum("lead_w").alias("lead_w"))
+    sizes = texts.select("row", "n_words")
+    both = both.join(sizes, "row").join(sizes.select(F.col("row").alias("r"), F.col("n_words").alias("lead_words")), F.col("lead.row") == F.col("r"))
+    near = both.where((F.col("w") >= NEAR * F.col("n_words")) & (F.col("lead_w") >= NEAR * F.col("lead_words")))
+    named = texts.join(near.groupBy("row").agg(F.min("lead").alias("lead")), "row", "left")
+    named = written(named.select("host", "row", "n_words", F.coalesce("lead.row", "row").alias("group")), "near")
+
+    # The lines once more, with each group as one document.
+    of = F.col("host").eqNullSafe(F.col("of"))
+    less = lambda group: (F.count("*") - F.count_distinct(group)).alias("less")
+    known = lists.select(F.col("host").alias("of"), "all", F.explode(F.arrays_zip(F.col("frequent").alias("h"), F.col("docs").alias("docs"))).alias("x"))
+    held = named.join(lines, "row").select("host", "row", "group", F.col("h").alias("line"), "w")
+    held = held.join(known, of & (F.col("line") == F.col("x.h"))).select("host", "row", "group", "line", "w", F.col("x.docs").alias("docs"), "all")
+    fewer = held.groupBy("host", "line", "docs", "all").agg(less("group")).withColumn("docs", F.col("docs") - F.col("less")).drop("less")
+    hosts = named.groupBy(F.col("host").alias("of")).agg(less("group"))
+    still = fewer.join(hosts, of).withColumn("all", F.col("all") - F.col("less")).where(_above("docs", "all", share, least_docs))
+    still = still.select("of", F.col("line").alias("still"))
+    lost = held.join(still, of & (F.col("line") == F.col("still"))).groupBy("row").agg(F.sum("w").alias("lost"))
+    twice = named.groupBy("group").agg(F.count("*").alias("texts")).where("texts > 1")
+    firsts = named.where(F.col("row") == F.col("group")).join(twice, "group").join(lost, "row", "left").withColumn("lost", F.coalesce("lost", F.lit(0).cast("long")))
+    return written(firsts.where(~_depleted("n_words", "lost")).select(F.col("row").alias("first")), "first")
 
 
 def judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", carry: list[str] | None = None) -> DataFrame:
     """The measured documents with ``frequent``, ``n_removed_words``, ``depleted`` and ``kept``."""
     found = measured(docs, text_col, id_col, host_col, docs.columns if carry is None else carry)
-    lists = boilerplate(found).withColumnRenamed("host", "of")
+    lists = boilerplate(found)
     lost = F.aggregate(
         F.filter("lines", lambda x: F.array_contains("frequent", x["h"])), F.lit(0).cast("long"), lambda a, x: a + x["w"]
     )
-    found = found.join(lists, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
+    short = lists.select(F.col("host").alias("of"), "frequent")
+    found = found.join(short, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
     found = found.withColumn("n_removed_words", F.when(F.col("frequent").isNull(), F.lit(0).cast("long")).otherwise(lost))
-    left = F.col("n_words") - F.col("n_removed_words")
-    low = (left < LEAST_WORDS) | (left < LEAST_LEFT * F.col("n_words"))
-    found = found.withColumn("depleted", ~F.col("base_failed") & (F.col("n_removed_words") > 0) & low)
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    bare = found.where("depleted").select("copy", "id", "row")
-    first = written(bare.groupBy("copy").agg(F.min(rank).alias("r")).select(F.col("r.row").alias("first")), "first")
+    found = found.withColumn("depleted", ~F.col("base_failed") & _depleted("n_words", "n_removed_words"))
+    first = rescued(found.where("depleted"), lists)
     emptied = found.where("depleted").join(first, F.col("row") == F.col("first"), "left").withColumn("kept", F.col("first").isNotNull())
     full = found.where("not depleted").withColumn("kept", ~F.col("base_failed"))
     return full.unionByName(emptied.drop("first"))

@@ -88,6 +88,22 @@ def test_lines_count_once_a_distinct_document(spark):
         assert kept[i] == (text.split("\n")[-1] if i < 200 else text)
 
 
+def test_depleted_documents_go_but_the_first_of_near_copies(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(n))
+    menu = [say(10) for _ in range(3)]
+    rows = [(i, "\n".join([*menu, say(40)]), "a") for i in range(30)]
+    rows += [(100 + i, "\n".join([*menu, say(8)]), "a") for i in range(12)]  # menu pages, all within the base rules
+    rows += [(112, rows[-1][1], "a"), (113, "\n".join([*menu, say(10), say(9)]), "a")]
+    lines = [say(10) for _ in range(10)]
+    near = [(200 + i, "\n".join([*lines[: i % 10], say(10), *lines[i % 10 + 1 :]]), "b") for i in range(40)]
+    half = [(300 + i, f"{lines[0]} {lines[1]}\n{say(15)}", "c") for i in range(30)]  # depleted by a notice, not copies
+    full = {r.carried.doc_id: r for r in op3_quality.judged(frame(spark, rows + near + half)).collect()}
+    assert not any(r.base_failed for r in full.values())
+    assert all(full[i].depleted for i, _, _ in near + half) and all(full[i].depleted for i in range(100, 114))
+    assert sorted(i for i, r in full.items() if r.kept) == [*range(30), 200]
+
+
 # --- personal data -------------------------------------------------------------------------------------------------
 
 
