@@ -34,7 +34,7 @@ PATTERNS = {
 #: Weak parts.
 WEAK = {
     "ident": (r"\b(?:(?:ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{12,}|(?i:client_id|user_?name|login|access_?key(?:_id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,})", 0, 0),
-    "secret": (r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, 40),
+    "secret": (r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, 40),
     "endpoint": (r"\b(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[A-Za-z0-9._~:@/?#&=%+-]{4,}", 0, 0),
 }
 

@@ -191,6 +191,17 @@ def test_weak_parts_need_each_other(spark):
     assert out == {1: ["ident", "secret", "endpoint"], 2: [], 3: [], 4: [], 5: ["access", "secret"], 6: ["assign", "ident"]}
 
 
+def test_secrets_follow_their_keys_in_any_form(spark):
+    ident, secret = "AKIA" + "Q" * 16, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    forms = ("KEY=%s", "KEY = %s", 'KEY="%s"', "KEY='%s'", "KEY:%s", "KEY: %s", "export KEY=%s;", "KEY==%s")
+    rows = [(i, f"AWS_ACCESS_KEY_ID={ident}\nAWS_SECRET_ACCESS_" + f % secret, "s") for i, f in enumerate(forms)]
+    rows += [(100, f"KEY={secret}", "s"), (101, f"{ident} KEY={secret}=", "s"), (102, f"{ident} KEY={secret}x", "s")]
+    out = {r.carried.doc_id: r.spans for r in op7_secrets.secrets(frame(spark, rows)).collect()}
+    for i, text, _ in rows[: len(forms)]:
+        assert [(op7_secrets.KINDS[s.kind], text[s.start : s.end]) for s in out[i]] == [("access", ident), ("secret", secret)], text
+    assert [len(out[i]) for i in (100, 101, 102)] == [0, 1, 1]
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------
 
 
