@@ -57,7 +57,6 @@ _SPELLED_ADDRESS = re.compile(
     re.I,
 )
 _ADDRESS_PART = re.compile(r"[\x20_-]+(at|dot)[\x20_-]+", re.I)
-_TRIGGERS = ("dot", "[at", "(at", "{at", "<at", "[ at", "( at", "(@", "[@", "{@", "@ ", " @", "[.", "(.", "{.", "arroba", "chez", "punkt]", "punto]", "punkt)", "punto)", "point]", "point)")
 _ANY_WORD = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
 
@@ -161,6 +160,14 @@ def _disguises(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def _disguised(text: str) -> bool:
+    """Whether a pattern of ``_disguises`` may match: by what each needs, then by the pattern itself."""
+    bracket = "[" in text or "(" in text or "{" in text or "<" in text
+    if bracket and (_BRACKET_AT.search(text) or _BRACKET_DOT.search(text)):
+        return True
+    return "dot" in text.lower() or "@" in text and _LOOSE_AT.search(text) is not None
+
+
 def deobfuscated(text: str) -> Tape | None:
     """The rewritten text; None if nothing in it can change."""
     tape = None
@@ -176,7 +183,7 @@ def deobfuscated(text: str) -> Tape | None:
     if sum(w in low for w in _ANY_WORD) and _SPELLED.search(low):
         tape = tape or Tape(text)
         _spelled_digits(tape)
-    if any(t in low for t in _TRIGGERS):
+    if _disguised(tape.text if tape else text):
         tape = tape or Tape(text)
         _disguises(tape)
     return tape if tape is not None and tape.text != text else None

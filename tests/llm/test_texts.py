@@ -145,6 +145,17 @@ def test_disguises_map_back(text, kind, found):
     assert found not in op5_pii.redacted(text)
 
 
+@pytest.mark.parametrize("a", "[({<")
+@pytest.mark.parametrize("blank", ["", " ", "\t"])
+def test_each_disguise_alone_is_found(a, blank):
+    b = {"[": "]", "(": ")", "{": "}", "<": ">"}[a]
+    texts = [f"john{x}{a}{blank}{w}{blank}{b}{x}example.com" for w in ("at", "AT", "@", "arroba", "chez") for x in ("", " ")]
+    texts += [f"john@example{x}{a}{blank}{w}{blank}{b}{x}com" for w in ("dot", ".", "punkt", "Punto", "point", "po\u0130nt") for x in ("", " ")]
+    texts += ["john @ example.com", "john@ example.com", "john @example.com", "john\t@\texample.com"]
+    for text in texts:
+        assert [(k, text[s:e]) for k, s, e, base in op5_pii.find_spans(text) if not base] == [(0, text)], text
+
+
 def test_plain_texts_stay():
     for text in ("one two three go", "Meet at noon. Dot the i.", "", None, "The point is at home", "© 2024 été"):
         assert op5_pii.find_spans(text) == [] and op5_pii.redacted(text) == text
