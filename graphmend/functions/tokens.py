@@ -35,9 +35,8 @@ def is_property_token(value: Column) -> Column:
 
 
 def literal_text(value: Column) -> Column:
-    """The text before the datatype of a value that is no entity; empty for entities."""
-    plain = bare(value)
-    return F.when(plain.startswith(ENTITY), "").otherwise(F.trim(F.translate(F.substring_index(plain, "^^", 1), '"', "")))
+    """The text before the datatype of a value that is no entity, quotes and all; empty for entities."""
+    return F.when(bare(value).startswith(ENTITY), "").otherwise(F.substring_index(value, "^^", 1))
 
 
 def status_phrase(code: Column) -> Column:

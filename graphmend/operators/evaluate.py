@@ -17,31 +17,38 @@ def focus_present(state: str) -> Column:
     return F.exists(f"{state}.s", lambda x: (x["p"] == F.col("predicate")) & (x["o"] == F.col("object")))
 
 
-def evaluate(candidates: DataFrame, records: DataFrame, instances: DataFrame, closed: bool = True) -> DataFrame:
-    """One row per candidate (violation_id, idx, slots): effects on the record's attached constraints.
+def evaluate(candidates: DataFrame, records: DataFrame, instances: DataFrame, closed: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per candidate (violation_id, idx, slots, and columns to carry): effects on the record's attached constraints.
 
-    The state before and after the historical edit is labelled once a record and travels as one array, so only the
-    state after the candidate is evaluated per candidate and constraint. Constraints without a checker never count
-    and are left out before the product.
+    The state before and after the historical edit is labelled once a record and travels as one array, so only states
+    after candidates are evaluated, and of equal states of a record (most candidates change nothing or do the same) one.
+    Constraints without a checker never count and are left out before the product.
     """
     known = factors(records, instances, closed=closed).where("supported")
     flags = F.struct("constraint_id", "is_primary", "checkable_pre", "satisfied_pre", F.col("checkable_post").alias("checkable_gold"), F.col("satisfied_post").alias("satisfied_gold"))
     known = known.groupBy("violation_id").agg(F.collect_list(flags).alias("known"))
-    keep = ["violation_id", "constraint_type", "local_constraint_ids", "p_local", "x_id", "x_raw", "pre", "subject", "predicate", "object", "other_subject", "other_predicate", "other_object"]
-    base = with_evidence(records).select(*keep).join(known, "violation_id", "left")
-    rows = with_edit(candidates.select("violation_id", "idx", *SLOTS).join(base, "violation_id"), [F.col(n) for n in SLOTS], "post", closed)
+    roles = ["subject", "predicate", "object", "other_subject", "other_predicate", "other_object"]
+    base = with_evidence(records).select("violation_id", "constraint_type", "p_local", "x_id", "x_raw", "pre", *roles).join(known, "violation_id", "left")
+    rows = with_edit(candidates.select("violation_id", "idx", *SLOTS, *carry).join(base, "violation_id"), [F.col(n) for n in SLOTS], "post", closed)
     gone = [resolved(F.col(n)) for n in SLOTS[3:]]
     whole = lambda a: (triple([F.col(f"{a}_{x}") for x in "spo"]).isNotNull()).cast("long")
     rows = rows.withColumns(
         {
-            "add_count": whole("add"), "del_count": whole("del"),
-            "pre_focus": focus_present("pre"), "post_focus": focus_present("post"),
-            "changed": F.col("post") != F.col("pre"),
+            "add_count": whole("add"), "del_count": whole("del"), "pre_focus": focus_present("pre"), "post_focus": focus_present("post"),
             "deletes_focus": (gone[0] == F.col("subject")) & (gone[1] == F.col("predicate")) & (gone[2] == F.col("object")),
         }
     )
-    per = ["violation_id", "constraint_type", "idx", "add_count", "del_count", "pre_focus", "post_focus", "deletes_focus"]
-    each = rows.select(*per, "changed", "p_local", "post", "subject", "predicate", "object", "other_subject", "other_predicate", "other_object", F.explode_outer("known").alias("x"))
+    # A state is told by its number within the record: candidates and states then meet by two small keys.
+    one = F.struct("idx", *carry, "add_count", "del_count", "pre_focus", "post_focus", "deletes_focus", "post")
+    fixed = [c for c in base.columns if c != "violation_id"]
+    packed = rows.groupBy("violation_id").agg(*(F.first(c).alias(c) for c in fixed), F.collect_list(one).alias("cs"))
+    packed = packed.withColumn("states", F.array_distinct("cs.post"))
+    per = ["violation_id", "state"]
+    numbered = packed.select("violation_id", "constraint_type", "states", F.explode("cs").alias("c"))
+    place = (F.array_position("states", F.col("c.post")) - 1).cast("int").alias("state")
+    told = numbered.select("violation_id", "constraint_type", place, *(f"c.{c}" for c in ("idx", *carry, "add_count", "del_count", "pre_focus", "post_focus", "deletes_focus")))
+    states = packed.select("violation_id", "known", "pre", "p_local", *roles, F.posexplode("states").alias("state", "post"))
+    each = states.select(*per, (F.col("post") != F.col("pre")).alias("changed"), "p_local", "post", *roles, F.explode_outer("known").alias("x"))
     each = each.select("*", "x.*").drop("x").join(instances, "constraint_id", "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
     checkable, satisfied = Check("post", closed).columns("chk")
     # An edit that changes nothing leaves every verdict as it was.
@@ -58,6 +65,7 @@ def evaluate(candidates: DataFrame, records: DataFrame, instances: DataFrame, cl
         count(both & ~pre_sat & s).alias("improvements"), count(both & ~pre_sat).alias("improvements_denom"),
         count(tracked & ~s).alias("gold_regressions"), count(tracked).alias("gold_regressions_denom"),
     )
+    sums = told.join(sums, per).drop("state")
     sums = sums.withColumns(
         {
             "pre_fraction": rate(F.col("satisfied_pre"), F.col("checkable_pre")), "post_fraction": rate(F.col("satisfied_post"), F.col("checkable_post")),
@@ -76,21 +84,32 @@ def evaluate(candidates: DataFrame, records: DataFrame, instances: DataFrame, cl
     )
 
 
-def oracle_choice(evaluated: DataFrame) -> DataFrame:
-    """(violation_id, oracle_idx, non_vacuous_idx): best candidates by their keys (``score`` included), first of equals."""
-    key = F.struct(
-        F.col("primary_satisfied").alias("a"), (F.col("regressions") == 0).alias("b"), F.col("post_fraction").alias("c"),
-        (-F.col("ops")).alias("d"), (-F.col("srr")).alias("e"), F.col("score").alias("f"), (-F.col("idx")).alias("g"),
+def _order(*parts: Column) -> Column:
+    return F.struct(*(p.alias(f"k{i}") for i, p in enumerate(parts)))
+
+
+def choices(evaluated: DataFrame, figures: tuple[str, ...] = ()) -> DataFrame:
+    """One row a record, from one pass: the best-scored candidate, the oracle's and the non-vacuous oracle's.
+
+    (violation_id, constraint_type, candidates, selected_idx, oracle_idx, non_vacuous_idx) and the named figures of the first
+    two, as ``selected_...`` and ``oracle_...``. Ties go to the first candidate; ``score`` is among the oracle's keys.
+    """
+    c, last = F.col, -F.col("idx")
+    whole = F.struct("idx", *figures)
+    merit = (c("post_fraction"), -c("ops"), -c("srr"), c("score"), last)
+    best = evaluated.groupBy("violation_id").agg(
+        F.first("constraint_type").alias("constraint_type"), F.count("*").alias("candidates"),
+        F.max_by(whole, _order(c("score"), last)).alias("selected"),
+        F.max_by(whole, _order(c("primary_satisfied"), c("regressions") == 0, *merit)).alias("oracle"),
+        F.max_by("idx", F.when(c("non_vacuous_safe"), _order(*merit))).alias("non_vacuous_idx"),
     )
-    some = F.struct(F.col("post_fraction").alias("c"), (-F.col("ops")).alias("d"), (-F.col("srr")).alias("e"), F.col("score").alias("f"), (-F.col("idx")).alias("g"))
-    return evaluated.groupBy("violation_id").agg(
-        F.max_by("idx", key).alias("oracle_idx"), F.max_by("idx", F.when(F.col("non_vacuous_safe"), some)).alias("non_vacuous_idx")
-    )
+    named = (F.col(f"{side}.{n}").alias(f"{side}_{n}") for side in ("selected", "oracle") for n in ("idx", *figures))
+    return best.select("violation_id", "constraint_type", "candidates", "non_vacuous_idx", *named)
 
 
-def selected(evaluated: DataFrame) -> DataFrame:
-    """(violation_id, selected_idx): the best score, first of equals."""
-    return evaluated.groupBy("violation_id").agg(F.max_by("idx", F.struct("score", -F.col("idx"))).alias("selected_idx"))
+def oracle_choice(evaluated: DataFrame) -> DataFrame:
+    """(violation_id, oracle_idx, non_vacuous_idx, selected_idx)."""
+    return choices(evaluated).select("violation_id", "oracle_idx", "non_vacuous_idx", "selected_idx")
 
 
 def density_bucket(count: Column) -> Column:
@@ -101,12 +120,9 @@ def density_bucket(count: Column) -> Column:
 
 def oracle_report(evaluated: DataFrame, records: DataFrame) -> DataFrame:
     """Selected against oracle candidates over all, by density and by type; regression rates are pooled here."""
-    picks = selected(evaluated).join(oracle_choice(evaluated), "violation_id")
-    figures = ["primary_satisfied", "regressions", "regressions_denom", "improvements", "improvements_denom", "post_fraction", "ops", "safe", "non_vacuous_safe", "focus_preserved"]
-    of = lambda p: evaluated.select("violation_id", F.col("idx").alias(f"{p}_idx"), *(F.col(c).alias(f"{p}_{c}") for c in figures))
-    rows = picks.join(of("selected"), ["violation_id", "selected_idx"]).join(of("oracle"), ["violation_id", "oracle_idx"])
-    size = records.select("violation_id", "constraint_type", density_bucket(F.size("local_constraint_ids")).alias("density"))
-    rows = rows.join(size, "violation_id")
+    figures = ("primary_satisfied", "regressions", "regressions_denom", "improvements", "improvements_denom", "post_fraction", "ops", "safe", "non_vacuous_safe", "focus_preserved")
+    size = records.select("violation_id", density_bucket(F.size("local_constraint_ids")).alias("density"))
+    rows = choices(evaluated, figures).join(size, "violation_id")
     mean = lambda p, c: F.avg(F.col(f"{p}_{c}").cast("double")).alias(f"{p}_{c}")
     pooled = lambda p, c: rate(F.sum(f"{p}_{c}"), F.sum(f"{p}_{c}_denom")).alias(f"{p}_pooled_{c}")
     sums = rows.groupingSets([[], [F.col("density")], [F.col("constraint_type")]], F.col("density"), F.col("constraint_type")).agg(

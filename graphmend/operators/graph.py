@@ -10,9 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphmend.sources.violations import EDIT
+
+from .vocabulary import with_new_ids
+
 UNKNOWN, LITERAL = 8, 7
 #: Edge types.
 FACT, PARAMETER_P, PARAMETER_O, FACTOR_PREDICATE, FACTOR_SUBJECT, FACTOR_OBJECT = 1, 2, 3, 4, 5, 6
+PREDICATE_FACTOR, SUBJECT_FACTOR, OBJECT_FACTOR = 7, 8, 9
 PRESSURE = (FACTOR_PREDICATE, FACTOR_SUBJECT, FACTOR_OBJECT)
 
 
@@ -86,10 +91,10 @@ def _observed() -> Column:
 
 
 def _scope() -> Column:
-    """Subjects within which a factor watches predicates; null watches all."""
+    """Subjects within which a factor watches predicates; null watches all, a literal object none."""
     return (
         F.when(F.col("family").isin("single", "conflictWith", "itemRequiresStatement"), F.array("subject"))
-        .when(F.col("family").isin("valueRequiresStatement", "valueType"), F.array("object"))
+        .when(F.col("family").isin("valueRequiresStatement", "valueType"), F.filter(F.array("object"), lambda x: x != LITERAL))
         .when(F.col("family") == "distinct", F.array("subject", "other_subject"))
     )
 
@@ -111,6 +116,31 @@ def wiring(factors: DataFrame, facts: DataFrame) -> DataFrame:
     return met.select("violation_id", "constraint_id", "is_primary", "ord", F.explode(made).alias("e")).select("violation_id", "constraint_id", "is_primary", "e.*", "ord")
 
 
+def both_ways(wired: DataFrame) -> DataFrame:
+    """(violation_id, constraint_id, type, source, target): the wiring and its reverse edges.
+
+    Types 4 to 6 lead from the factor, 7 to 9 back to it; factors stand by their constraint's id.
+    """
+    ends = ("constraint_id", "target")
+    one = lambda kind, a, b: F.struct(kind.alias("type"), F.col(a).alias("source"), F.col(b).alias("target"))
+    both = F.array(one(F.col("type"), *ends), one(F.col("type") + (PREDICATE_FACTOR - FACTOR_PREDICATE), *ends[::-1]))
+    return wired.select("violation_id", "constraint_id", F.explode(both).alias("e")).select("violation_id", "constraint_id", "e.*")
+
+
+def parameter_paths(factors: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(violation_id, constraint_id, ord, type, source, target): factor to parameter predicate, predicate to value.
+
+    A parameter predicate is a node of its own for each value, numbered ``ord`` within its factor.
+    """
+    number = F.substring("parameter", 2, 20).cast("long")
+    params = definitions.where("parameter is not null").select("constraint_id", F.struct(number.alias("p"), F.col("value").alias("o")).alias("x"))
+    lists = params.groupBy("constraint_id").agg(F.array_sort(F.collect_list("x")).alias("params"))
+    each = factors.select("violation_id", "constraint_id").join(lists, "constraint_id").select("violation_id", "constraint_id", F.posexplode("params").alias("ord", "x"))
+    one = lambda kind, a, b: F.struct(F.lit(kind).cast("long").alias("type"), a.alias("source"), b.alias("target"))
+    pair = F.array(one(PARAMETER_P, F.col("constraint_id"), F.col("x.p")), one(PARAMETER_O, F.col("x.p"), F.col("x.o")))
+    return each.select("violation_id", "constraint_id", F.col("ord").cast("long").alias("ord"), F.explode(pair).alias("e")).select("violation_id", "constraint_id", "ord", "e.*")
+
+
 def wiring_diagnostics(factors: DataFrame, wired: DataFrame) -> DataFrame:
     """Per family: factors, factors without any edge, edges per factor, primary factors wired to the focus fact."""
     each = factors.where("supported").select("violation_id", "constraint_id", "family")
@@ -147,5 +177,37 @@ def target_ids(records: DataFrame) -> DataFrame:
     return rows.select("split", "x.kind", F.when(c("x.id") < 0, 0).otherwise(c("x.id")).alias("id")).distinct()
 
 
+def node_features(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Nodes with ``feature``: their id in the vocabulary ``ids`` (token, new_id), filtered ones as the unknown token."""
+    return with_new_ids(nodes, "id", ids).withColumnRenamed("new_id", "feature")
+
+
+def normalised_targets(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """(violation_id, y): the six target ids; below 1 as 0, filtered ones as the unknown token, others as they are."""
+    slots = F.array(*(F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("long") for c in EDIT))
+    each = with_new_ids(records.select("violation_id", F.posexplode(slots).alias("slot", "id")), "id", ids)
+    y = F.when(F.col("id") == 0, F.lit(0).cast("long")).when(F.col("known"), F.col("id")).otherwise(F.lit(UNKNOWN).cast("long"))
+    by = each.groupBy("violation_id").agg(F.array_sort(F.collect_list(F.struct("slot", y.alias("y")))).alias("x"))
+    return by.select("violation_id", F.col("x.y").alias("y"))
+
+
+def label_alignment(arrays: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: records whose stored factor labels differ in length from the attached ids, or in their order."""
+    rows = records.select("violation_id", "local_constraint_ids").join(arrays, "violation_id", "left")
+    sizes = [F.size(c) for c in ("factor_types", "factor_checkable_pre", "factor_satisfied_pre", "factor_checkable_post", "factor_satisfied_post")]
+    wrong = F.lit(False)
+    for n in sizes:
+        wrong = wrong | (F.coalesce(n, F.lit(-1)) != F.size("local_constraint_ids"))
+    order = F.coalesce(F.col("factor_constraint_ids") != F.col("local_constraint_ids"), F.lit(True))
+    return rows.agg(F.count("*").alias("records"), F.count_if(wrong).alias("wrong_length"), F.count_if(order).alias("wrong_order"))
+
+
+def baseline_rows(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The columns that baselines need, and (split, records, max_id) over the six targets."""
+    rows = records.select("violation_id", "split", "constraint_id", "constraint_type", *EDIT)
+    top = F.max(F.greatest(*(F.coalesce(F.col(c), F.lit(0)) for c in EDIT))).alias("max_id")
+    return rows, rows.groupBy("split").agg(F.count("*").alias("records"), top)
+
+
 def _tag(kind: str, ids: Column) -> Column:
     return F.transform(ids, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("id")))

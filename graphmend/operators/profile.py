@@ -80,6 +80,16 @@ def support_by_split(found: DataFrame) -> DataFrame:
     ).withColumns({"supported_rate": rate(F.col("supported"), F.col("factors")), "with_supported_rate": rate(F.col("with_supported"), F.col("records"))})
 
 
+def primary_support(found: DataFrame) -> DataFrame:
+    """Primary factors by type and support, and by type, family and support (family "all" where summed over)."""
+    rows = found.where("is_primary").withColumn("family", F.coalesce("family", F.lit("missing_registry")))
+    sums = rows.groupingSets(
+        [[F.col("constraint_type"), F.col("supported")], [F.col("constraint_type"), F.col("family"), F.col("supported")]],
+        F.col("constraint_type"), F.col("family"), F.col("supported"),
+    ).agg(F.count("*").alias("factors"), F.grouping("family").alias("whole"))
+    return sums.select("constraint_type", F.when(F.col("whole") == 1, "all").otherwise(F.col("family")).alias("family"), "supported", "factors")
+
+
 def family_occurrences(found: DataFrame) -> DataFrame:
     """Per family: how often it is attached and to how many records, with the share of all attached."""
     per_record = found.where("in_registry").groupBy("family", "supported", "violation_id").agg(F.count("*").alias("n"))

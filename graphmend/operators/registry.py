@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ TYPE_ITEMS = {
 }
 #: Ids of the default relations in the adapter: instance of, subclass of.
 DEFAULT_RELATIONS = (106, 110)
+#: Places and ids of a property index that a plan may hold: some 10 MB.
+INDEX_MOST = 1 << 18
 
 
 def is_property(value: Column) -> Column:
@@ -39,28 +43,42 @@ def property_index(definitions: DataFrame) -> DataFrame:
     return definitions.groupBy("property").agg(F.array_sort(F.collect_set("constraint_id")).alias("constraint_ids"))
 
 
-def with_closures(records: DataFrame, definitions: DataFrame) -> DataFrame:
+def with_closures(records: DataFrame, definitions: DataFrame, most: int = INDEX_MOST) -> DataFrame:
     """Adds ``local_constraint_ids`` and ``local_constraint_ids_focus``: sorted, unique, the own id included.
 
-    The definitions' index is small (properties, not records); records are joined to it per property and regrouped by
-    their id, which is the only exchange.
+    The index from property to constraints is part of the plan where it has at most ``most`` places and ids, so records
+    stay where they are. A larger one is joined by property, and records are regrouped by their id.
     """
     index = property_index(definitions)
     own = definitions.select(F.col("constraint_id").alias("own"), F.col("property").alias("constrained")).distinct()
     focus = F.filter(F.array_distinct(F.array("predicate", "other_predicate", F.coalesce("constrained", F.lit(0).cast("long")))), lambda p: p != 0)
     keyed = records.join(own, F.col("constraint_id") == F.col("own"), "left").withColumns({"p_local": local_properties(), "p_focus": focus})
+    size = index.agg(F.min("property").alias("low"), F.max("property").alias("high"), F.sum(F.size("constraint_ids")).alias("ids")).first()
+    if size.low is not None and size.high - size.low < most and size.ids <= most:
+        places = _places(index, size.low, size.high)
+        of = lambda p: F.when(p.between(size.low, size.high), F.get(places, (p - size.low).cast("int")))
+        found = keyed.withColumns({c: F.flatten(F.array_compact(F.transform(f"p_{c}", of))) for c in ("local", "focus")})
+    else:
+        found = keyed.join(_regrouped(keyed, index), "violation_id", "left")
+    none = F.array().cast("array<bigint>")
+    closed = lambda c: F.array_sort(F.array_distinct(F.concat(F.coalesce(F.col(c), none), F.array("constraint_id"))))
+    return found.select(*records.columns, closed("local").alias("local_constraint_ids"), closed("focus").alias("local_constraint_ids_focus"))
+
+
+def _places(index: DataFrame, low: int, high: int) -> Column:
+    """A constant array: at each property's distance from the lowest, its constraints' ids. The caller checks the size."""
+    ids = {r["property"]: r.constraint_ids for r in index.where("property is not null").collect()}
+    return F.from_json(F.lit(json.dumps([ids.get(p) for p in range(low, high + 1)])), "array<array<bigint>>")
+
+
+def _regrouped(keyed: DataFrame, index: DataFrame) -> DataFrame:
     narrow = keyed.select("violation_id", "p_focus", F.explode(F.array_union("p_local", "p_focus")).alias("property"), "p_local")
     found = narrow.join(index, "property").select(
         "violation_id",
         F.when(F.array_contains("p_local", F.col("property")), F.col("constraint_ids")).alias("local"),
         F.when(F.array_contains("p_focus", F.col("property")), F.col("constraint_ids")).alias("focus"),
     )
-    sets = found.groupBy("violation_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("local", "focus")))
-    none = F.array().cast("array<bigint>")
-    closed = lambda c: F.array_sort(F.array_distinct(F.concat(F.coalesce(F.col(c), none), F.array("constraint_id"))))
-    return records.join(sets, "violation_id", "left").select(
-        *records.columns, closed("local").alias("local_constraint_ids"), closed("focus").alias("local_constraint_ids_focus")
-    )
+    return found.groupBy("violation_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("local", "focus")))
 
 
 def registry(definitions: DataFrame) -> DataFrame:
@@ -81,6 +99,31 @@ def type_index(entries: DataFrame, item: str = "family") -> DataFrame:
     return numbered.unionByName(blank)
 
 
+def missing_items(entries: DataFrame, item: str = "type_item") -> DataFrame:
+    """(type_item, family) of the known families that no definition uses."""
+    known = entries.sparkSession.createDataFrame(list(TYPE_ITEMS.items()), "type_item string, family string")
+    return known.join(entries.select(F.col(item).alias("type_item")).distinct(), "type_item", "left_anti")
+
+
+def item_frequencies(entries: DataFrame) -> DataFrame:
+    """(type_item, family, entries): by item (family "all") and by item and family."""
+    sums = entries.rollup("type_item", "family").agg(F.count("*").alias("entries"), F.grouping("type_item").alias("top"), F.grouping("family").alias("whole"))
+    return sums.where("top = 0").select("type_item", F.when(F.col("whole") == 1, "all").otherwise(F.col("family")).alias("family"), "entries")
+
+
+def type_qid(value: Column) -> Column:
+    """The Q-id that a raw type item names; null if none."""
+    return F.nullif(F.regexp_extract(F.trim(F.regexp_replace(F.trim(value), "^<(.*)>$", "$1")), "^(?:http://www\\.wikidata\\.org/entity/)?(Q[0-9]+)$", 1), F.lit(""))
+
+
+def family_name(label: Column) -> Column:
+    """A label as a family name: letters and digits only, first word lower, others capitalised, joined."""
+    clean = F.trim(F.lower(F.regexp_replace(label, "[^\\p{L}\\p{N}\\s]", "")))
+    words = F.split(clean, "\\s+")
+    joined = F.array_join(F.concat(F.slice(words, 1, 1), F.transform(F.slice(words, 2, 1000), F.initcap)), "")
+    return F.when(clean == "", "unsupported").otherwise(joined)
+
+
 def instances(definitions: DataFrame, default_relations: tuple[int, ...] = DEFAULT_RELATIONS) -> DataFrame:
     """Registry entries with typed parameter sets: required, items, classes, relations, inverses, conflicts.
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphmend.functions.tokens import lookup_id
+
 
 def merge(cache: DataFrame, wanted: DataFrame) -> DataFrame:
     """(kind, key, id, text, state) for the wanted (kind, key, id): ``hit``, ``copied`` from another id, or ``pending``.
 
     ``cache`` is (kind, key, id, text); an id may be null, and equals null there.
     """
-    exact = cache.select("kind", "key", F.col("id").alias("known"), F.col("text").alias("own"))
-    rows = wanted.distinct().join(exact, ["kind", "key"], "left").withColumn("same", F.col("known").eqNullSafe(F.col("id")) & F.col("own").isNotNull())
-    per = rows.groupBy("kind", "key", "id").agg(F.max(F.when(F.col("same"), F.col("own"))).alias("hit"), F.min("own").alias("any"))
+    own = cache.where("text is not null").groupBy(F.col("kind").alias("a"), F.col("key").alias("b"), F.col("id").alias("c")).agg(F.max("text").alias("hit"))
+    other = cache.groupBy("kind", "key").agg(F.min("text").alias("any"))
+    same = (F.col("kind") == F.col("a")) & (F.col("key") == F.col("b")) & F.col("id").eqNullSafe(F.col("c"))
+    per = wanted.distinct().join(own, same, "left").drop("a", "b", "c").join(other, ["kind", "key"], "left")
     state = F.when(F.col("hit").isNotNull(), "hit").when(F.col("any").isNotNull(), "copied").otherwise("pending")
     return per.select("kind", "key", "id", F.coalesce("hit", "any").alias("text"), state.alias("state"))
 
@@ -24,3 +27,23 @@ def lookup(wanted: DataFrame, cache: DataFrame, fallback: str) -> DataFrame:
     by_key = cache.where("kind = 'literal'").groupBy("key").agg(F.min("text").alias("by_key"))
     rows = wanted.join(by_id, "id", "left").join(by_key, "key", "left")
     return rows.withColumn("text", F.coalesce("by_id", "by_key", F.lit(fallback))).drop("by_id", "by_key")
+
+
+def registry_ids(registry: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(key, id, occurrences): the properties and parameter values that the registry names; id null if unresolved.
+
+    ``registry`` has (property, values), ``vocabulary`` (key, id).
+    """
+    named = registry.select(F.explode(F.array_union(F.array("property"), "values")).alias("key")).where("key is not null and key <> ''")
+    return named.groupBy("key").agg(F.count("*").alias("occurrences")).join(vocabulary, "key", "left").select("key", "id", "occurrences")
+
+
+def with_labels(spelled: DataFrame, labels: DataFrame, column: str = "uri") -> DataFrame:
+    """Fetched labels (entity, label), once an entity, given to every spelling of it."""
+    return spelled.withColumn("entity", lookup_id(F.col(column))).join(labels, "entity", "left")
+
+
+def persist(cache: DataFrame, path: str) -> None:
+    """Writes the cache in order of kind, key and id, in ranges."""
+    order = ["kind", "key", "id"]
+    cache.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)

@@ -76,6 +76,8 @@ def _fits(value: str, *roles: str) -> str:
     return " and ".join(f"({value}[{i}] = {order.index(r) + 1} or ({r} <> 0 and {value}[{i}] = {r}))" for i, r in enumerate(roles, 1))
 
 
+#: Placeholders of the roles.
+_ROLE_MARK = {r: i for i, r in enumerate(("subject", "predicate", "object", "other_subject", "other_predicate", "other_object"), 1)}
 _RIVAL = "other_subject <> 0 and other_object <> 0 and other_predicate = predicate and other_object = object and other_subject <> subject"
 _MIXED = "constraint_type in ('conflictWith', 'single', 'oneOf') and other_subject <> 0 and other_subject = subject and other_predicate <> 0"
 _PAR = lambda kind, test: f"exists (select 1 from def d where d.constraint_id = r.constraint_id and d.parameter = '{kind}' and {test})"
@@ -235,7 +237,7 @@ from nz left join vi using (token) group by 1, 2""",
 select violation_id, constraint_type, case when k <= n * 70 then 'train' when k <= n * 85 then 'val' else 'test' end part from r""",
     "parse_corrections": """select o_orderkey violation_id, 'c' || (o_orderkey % 9) constraint_id, 'Q' || o_orderkey subject, 'P101' predicate, 'Q9' || o_custkey object,
   case when o_orderkey % 2 = 0 then 'Q' || o_orderkey else '' end add_s, case when o_orderkey % 2 = 0 then 'P101' else '' end add_p,
-  'Q' || o_orderkey del_s, 'P101' del_p, case when o_orderkey % 2 = 0 then o_orderstatus else '' end add_text, 2::bigint n_descriptions from orders""",
+  'Q' || o_orderkey del_s, 'P101' del_p, case when o_orderkey % 2 = 0 then '"' || o_orderstatus || '"' else '' end add_text, 2::bigint n_descriptions from orders""",
     "page_label_facts": """select page_id, split_part(coalesce(text, ''), ' ', 1) "label", contains(coalesce(html, ''), split_part(coalesce(text, ''), ' ', 1)) mentioned
 from pages join conversations on page_id = conv_id and turn = 0""",
     "uri_normalise": """select page_id, case page_id % 4 when 0 then 'Q' || (page_id + 1) when 1 then 'P' || (page_id + 1) when 2 then 'http://www.wikidata.org/prop/statement/P' || (page_id + 1)
@@ -243,8 +245,8 @@ from pages join conversations on page_id = conv_id and turn = 0""",
   case page_id % 4 when 0 then 'Q' || (page_id + 1) when 1 then 'P' || (page_id + 1) when 2 then 'P' || (page_id + 1) end entity,
   case page_id % 4 when 0 then 'Q' || (page_id + 1) when 1 then 'P' || (page_id + 1) when 2 then 'P' || (page_id + 1) || ' (statement)' end lookup,
   case when page_id % 4 < 3 then 'uri' else 'literal' end kind from pages""",
-    "cache_merge": """with w as (select distinct 'literal' kind, lang || '-' || source "key", doc_id % 50 id from documents),
-c as (select lang || '-' || source "key", doc_id % 50 id, min(substring(text, 1, 20)) text from documents where doc_id % 6 = 0 group by 1, 2)
+    "cache_merge": """with w as (select distinct 'literal' kind, lang || '-' || source "key", doc_id id from documents),
+c as (select lang || '-' || source "key", doc_id id, max(md5(text)) text from documents where doc_id in (select doc_id from labels) group by 1, 2)
 select kind, w."key", w.id, coalesce(c.text, b.text) text, case when c.text is not null then 'hit' when b.text is not null then 'copied' else 'pending' end state
 from w left join c on c."key" = w."key" and c.id = w.id left join (select "key", min(text) text from c group by 1) b on b."key" = w."key" """,
     "event_props": """select event_type, count(*) events, count(k) with_k, coalesce(sum(k), 0)::bigint sum_k

@@ -104,8 +104,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
-    return evaluate.oracle_choice(rows).join(evaluate.selected(rows), "violation_id")
+    return evaluate.oracle_choice(scored(spark, sf_dir))
 
 
 def degeneracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,10 +124,11 @@ def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full candidate set, evaluated, with the summed slot scores, and its oracle choices."""
-    found = candidates.candidate_scores(candidate_sets(spark, sf_dir), candidates.slot_scores(violations(spark, sf_dir)))
-    rows = evaluate.evaluate(found, violations(spark, sf_dir), instances(definitions(spark))).join(found.select("violation_id", "idx", "score"), ["violation_id", "idx"])
-    return evaluate.oracle_report(rows, violations(spark, sf_dir))
+    """The full candidate sets, evaluated, with the summed slot scores, and their oracle report."""
+    records = violations(spark, sf_dir)
+    found = candidates.candidate_scores(candidate_sets(spark, sf_dir), candidates.slot_scores(records))
+    rows = evaluate.evaluate(found, records, instances(definitions(spark)), carry=("score",))
+    return evaluate.oracle_report(rows, records)
 
 
 def fix_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,25 +261,28 @@ def page_label_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "label", corrections.mentions(F.array("label"), F.coalesce("html", F.lit(""))).alias("mentioned"))
 
 
-def uri_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, uri): each page's own address or an entity's or property's URI in one of its spellings."""
     key = F.col("page_id")
     parts = ("http://www.wikidata.org/entity/Q", "http://www.wikidata.org/prop/direct/P", "http://www.wikidata.org/prop/statement/P")
     spelled = F.when(key % 4 == 3, F.col("url"))
     for i, p in enumerate(parts):
         spelled = spelled.when(key % 4 == i, F.concat(F.lit("<" * (i % 2) + p), (key + 1).cast("string"), F.lit(">" * (i % 2))))
-    rows = table(spark, sf_dir, "pages").select("page_id", spelled.alias("uri"))
-    return rows.select(
+    return table(spark, sf_dir, "pages").select("page_id", spelled.alias("uri"))
+
+
+def uri_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelled_pages(spark, sf_dir).select(
         "page_id", tokens.token(F.col("uri")).alias("token"), tokens.property_id(F.col("uri")).alias("property"), tokens.lookup_id(F.col("uri")).alias("entity"),
         tokens.lookup_text(F.col("uri")).alias("lookup"), tokens.kind(F.col("uri")).alias("kind"),
     )
 
 
 def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources and languages of documents as cached keys; a cache of the even documents meets the wishes of all."""
-    docs = table(spark, sf_dir, "documents")
-    wanted = docs.select(F.lit("literal").alias("kind"), F.concat_ws("-", "lang", "source").alias("key"), (F.col("doc_id") % 50).alias("id"))
-    cache = docs.where("doc_id % 2 = 0 and doc_id % 3 = 0").groupBy(F.lit("literal").alias("kind"), F.concat_ws("-", "lang", "source").alias("key"), (F.col("doc_id") % 50).alias("id"))
-    return textcache.merge(cache.agg(F.min(F.substring("text", 1, 20)).alias("text")), wanted)
+    """Documents by language and source as keys; the cache holds digests of the whole texts of labelled documents."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("literal").alias("kind"), F.concat_ws("-", "lang", "source").alias("key"), F.col("doc_id").alias("id"), "text")
+    known = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    return textcache.merge(known.select("kind", "key", "id", F.md5(F.col("text").cast("binary")).alias("text")), docs.select("kind", "key", "id"))
 
 
 def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,6 +348,7 @@ QUERIES: dict[str, Query] = {
     "candidates": lambda spark, sf: candidate_sets(spark, sf),
     "candidate_counts": candidate_counts,
     "candidate_metrics": evaluated,
+    "best_candidates": best_candidates,
     "oracle_choice": oracle_choice,
     "oracle_report": lambda spark, sf: evaluate.oracle_report(scored(spark, sf), violations(spark, sf)),
     "deletion_degeneracy": degeneracy,

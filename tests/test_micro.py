@@ -156,7 +156,7 @@ def test_tokens(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v string")
     got = rows.select(tokens.property_id(F.col("v")).alias("p"), tokens.token(F.col("v")).alias("t"), tokens.literal_text(F.col("v")).alias("l")).collect()
     assert [r.p for r in got] == ["P31", None, None, None, "P12", None, "P5"]
-    assert [r.t for r in got][:5] == ["P31", "Q5", "P7", "P0", "P12"] and got[5].l == "x" and got[1].l == ""
+    assert [r.t for r in got][:5] == ["P31", "Q5", "P7", "P0", "P12"] and got[5].l == '"x"' and got[1].l == ""
     codes = spark.createDataFrame([(404,), (200,), (799,)], "c int").select(tokens.status_phrase(F.col("c")).alias("s")).collect()
     assert [r.s for r in codes] == ["NotFound", "Ok", "Status799"]
 
