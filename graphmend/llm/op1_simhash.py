@@ -7,9 +7,10 @@ children hang at their integer Hamming distance to the parent; a search follows
 The trees of one shard go to the tasks that hold the fingerprints of that shard by one shuffle on the shard key and not
 by a broadcast: together they hold every fingerprint of the corpus several times, so their size has no bound.
 
-``keep_one_of_each`` takes five-word shingles and a similarity of 0.8. Such texts differ in about 10 of 64 bits, so no
-choice of agreeing bit blocks finds them. There the shards are groups of texts that agree on the least hashes of some
-band; the BK-tree of a shard is searched with a radius of 20, and what it finds is compared by exact similarity.
+``keep_one_of_each`` takes five-word shingles and a similarity of 0.8. Such texts differ in about 15 % of their bits, so
+no choice of agreeing bit blocks finds them. There a shard is a group of texts with the same least hashes in some band;
+its BK-tree holds fingerprints of 256 bits, whose distances keep unrelated texts out of the radius and let searches pass
+over whole families. What the searches join is compared by exact similarity, each text in one place (``joined``).
 
 Results for odd input: a null or wordless text has the fingerprint zero and links like any other; texts of one or two
 words have one shingle, the whole sequence; equal texts (repeated rows too) share a fingerprint and meet before any
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import own_name, read_table, written
+from .shared import forget, own_name, read_table, written
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -42,11 +43,15 @@ CHUNK = 1024
 #: Similarity (Jaccard, of the sets of shingles) from which texts are copies of each other.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-#: Bits differ with probability acos(2s / (1 + s)) / pi: 0.15 at 0.8, so 9.7 of 64, deviation 2.9. Above 20: 3 in 10,000.
-SIMILAR_RADIUS = 20
-#: A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 8) ** 32 = 0.997, one at 0.3 with 0.002.
-BANDS, BAND_ROWS = 32, 8
-#: Shingles held by one task at a time, 8 bytes each; shards are split by it as by ``CHUNK``.
+#: Bits of the fingerprints behind that similarity, and their radius. A bit differs with probability 0.15 at 0.8 (0.19 for
+#: sets of five shingles and fewer): 38 of 256, deviation 5.7, so more than 64 in 4 of a million pairs. At a similarity of 0.2,
+#: as passages that many documents share may give, 100 bits differ: within the radius in 2 of a million pairs.
+SIMILAR_BITS = 256
+SIMILAR_RADIUS = 64
+#: A pair at 0.8 shares no band with probability (1 - 0.8 ** 6) ** 28 = 0.0002; one at 0.1 shares some with 0.00003.
+BANDS, BAND_ROWS = 28, 6
+#: Texts and shingles that one task holds at a time (8 bytes a shingle); fuller groups are split by both.
+CHUNK_TEXTS = 2048
 CHUNK_SHINGLES = 1 << 22
 
 
@@ -83,6 +88,22 @@ def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SE
     return majority_bits(shingle_hashes(text, shingle_words, seed))
 
 
+def long_fingerprint(hashes: np.ndarray, bits: int = SIMILAR_BITS) -> bytes:
+    """As ``majority_bits``, over a longer hash of each shingle: one 64-bit mix of it for every 64 bits."""
+    factors = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(bits // 64)], np.uint64)
+    counts = np.zeros((bits // 64, 64), np.int64)
+    lane = np.uint64(0x0101010101010101)
+    for at in range(0, len(hashes), 255):
+        mixed = hashes[at : at + 255, None] * factors
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        for k in range(8):
+            sums = ((mixed >> np.uint64(k)) & lane).sum(axis=0, dtype=np.uint64)
+            counts[:, k::8] += sums.view(np.uint8).reshape(-1, 8)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").tobytes()
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp): one row per document; fp holds the 64 bits as a signed long."""
 
@@ -245,13 +266,17 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         small = written(small, "edges")
+        forget(least, large, low)
         now, before = (e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first() for e in (small, edges))
+        forget(edges)
         edges = small
         if now == before:
             break
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(
+    out = edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(
         edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     )
+    out.written_path = edges.written_path
+    return out
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -280,34 +305,40 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, text_col: str, row_col: str) -> DataFrame:
-    """(row, same, shingles, keys): digest and size of each text's set of shingles, and its band keys."""
+    """(row, same, size, fp, keys): digest, size, fingerprint and band keys of each text's set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            same, sizes, keys = [], [], []
+            same, sizes, fps, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = np.unique(shingle_hashes(text, SIMILAR_WORDS))
                 same.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(len(found))
+                fps.append(long_fingerprint(found))
                 keys.append(band_keys(found))
-            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "same", "shingles", "keys"])
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            columns = [pa.array(x, kind) for x, kind in zip((same, sizes, fps, keys), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "same", "size", "fp", "keys"])
 
     return docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "row long, same binary, shingles long, keys array<long>"
+        run, "row long, same binary, size long, fp binary, keys array<long>"
     )
 
 
 class Shard:
-    """A BK-tree of held texts and the links found so far; a text meets the held ones that it isn't joined with yet."""
+    """A BK-tree of held texts, and the links found so far between the nodes that the texts stand for.
+
+    A text meets the held ones within the radius whose nodes aren't joined with its own yet. Where texts are given, sets
+    of shingles are compared exactly; else fingerprints and sizes decide.
+    """
 
     def __init__(self, radius: int, similarity: float) -> None:
         self.radius, self.similarity = radius, similarity
-        self.tree, self.at, self.sets = BKTree(), [], {}
+        self.tree, self.at = BKTree(), []
         self.parent: dict[int, int] = {}
-        self.parts = 0
+        self.holding: set[int] = set()  # roots of the nodes with held texts
         self.links: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
@@ -316,74 +347,57 @@ class Shard:
             x = above
         return x
 
-    def alike(self, a: np.ndarray, b: np.ndarray) -> bool:
-        small, large = (a, b) if len(a) <= len(b) else (b, a)
-        if len(small) < self.similarity * len(large) - 1e-9:
+    def alike(self, a: list, b: list) -> bool:
+        """For two held or met texts [node, size, text or set of shingles]."""
+        small, large = (a, b) if a[1] <= b[1] else (b, a)
+        if small[1] < self.similarity * large[1] - 1e-9:
             return False
+        if a[2] is None:
+            return True
+        for x in (small, large):
+            if isinstance(x[2], str):
+                x[2] = np.unique(shingle_hashes(x[2], SIMILAR_WORDS))
+        small, large = small[2], large[2]
         place = np.minimum(np.searchsorted(large, small), len(large) - 1)
         both = int(np.count_nonzero(large[place] == small))
-        return both >= self.similarity * (len(a) + len(b) - both) - 1e-9
-
-    def meet(self, row: int, bits: int, found: np.ndarray) -> int:
-        """Links the row with every component of held texts that has one alike; ends when all are one."""
-        joined = 0
-        for node in self.tree.search(bits, self.radius):
-            for other in self.at[node]:
-                if joined == self.parts:
-                    return joined
-                a, b = self.root(row), self.root(other)
-                if a != b and self.alike(found, self.sets[other]):
-                    self.parent[a] = b
-                    self.links.append((row, other))
-                    joined += 1
-        return joined
-
-    def hold(self, row: int, bits: int, found: np.ndarray) -> None:
-        node = self.tree.add(bits)
-        if node == len(self.at):
-            self.at.append([])
-        self.at[node].append(row)
-        self.sets[row] = found
-        self.parts += 1
-
-    def put(self, row: int, text: str | None, meets: bool, holds: bool) -> None:
-        found = np.unique(shingle_hashes(text, SIMILAR_WORDS))
-        bits = majority_bits(found)
-        joined = self.meet(row, bits, found) if meets else 0
-        if holds:
-            self.hold(row, bits, found)
-            self.parts -= joined
-        else:
-            self.parts -= max(0, joined - 1)
+        return both >= self.similarity * (len(small) + len(large) - both) - 1e-9
 
+    def put(self, node: int, size: int, fp: bytes, text: str | None, meets: bool, holds: bool) -> None:
+        bits, mine = int.from_bytes(fp, "little"), [node, size, text]
+        if meets:
+            self._meet(mine, bits)
+        if holds:
+            spot = self.tree.add(bits)
+            if spot == len(self.at):
+                self.at.append([])
+            self.at[spot].append(mine)
+            self.holding.add(self.root(node))
+
+    def _meet(self, mine: list, bits: int) -> None:
+        for spot in self.tree.search(bits, self.radius):
+            for other in self.at[spot]:
+                a, b = self.root(mine[0]), self.root(other[0])
+                if a != b and self.alike(mine, other):
+                    self.parent[a] = b
+                    self.holding.discard(a)
+                    self.links.append((mine[0], other[0]))
+                    a = b
+                if len(self.holding) == 1 and a in self.holding:  # no node is left to join
+                    return
 
-def similar_links(
-    texts: DataFrame, groups: DataFrame, radius: int, similarity: float, chunk: int = CHUNK, chunk_shingles: int = CHUNK_SHINGLES
-) -> DataFrame:
-    """Links (a, b) of rows whose components are those of all similar pairs within each group.
 
-    ``texts`` has (row, text), ``groups`` (row, root, shingles). A group of more than ``chunk`` texts is split, and each
-    pair of chunks is a shard: its lower chunk is held as a tree, the other streams past it.
-    """
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("shingles").alias("held"))
-    chunks = F.greatest(F.ceil(F.col("n") / F.lit(chunk)), F.ceil(F.col("held") / F.lit(chunk_shingles))).cast("int")
-    dealt = (
-        groups.join(sizes, "root")
-        .withColumn("chunks", chunks)
-        .withColumn("c", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("row", "root", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c")
-    )
+def _links_of(placed: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the nodes of each group (g, i, j) of rows that meet what the group holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard = None, Shard(radius, similarity)
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for root, i, j, c, row, text in zip(*(batch.column(x).to_pylist() for x in range(6)), strict=True):
-                if (root, i, j) != now:
+            for g, i, j, meets, holds, node, size, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, i, j) != now:
                     links += shard.links
-                    now, shard = (root, i, j), Shard(radius, similarity)
-                shard.put(row, text, meets=i == j or c == j, holds=c == i)
+                    now, shard = (g, i, j), Shard(radius, similarity)
+                shard.put(node, size, fp, text, meets, holds)
             yield _rows(links)
         yield _rows(shard.links)
 
@@ -391,34 +405,116 @@ def similar_links(
         both = np.array(links, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
-    placed = texts.join(dealt, "row").select("root", "i", "j", "c", "row", "text")
-    shards = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "c", "row")
-    return shards.mapInArrow(run, "a long, b long")
+    rows = placed.select("g", "i", "j", "meets", "holds", "node", "size", "fp", "text")
+    sorted_rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "meets", "node")
+    return sorted_rows.mapInArrow(run, "a long, b long")
+
+
+def joined(members: DataFrame, radius: int, similarity: float, chunk: int = CHUNK_TEXTS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """(node, root) as all links within each group ``g`` of ``members`` (g, row, size, fp, text) would join its rows.
+
+    A group of more than ``chunk`` texts (or ``chunk_shingles`` shingles) is dealt out in three turns, so that none is one task's
+    work: chunks on their own; then one text for each component of the group, again and again, which makes one component
+    of what is alike throughout; then the texts outside the group's largest component against all texts of the group.
+    A group of near copies thus costs in proportion to its size; one of many texts that are not alike costs the square of its
+    number of chunks.
+    """
+    some, no, zero = F.lit(True), F.lit(False), F.lit(0)
+
+    def parts(n: str, held: str):
+        return F.greatest(F.ceil(F.col(n) / F.lit(chunk)), F.ceil(F.col(held) / F.lit(chunk_shingles))).cast("int")
+
+    def dealt(column: str, n: str, seed: int = 0):
+        return F.pmod(F.xxhash64(column, F.lit(seed)), F.col(n)).cast("int")
+
+    sizes = members.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    full = written(sizes.withColumn("chunks", parts("n", "held")).where("chunks > 1").select(F.col("g").alias("full"), "chunks"), "full")
+    any_full = full.count() > 0
+    alone = members.withColumn("node", F.col("row"))
+    if any_full:
+        alone = alone.join(full, F.col("g") == F.col("full"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        alone = alone.withColumn("i", dealt("row", "chunks"))
+    else:
+        alone = alone.withColumn("i", zero)
+    tied = alone.withColumns({"j": zero, "meets": some, "holds": some})
+    found = components(_links_of(tied, radius, similarity))
+    if not any_full:
+        forget(full)
+        return found
+
+    large = written(members.join(full, F.col("g") == F.col("full")).drop("full"), "large")
+
+    def known() -> DataFrame:
+        """The large groups' rows with the component of each so far as ``comp``."""
+        return large.join(found, F.col("row") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "row")).drop("node", "root")
+
+    def also(links: DataFrame, before: DataFrame) -> DataFrame:
+        now = components(before.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        forget(before)
+        return now
+
+    while True:
+        heads = known().groupBy("g", "comp").agg(F.min("row").alias("row"))
+        heads = heads.join(large.drop("chunks"), ["g", "row"])
+        left = heads.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("held")).where("n > 1")
+        heads = heads.join(left.select("g", parts("n", "held").alias("chunks")), "g")
+        heads = written(heads.withColumn("i", dealt("comp", "chunks")).withColumn("node", F.col("comp")), "heads")
+        links = written(_links_of(heads.withColumns({"j": zero, "meets": some, "holds": some}), radius, similarity), "links")
+        more, split = links.limit(1).count() > 0, heads.where("chunks > 1").limit(1).count() > 0
+        if more:
+            found = also(links, found)
+        forget(heads, links)
+        if not (more and split):
+            break
+
+    rows = written(known(), "known")
+    comps = rows.groupBy("g", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    first = F.struct("n", "comp")
+    rest = comps.groupBy(F.col("g").alias("of")).agg(
+        F.max_by("comp", first).alias("main"), (F.sum("n") - F.max("n")).alias("n"), (F.sum("held") - F.max_by("held", first)).alias("held")
+    )
+    rest = written(rest.where("n > 0").select("of", "main", parts("n", "held").alias("outer")), "rest")
+    both = rows.join(rest, F.col("g") == F.col("of")).withColumn("node", F.col("comp"))
+    every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    held = both.where("comp <> main").withColumns({"i": dealt("row", "outer", 1), "meets": no, "holds": some}).withColumn("j", every("chunks"))
+    met = both.withColumns({"j": dealt("row", "chunks", 2), "meets": some, "holds": no}).withColumn("i", every("outer"))
+    links = written(_links_of(held.unionByName(met), radius, similarity), "links")
+    if links.limit(1).count() > 0:
+        found = also(links, found)
+    forget(full, large, rows, rest, links)
+    return found
 
 
 def similar_documents(
-    docs: DataFrame, text_col: str, row_col: str, radius: int = SIMILAR_RADIUS, similarity: float = SIMILARITY, chunk: int = CHUNK
+    docs: DataFrame,
+    text_col: str,
+    row_col: str,
+    radius: int = SIMILAR_RADIUS,
+    similarity: float = SIMILARITY,
+    chunk: int = CHUNK_TEXTS,
 ) -> DataFrame:
     """(row, component_id, component_docs) of documents with a unique long ``row_col``; component_id is a least row.
 
-    Texts of equal sets of shingles become one first. Texts that share a band key link to the least row of that key;
-    the components of these links are the shards, and within a shard only similar texts stay linked.
+    Texts of equal sets of shingles become one first. Then fingerprints meet within shards, the texts with a common band
+    key; what they join are families, whose texts meet once more and stay joined where they are similar.
     """
     marked = written(shingle_sets(docs, text_col, row_col), "sets")
-    size = F.first("shingles").alias("shingles")
-    alone = marked.groupBy("same").agg(F.min("row").alias("row"), F.count("*").alias("docs"), size, F.first("keys").alias("keys"))
-    alone = written(alone, "alone")
-    banded = alone.select("row", F.posexplode("keys").alias("band", "key"))
-    heads = banded.groupBy("band", "key").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = components(banded.join(heads, ["band", "key"]).select(F.col("row").alias("a"), F.col("head").alias("b")))
-    groups = alone.select("row", "shingles").join(near.withColumnRenamed("node", "row"), "row").select("row", "root", "shingles")
+    same = (F.first(c).alias(c) for c in ("size", "fp", "keys"))
+    alone = written(marked.groupBy("same").agg(F.min("row").alias("row"), F.count("*").alias("docs"), *same), "alone")
+    none = F.lit(None).cast("string").alias("text")
+    shards = alone.where("size > 0").select(F.explode("keys").alias("g"), "row", "size", "fp", none)
+    families = joined(shards, radius, similarity, chunk)
     texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    found = components(similar_links(texts, written(groups, "groups"), radius, similarity, chunk))
-    rooted = alone.join(found, F.col("row") == F.col("node"), "left").select("same", "docs", F.coalesce("root", "row").alias("component_id"))
-    rooted = written(rooted, "rooted")
+    placed = families.select(F.col("root").alias("g"), F.col("node").alias("row")).join(alone.select("row", "size", "fp"), "row")
+    placed = written(placed.join(texts, "row").select("g", "row", "size", "fp", "text"), "families")
+    found = joined(placed, radius, similarity, chunk)
+    rooted = alone.select("same", "docs", "row").join(found, F.col("row") == F.col("node"), "left")
+    rooted = written(rooted.select("same", "docs", F.coalesce("root", "row").alias("component_id")), "rooted")
     sizes = rooted.groupBy("component_id").agg(F.sum("docs").alias("component_docs"))
-    classes = written(rooted.join(sizes, "component_id").select("same", "component_id", "component_docs"), "classes")
-    return marked.select("row", "same").join(classes, "same").select("row", "component_id", "component_docs")
+    classes = rooted.join(sizes, "component_id").select("same", "component_id", "component_docs")
+    out = written(marked.select("row", "same").join(classes, "same").select("row", "component_id", "component_docs"), "classes")
+    forget(marked, alone, families, placed, found, rooted)
+    return out
 
 
 def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -429,14 +525,15 @@ def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """
     row = own_name(docs, "row")
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    classes = similar_documents(numbered, text_col, row, similarity=similarity).where("component_docs > 1")
-    copies = written(classes.select(F.col("row").alias("copy"), "component_id"), "copies")
+    classes = similar_documents(numbered, text_col, row, similarity=similarity)
+    copies = classes.where("component_docs > 1").select(F.col("row").alias("copy"), "component_id")
     ids = numbered.select(F.col(row).alias("r"), F.col(f"`{id_col}`").alias("i"))
     rank = F.struct(F.col("i").isNull().alias("none"), F.col("i").alias("i"), F.col("r").alias("r"))
     first = copies.join(ids, F.col("copy") == F.col("r")).groupBy("component_id").agg(F.min(rank).alias("first"))
     stay = written(first.select(F.col("first.r").alias("stays")), "stay")
     gone = copies.join(stay, F.col("copy") == F.col("stays"), "left_anti").select(F.col("copy").alias(own_name(docs, "copy")))
     gone = written(gone, "gone")
+    forget(classes, stay)
     return numbered.join(gone, F.col(row) == F.col(own_name(docs, "copy")), "left_anti").drop(row)
 
 

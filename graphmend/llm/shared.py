@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors and the driver share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) a temporary folder is chosen and set, once a session.
+    Only where the setting is absent and Spark runs in one process (local tests) a temporary folder is chosen and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphmend-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,12 +36,21 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
-def total_rows(df: DataFrame) -> int:
-    """Exact row count of a written table (answered from the Parquet footers)."""
-    return df.count()
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more (tables of another make are left alone)."""
+    for table in tables:
+        if path := table.__dict__.pop("written_path", None):
+            delete(table.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +65,6 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_of(column: str):
-    """A string column with null as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
 def each_text(
     docs: DataFrame, text_col: str, carry: list[str], fields: str, make: Callable[[], Callable[[list], list[pa.Array]]]
 ) -> DataFrame:

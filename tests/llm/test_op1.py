@@ -1,17 +1,19 @@
 from collections import Counter
 
+import numpy as np
 import xxhash
 
 from graphmend.llm.op1_simhash import (
     BKTree,
     _links,
     band_keys,
+    joined,
     keep_one_of_each,
+    long_fingerprint,
     near_duplicates,
     near_links,
     shingle_hashes,
     similar_documents,
-    similar_links,
     simhash,
 )
 
@@ -158,22 +160,54 @@ def test_similar_components_match_brute_force(spark):
     assert partition([found[i] for i in range(len(texts))]) == partition(similar_components(texts))
 
 
-def test_similar_links_in_any_chunking(spark):
-    texts = families(4, count=4)
+def test_groups_are_joined_in_any_chunking(spark):
+    texts = [t for t in families(4, count=4) if t] + families(9, count=1, copies=40)
     want = partition(similar_components(texts))
-    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    groups = spark.createDataFrame([(i, 0, len(shingle_set(t))) for i, t in enumerate(texts)], "row long, root long, shingles long")
+    rows = []
+    for i, t in enumerate(texts):
+        found = np.unique(shingle_hashes(t, 5))
+        rows.append((0, i, len(found), bytearray(long_fingerprint(found)), t))
+    members = spark.createDataFrame(rows, "g long, row long, size long, fp binary, text string")
     for chunk, shingles in ((1000, 1 << 22), (5, 1 << 22), (1000, 500)):
         comp = list(range(len(texts)))
-        for r in similar_links(docs, groups, 20, 0.8, chunk, shingles).collect():
-            old, new = comp[r.a], comp[r.b]
-            comp = [new if c == old else c for c in comp]
+        for r in joined(members, 64, 0.8, chunk, shingles).collect():
+            comp[r.node] = r.root
         assert partition(comp) == want
 
 
-def test_band_keys_meet_at_the_similarity():
-    import numpy as np
+def test_recall_of_the_pairs_of_every_fiftieth_text(spark):
+    """All texts similar to those with an id divisible by 50, by brute force, are in their component."""
+    texts = families(21, count=40, copies=14)
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    found = {r.row: r.component_id for r in similar_documents(docs, "text", "row").collect()}
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(q, i) for q in range(0, len(texts), 50) for i in range(len(texts)) if 10 * len(sets[q] & sets[i]) >= 8 * len(sets[q] | sets[i])]
+    assert len(pairs) > 20
+    assert sum(found[a] == found[b] for a, b in pairs) == len(pairs)
+
 
+def test_trees_pass_over_families():
+    rng = np.random.default_rng(8)
+    seeds = [int.from_bytes(rng.bytes(32), "little") for _ in range(20)]
+    near = lambda s: s ^ sum(1 << int(b) for b in rng.choice(256, 40, replace=False))
+    tree, seen = BKTree(), 0
+    for s in seeds:
+        for _ in range(50):
+            tree.add(near(s))
+    values = tree.values
+
+    class Counted(list):
+        def __getitem__(self, i):
+            nonlocal seen
+            seen += 1
+            return values[i]
+
+    tree.values = Counted(values)
+    hits = list(tree.search(seeds[0], 64))
+    assert len(hits) == 50 and seen < 0.9 * len(values)
+
+
+def test_band_keys_meet_at_the_similarity():
     rng, met = np.random.default_rng(1), Counter()
     for shared in (800, 300):
         for _ in range(200):
