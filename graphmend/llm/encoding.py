@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-#: Words kept per worker process: about 180 bytes each.
-CACHE_WORDS = 600_000
+#: Words kept per worker process: about 270 bytes each.
+CACHE_WORDS = 250_000
 #: Words that one call to the library encodes at a time.
 JOINED = 400
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import forget, own_name, read_table, written
+from .shared import forget, own_name, read_table, reading, slices, written
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -90,17 +90,18 @@ def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SE
 
 def long_fingerprint(hashes: np.ndarray, bits: int = SIMILAR_BITS) -> bytes:
     """As ``majority_bits``, over a longer hash of each shingle: one 64-bit mix of it for every 64 bits."""
+    if not len(hashes):
+        return bytes(bits // 8)
     factors = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(bits // 64)], np.uint64)
+    mixed = factors[:, None] * hashes
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
     counts = np.zeros((bits // 64, 64), np.int64)
-    lane = np.uint64(0x0101010101010101)
-    for at in range(0, len(hashes), 255):
-        mixed = hashes[at : at + 255, None] * factors
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(29)
-        for k in range(8):
-            sums = ((mixed >> np.uint64(k)) & lane).sum(axis=0, dtype=np.uint64)
-            counts[:, k::8] += sums.view(np.uint8).reshape(-1, 8)
+    lane, parts = np.uint64(0x0101010101010101), np.arange(0, len(hashes), 255)
+    for k in range(8):
+        sums = np.add.reduceat(mixed >> np.uint64(k) & lane, parts, axis=1)
+        counts[:, k::8] = sums.view(np.uint8).reshape(bits // 64, -1, 8).sum(axis=1, dtype=np.int64)
     return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").tobytes()
 
 
@@ -108,7 +109,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """(doc_id, fp): one row per document; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.fromiter((simhash(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -310,7 +311,7 @@ def shingle_sets(docs: DataFrame, text_col: str, row_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             same, sizes, fps, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = np.unique(shingle_hashes(text, SIMILAR_WORDS))
@@ -534,7 +535,8 @@ def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     gone = copies.join(stay, F.col("copy") == F.col("stays"), "left_anti").select(F.col("copy").alias(own_name(docs, "copy")))
     gone = written(gone, "gone")
     forget(classes, stay)
-    return numbered.join(gone, F.col(row) == F.col(own_name(docs, "copy")), "left_anti").drop(row)
+    kept = numbered.join(gone, F.col(row) == F.col(own_name(docs, "copy")), "left_anti").drop(row)
+    return reading(kept, numbered, gone)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

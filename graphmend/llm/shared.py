@@ -48,6 +48,12 @@ def forget(*tables: DataFrame) -> None:
             delete(table.sparkSession, path)
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df`` with the written tables that it reads named in ``reads``, to be forgotten once it is written itself."""
+    df.reads = tables
+    return df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -65,6 +71,13 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def each_text(
     docs: DataFrame, text_col: str, carry: list[str], fields: str, make: Callable[[], Callable[[list], list[pa.Array]]]
 ) -> DataFrame:
@@ -76,7 +89,7 @@ def each_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, names = make(), None
-        for batch in batches:
+        for batch in slices(batches):
             made = work(batch.column(1).to_pylist())
             names = ["carried", *(f"f{i}" for i in range(len(made)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
