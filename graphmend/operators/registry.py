@@ -100,9 +100,9 @@ def type_index(entries: DataFrame, item: str = "family") -> DataFrame:
 
 
 def missing_items(entries: DataFrame, item: str = "type_item") -> DataFrame:
-    """(type_item, family) of the known families that no definition uses."""
-    known = entries.sparkSession.createDataFrame(list(TYPE_ITEMS.items()), "type_item string, family string")
-    return known.join(entries.select(F.col(item).alias("type_item")).distinct(), "type_item", "left_anti")
+    """(type_item, entries): items that definitions use and the catalog of families lacks."""
+    unknown = entries.where((F.col(item) != "") & ~F.col(item).isin(*TYPE_ITEMS))
+    return unknown.groupBy(F.col(item).alias("type_item")).agg(F.count("*").alias("entries"))
 
 
 def item_frequencies(entries: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ _SEMANTIC = f"""select a.*, auroc, auprc, ece, case when positive_rate < 0.05 or
 from ({base.ORACLES['semantic_metrics']}) a join ({base.ORACLES['auroc_auprc']}) b using (state, family)
 join (select state, family, ece from ({base.ORACLES['ece']})) c using (state, family)"""
 
-_ITEMS = ", ".join(f"('{i}', '{f}')" for i, f in TYPE_ITEMS.items())
+_ITEMS = ", ".join(f"'{i}'" for i in TYPE_ITEMS)
 
 _E, _D = "http://www.wikidata.org/entity/", "http://www.wikidata.org/prop/direct/"
 _FACT = lambda i: f"'P1=Q' || o_orderkey || ';P1=' || {i}"
@@ -106,7 +106,11 @@ union all select 'base__focus', 'base', * from ({_SEMANTIC.replace(labels(), lab
     "choice_averages": f"""with {_CHOSEN} {' union all '.join(f"select '{n}' choice, count(*) records, {', '.join(f'avg({n}_{c}::double) {c}' for c in FIGURES)} from ch" for n in ('selected', 'oracle'))}""",
     "primary_support": f"""with {labels()}, x as (select constraint_type, coalesce(family, 'missing_registry') family, supported from f where is_primary)
 select constraint_type, family, supported, count(*) factors from x group by all union all select constraint_type, 'all', supported, count(*) from x group by all""",
-    "registry_missing_items": f"""with {base._PARTS} select * from (values {_ITEMS}) t(type_item, family) where type_item not in (select type_item from pd)""",
+    "registry_missing_items": f"""with {base._PARTS} select type_item, count(*) entries from pd where type_item <> '' and type_item not in ({_ITEMS}) group by 1""",
+    "literal_texts": """select distinct '"' || o_orderstatus || '"' "text" from orders where o_orderkey % 3 <> 0""",
+    "exposure_counts": f"""with {RECORDS}, e as (select cl.constraint_id, count(*) n from cl join v using (violation_id) where split = 'train' group by 1)
+select case when n <= 10 then 'low_1_10' when n <= 100 then 'medium_11_100' else 'high_gt100' end bucket, count(*) constraints from e group by 1""",
+    "primary_factor_index": f"""with {labels()} select violation_id, "position" primary_index from f where is_primary""",
     "type_item_frequency": f"""with {base._PARTS}, x as (select type_item, family from pd join rb using (constraint_id))
 select type_item, family, count(*) entries from x group by all union all select type_item, 'all', count(*) from x group by 1""",
     "type_families": f"""with {base._PARTS} select case when type_item = '' then null else type_item end qid,

@@ -102,6 +102,10 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*(c for c in found.columns if c not in (*lists, *ids)), *map(told, lists), *(F.array_join(c, ",").alias(c) for c in ids))
 
 
+def literal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corrections.literal_texts(corrections.in_tokens(corrections.parse_corrections(corrections.corpus_lines(spark, sf_dir))))
+
+
 def _told(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda x: x.cast("string")), ",")
 
@@ -132,4 +136,7 @@ QUERIES: dict[str, base.Query] = {
     "registry_cache_ids": cache_ids,
     "label_fanout": label_fanout,
     "corpus_build": corpus_build,
+    "literal_texts": literal_texts,
+    "exposure_counts": lambda spark, sf: scores.exposure_counts(scores.exposure(violations(spark, sf).where("split = 'train'"))),
+    "primary_factor_index": lambda spark, sf: base.labelled(spark, sf).where("is_primary").select("violation_id", F.col("position").cast("long").alias("primary_index")),
 }

@@ -138,6 +138,12 @@ def in_tokens(parsed: DataFrame) -> DataFrame:
     )
 
 
+def literal_texts(rows: DataFrame) -> DataFrame:
+    """(text): distinct trimmed literal texts of records, without empty ones and "nan"."""
+    each = rows.select(F.explode(F.array("object_text", "other_object_text")).alias("text")).select(F.trim("text").alias("text"))
+    return each.where("text is not null and text not in ('', 'nan')").distinct()
+
+
 def build(lines: DataFrame, definitions: DataFrame) -> DataFrame:
     """Records of known constraints with the constraints of the properties around them and of their own properties.
 

@@ -69,6 +69,17 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("violation_id", *(F.get("six", i).alias(n) for i, n in enumerate(SLOTS)))
 
 
+def rows_after(rows: DataFrame, skip: int, most: int | None = None) -> DataFrame:
+    """Rows behind the record ``skip``, in order of their ids; the first ``most`` of them if given."""
+    rest = rows.where(F.col("violation_id") > skip)
+    return rest if most is None else rest.orderBy("violation_id").limit(most)
+
+
+def first_rows(rows: DataFrame, split: str, most: int) -> DataFrame:
+    """The first records of a split by id, for a quick validation."""
+    return rows.where(F.col("split") == split).orderBy("violation_id").limit(most)
+
+
 def write_sharded(rows: DataFrame, path: str, per_file: int, mode: str = "overwrite", drop: tuple[str, ...] = ()) -> None:
     """Files of at most ``per_file`` rows by split; ``drop`` leaves debug columns out; mode ``ignore`` keeps what is there."""
     rows.drop(*drop).write.mode(mode).option("maxRecordsPerFile", per_file).partitionBy("split").parquet(path)

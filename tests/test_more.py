@@ -47,6 +47,9 @@ def test_scans_with_caps_and_files(spark, tmp_path):
     assert sorted((r.file, r.line) for r in corrections.capped(lines, 2, 3).collect()) == [("a", 0), ("a", 1), ("b", 0)]
     with gzip.open(tmp_path / "corpus-single.tsv.gz", "wt") as f:
         f.write("c1\t\t<http://www.wikidata.org/entity/Q1>\n")
+    rows = spark.createDataFrame([(i, "val") for i in range(6)], "violation_id long, split string")
+    assert [r.violation_id for r in tables.rows_after(rows, 2, 2).collect()] == [3, 4] and tables.rows_after(rows, 2).count() == 3
+    assert tables.first_rows(rows, "val", 2).count() == 2 and tables.first_rows(rows, "test", 2).count() == 0
     read = corrections.read_corrections(spark, str(tmp_path / "corpus-single.tsv.gz")).first()
     assert read.value.startswith("c1\t") and "single" in read.constraint_type
     (tmp_path / "constraints.tsv").write_text("constraint id\t constraint type id\nc1\t<http://www.wikidata.org/entity/Q21502838>\n")
