@@ -6,7 +6,7 @@ spelled digits become digits, bracketed or spelled at/dot disguises become signs
 and what they find maps back to source characters. A mapped span counts unless a base span of its kind holds all of it.
 
 Results for odd input: null and empty texts have no spans; texts that no transducer changes have base spans only; long
-texts are handled whole, in time linear in their length; repeated rows are documents of their own; an empty table gives
+texts are handled whole, in time linear in their length (no pattern starts anew within a run that it has scanned); repeated rows are documents of their own; an empty table gives
 no rows; carried columns may have any name, as they travel in one struct.
 """
 
@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +26,24 @@ from .shared import each_text, read_table
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # starts within a run of digits give nothing new
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Letters of other scripts that look like ASCII ones, and number words.
+#: Letters of other scripts that look like ASCII ones (Cyrillic, Greek, Armenian, Latin), signs, and number
+#: words. Full-width, mathematical, circled, raised and lowered signs and small capitals follow from Unicode's own data.
 ALIKE = dict(
     zip(
-        "аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅαοντυρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ＠。．․‧",
-        "aeopcyxijsdhqwABEKMHOPCTYXIJSaovtupABEZHIKMNOPTYX@....",
+        "авгеһікӏмноԛрѕтухԁјԝѵүпьАВЕЅІЈКМНОРСТУХҮԌԚԜс"
+        "αβγεηικνορτυχωϲΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
+        "աօոսհցզ"
+        "ıɑɡɩƅ"
+        "＠﹫。．․‧﹒",
+        "abrehiklmhoqpstyxdjwvynbABESIJKMHOPCTYXYGQWc"
+        "abyenikvoptuxwcABEZHIKMNOPTYX"
+        "wonuhgq"
+        "iagib"
+        "@@.....",
         strict=True,
     )
 )
@@ -47,16 +57,16 @@ _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
 #: Spelled digits, three or more in a row; a spelled plus, dot or dash may stand among them.
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[\x20-]+)?{_WORD}(?:[\x20,-]+(?:(?:dot|point|dash)[\x20,-]+)?{_WORD}){{2,}}(?![A-Za-z])", re.I)
 _SPELLED_PART = re.compile(rf"plus|dot|point|dash|{_WORD}", re.I)
-_BRACKET_AT = re.compile(r"[\x20\t]*[\[({<]+[\x20\t]*(?:at|@|arroba|chez)[\x20\t]*[\])}>]+[\x20\t]*", re.I)
-_BRACKET_DOT = re.compile(r"[\x20\t]*[\[({<]+[\x20\t]*(?:dot|\.|punkt|punto|point)[\x20\t]*[\])}>]+[\x20\t]*", re.I)
-_LOOSE_AT = re.compile(r"(?<=[A-Za-z0-9])[\x20\t]+@[\x20\t]*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[\x20\t]+(?=[A-Za-z0-9])")
-#: A spelled address: both disguises must be there, so that plain sentences stay as they are.
-_SPELLED_ADDRESS = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[\x20_-]+dot[\x20_-]+)[A-Za-z0-9_%+-]+)*(?:[\x20_-]+at[\x20_-]+|@)"
-    r"[A-Za-z0-9]+(?:[\x20_-]+dot[\x20_-]+[A-Za-z0-9]+)+(?![A-Za-z0-9])",
-    re.I,
-)
-_ADDRESS_PART = re.compile(r"[\x20_-]+(at|dot)[\x20_-]+", re.I)
+_OPEN, _CLOSE = r"(?<![\[({<])[\[({<]++[\x20\t]*+", r"[\x20\t]*+[\])}>]++[\x20\t]*+"
+_BRACKET_AT = re.compile(rf"{_OPEN}(?:at|@|arroba|chez){_CLOSE}", re.I)
+_BRACKET_DOT = re.compile(rf"{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}", re.I)
+_LOOSE_AT = re.compile(r"(?<=[A-Za-z0-9])[\x20\t]++@[\x20\t]*+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[\x20\t]++(?=[A-Za-z0-9])")
+#: A spelled address, name at host dot end: its middle, and what must follow.
+_SPELLED_AT = re.compile(r"(?<=[\x20_-])at(?=[\x20_-])|(?<=[A-Za-z0-9_%+-])@(?=[A-Za-z0-9])", re.I)
+_SPELLED_HOST = re.compile(r"[\x20_-]*+[A-Za-z0-9]++(?:[\x20_-]++dot[\x20_-]++[A-Za-z0-9]++)++", re.I)
+_ADDRESS_PART = re.compile(r"(?<![\x20_-])[\x20_-]++(at|dot)[\x20_-]++", re.I)
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_NOT_ASCII = re.compile("[^\x00-\x7f]")
 _ANY_WORD = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
 
@@ -64,7 +74,7 @@ def _passes(kind: str, match: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in match.split(".")))
     digits = [int(c) for c in match if "0" <= c <= "9"]
     if kind == "phone":
         return 9 <= len(digits) <= 15
@@ -122,21 +132,25 @@ class Tape:
         self.starts, self.ends = starts + self.starts[last:], ends + self.ends[last:]
 
 
+@cache
+def _plain(c: str) -> str | None:
+    """What stands for a character outside ASCII; None if the character itself does."""
+    if c in INVISIBLE:
+        return ""
+    if c in ALIKE:
+        return ALIKE[c]
+    plain = unicodedata.normalize("NFKC", c)
+    if len(plain) == 1 and plain.isascii():
+        return plain
+    if (digit := unicodedata.decimal(c, None)) is not None:
+        return str(digit)
+    start, _, letter = unicodedata.name(c, "").rpartition(" ")
+    return letter.lower() if start == "LATIN LETTER SMALL CAPITAL" and len(letter) == 1 else None
+
+
 def _alike(tape: Tape) -> None:
-    edits = []
-    for i, c in enumerate(tape.text):
-        if c > "\x7f":
-            if c in INVISIBLE:
-                edits.append((i, i + 1, ""))
-            elif c in ALIKE:
-                edits.append((i, i + 1, ALIKE[c]))
-            elif "！" <= c <= "～" or c >= "\U0001d400" or "₀" <= c <= "₉" or c in "⁰¹²³" or "⁴" <= c <= "⁹":
-                plain = unicodedata.normalize("NFKC", c)
-                if plain.isascii():
-                    edits.append((i, i + 1, plain))
-            elif (d := unicodedata.decimal(c, None)) is not None:
-                edits.append((i, i + 1, str(d)))
-    tape.rewrite(edits)
+    found = ((m.start(), _plain(m.group())) for m in _NOT_ASCII.finditer(tape.text))
+    tape.rewrite([(i, i + 1, new) for i, new in found if new is not None])
 
 
 def _spelled_digits(tape: Tape) -> None:
@@ -151,12 +165,63 @@ def _spelled_digits(tape: Tape) -> None:
     tape.rewrite([e for e in edits if e[0] < e[1]])
 
 
+def _bracketed(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Matches from bracket to bracket with the blanks around them."""
+    last = 0
+    for m in pattern.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1] in " \t":
+            start -= 1
+        yield start, m.end()
+        last = m.end()
+
+
+def _back(text: str, at: int, last: int, signs: str) -> int:
+    while at > last and text[at - 1] in signs:
+        at -= 1
+    return at
+
+
+def _spelled_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Names, spelled dots in them allowed, before a spelled or plain at and a host with spelled dots."""
+    last = dead = 0  # the end of the last address; the start of a name that can't be one
+    for m in _SPELLED_AT.finditer(text):
+        host = _SPELLED_HOST.match(text, m.end()) if m.start() >= last else None
+        if not host:
+            continue
+        at = m.start() if m.group() == "@" else _back(text, m.start(), last, " _-")
+        first = at
+        while True:
+            end = first
+            while first > last and first != dead and text[first - 1] in _NAME:
+                first -= 1
+            if first == end:  # a dot without a name before it
+                first = -1
+                break
+            if first > last and text[first - 1] == ".":
+                first -= 1
+                continue
+            gap = _back(text, first, last, " _-")
+            if gap == first or gap - 3 < last or text[gap - 3 : gap].lower() != "dot":
+                break
+            before = _back(text, gap - 3, last, " _-")
+            if before == gap - 3 or before == last or text[before - 1] not in _NAME:
+                break
+            first = before
+        if first < 0 or first == dead > 0 or not any(c not in "_%+-" for c in text[first:at]):
+            dead = at
+            continue
+        yield first, host.end()
+        last = host.end()
+
+
 def _disguises(tape: Tape) -> None:
-    for pattern, sign in ((_BRACKET_AT, "@"), (_BRACKET_DOT, "."), (_LOOSE_AT, "@")):
-        tape.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(tape.text)])
+    for pattern, sign in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
+        tape.rewrite([(a, b, sign) for a, b in _bracketed(tape.text, pattern)])
+    tape.rewrite([(m.start(), m.end(), "@") for m in _LOOSE_AT.finditer(tape.text)])
     edits = []
-    for m in _SPELLED_ADDRESS.finditer(tape.text):
-        edits += [(p.start(), p.end(), "@" if p.group(1).lower() == "at" else ".") for p in _ADDRESS_PART.finditer(tape.text, *m.span())]
+    for span in _spelled_addresses(tape.text):
+        edits += [(p.start(), p.end(), "@" if p.group(1).lower() == "at" else ".") for p in _ADDRESS_PART.finditer(tape.text, *span)]
     tape.rewrite(edits)
 
 
@@ -173,7 +238,7 @@ def deobfuscated(text: str) -> Tape | None:
     tape = None
     try:
         text.encode("latin-1")
-        odd = "­" in text or any(c in text for c in "¹²³")
+        odd = any(c in text for c in "\xad¹²³ªº")
     except UnicodeEncodeError:
         odd = True
     if odd:
