@@ -208,3 +208,55 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return found.select("carried.doc_id", *names)
+
+
+_RANK = "(doc_id is null, coalesce(doc_id, 0), r)"
+#: Lines stand for themselves here, not their hashes.
+ORACLE = rf"""
+with d as (select row_number() over () r, doc_id, source host, coalesce(text, '') t from documents),
+w as (select r, regexp_extract_all(t, '[^{BLANK}]+') w from d),
+g as (select r, i, array_to_string(w[i : i + {REPEAT_WINDOW - 1}], ' ') g from (
+  select r, w, unnest(range(1, len(w) - {REPEAT_WINDOW - 2})) i from w where len(w) >= {REPEAT_WINDOW})),
+c as (select r, count(distinct p) n from (select r, unnest(range(i, i + {REPEAT_WINDOW})) p from (
+  select r, i from g qualify count(*) over (partition by r, g) > 1)) group by 1),
+l as (
+  select r, line, len(regexp_extract_all(line, '[^{BLANK}]+')) w,
+    regexp_replace(regexp_replace(regexp_replace(lower(line), '^[{BLANK}]+|[{BLANK}]+$', '', 'g'), '[0-9]+', '0', 'g'), '[{BLANK}]+', ' ', 'g') h
+  from (select r, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '[^{BLANK}]')),
+m as (
+  select d.r, doc_id, host, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint n_symbols, coalesce(x.dup, 0)::bigint n_dup_lines, coalesce(c.n, 0)::bigint n_repeat_words,
+    coalesce(x.copy, '') copy
+  from d join w using (r) left join c using (r)
+    left join (select r, count(*) - count(distinct line) dup, array_to_string(list_sort(list_distinct(list(h))), chr(10)) copy from l group by 1) x using (r)),
+b as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > 30 * n_words base_failed from m),
+ho as (select host, count(distinct copy) "all" from b group by 1),
+fr as (
+  select x.host, h, docs, "all" from (select host, h, count(distinct copy) docs from b join l using (r) group by 1, 2) x
+    join ho on ho.host is not distinct from x.host where docs >= {LEAST_DOCS} and docs > {SHARE}::double * "all"),
+lo as (select r, sum(w) lost from b join l using (r) join fr on fr.host is not distinct from b.host and fr.h = l.h group by 1),
+de as (
+  select *, not base_failed and lost > 0 and (n_words - lost < {LEAST_WORDS} or n_words - lost < {LEAST_LEFT}::double * n_words) depleted
+  from (select b.*, coalesce(lost, 0) lost from b left join lo using (r))),
+te as (select * from de where depleted qualify row_number() over (partition by host, copy order by {_RANK}) = 1),
+tl as (select r, h, sum(w) w from te join l using (r) group by 1, 2),
+fl as (select te.r, te.host, h, w, docs, "all" from te join tl using (r) join fr using (h) where fr.host is not distinct from te.host),
+ke as (
+  select r, host, h "key" from fl union all select r, any_value(host), 'core' || chr(10) || string_agg(h, chr(10) order by h) from fl group by 1),
+le as (select host, "key", arg_min(r, {_RANK}) lead from ke join te using (r, host) group by 1, 2),
+me as (select distinct ke.r, lead from ke join le on le."key" = ke."key" and le.host is not distinct from ke.host where lead <> ke.r),
+bo as (select me.r, lead, sum(a.w) w, sum(z.w) lead_w from me join tl a on a.r = me.r join tl z on z.r = lead and z.h = a.h group by 1, 2),
+ne as (
+  select bo.r, arg_min(lead, (y.doc_id is null, coalesce(y.doc_id, 0), y.r)) lead from bo join te x on x.r = bo.r join te y on y.r = lead
+  where w >= {NEAR}::double * x.n_words and lead_w >= {NEAR}::double * y.n_words group by 1),
+gr as (select te.r, host, n_words, coalesce(lead, te.r) "group" from te left join ne using (r)),
+st as (
+  select f.host, h from (select fl.host, h, docs - (count(*) - count(distinct "group")) docs, "all" from fl join gr using (r) group by fl.host, h, docs, "all") f
+    join (select host, count(*) - count(distinct "group") less from gr group by 1) x on x.host is not distinct from f.host
+  where docs >= {LEAST_DOCS} and docs > {SHARE}::double * ("all" - less)),
+l2 as (select fl.r, sum(w) lost from fl join st on st.host is not distinct from fl.host and st.h = fl.h group by 1),
+rs as (
+  select r from (select gr.*, coalesce(lost, 0) lost, count(*) over (partition by "group") n from gr left join l2 using (r))
+  where r = "group" and n > 1 and not (lost > 0 and (n_words - lost < {LEAST_WORDS} or n_words - lost < {LEAST_LEFT}::double * n_words)))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and (not depleted or r in (select r from rs)) kept from de
+"""

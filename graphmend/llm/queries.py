@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op1_simhash import op1_simhash
 from .op10_shards import op10_shards
 from .op2_packing import op2_packing
+from .op3_quality import ORACLE as OP3_SQL
 from .op3_quality import op3_quality
 from .op4_warc import ORACLE as OP4_SQL
 from .op4_warc import op4_warc
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op9_winnow": OP9_SQL,
 }
