@@ -6,14 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from graphmend.plans.oracles import ORACLES
-from graphmend.plans.queries import QUERIES
+from __spark_entry__ import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 SOME = (
     "coverage_focus", "sampling_report", "baseline_majority_family", "fidelity_micro", "policy_labels", "slot_topk", "graph_edges", "registry_build",
-    "token_frequency", "parse_corrections", "uri_normalise", "cache_merge",
+    "token_frequency", "parse_corrections", "uri_normalise", "cache_merge", "candidates", "fix_probability",
+    "policy_filter", "corpus_build", "factor_wiring_both", "label_fanout", "primary_support",
 )
 
 
