@@ -38,17 +38,15 @@ def evaluate(candidates: DataFrame, records: DataFrame, instances: DataFrame, cl
             "deletes_focus": (gone[0] == F.col("subject")) & (gone[1] == F.col("predicate")) & (gone[2] == F.col("object")),
         }
     )
-    # A state is told by its number within the record: candidates and states then meet by two small keys.
-    one = F.struct("idx", *carry, "add_count", "del_count", "pre_focus", "post_focus", "deletes_focus", "post")
+    # A record's row carries each different state with the candidates that lead to it.
+    facts = ("idx", *carry, "add_count", "del_count", "pre_focus", "post_focus", "deletes_focus")
     fixed = [c for c in base.columns if c != "violation_id"]
-    packed = rows.groupBy("violation_id").agg(*(F.first(c).alias(c) for c in fixed), F.collect_list(one).alias("cs"))
-    packed = packed.withColumn("states", F.array_distinct("cs.post"))
-    per = ["violation_id", "state"]
-    numbered = packed.select("violation_id", "constraint_type", "states", F.explode("cs").alias("c"))
-    place = (F.array_position("states", F.col("c.post")) - 1).cast("int").alias("state")
-    told = numbered.select("violation_id", "constraint_type", place, *(f"c.{c}" for c in ("idx", *carry, "add_count", "del_count", "pre_focus", "post_focus", "deletes_focus")))
-    states = packed.select("violation_id", "known", "pre", "p_local", *roles, F.posexplode("states").alias("state", "post"))
-    each = states.select(*per, (F.col("post") != F.col("pre")).alias("changed"), "p_local", "post", *roles, F.explode_outer("known").alias("x"))
+    packed = rows.groupBy("violation_id").agg(*(F.first(c).alias(c) for c in fixed), F.collect_list(F.struct(*facts, "post")).alias("cs"))
+    lead = lambda post: F.transform(F.filter("cs", lambda c: c["post"] == post), lambda c: F.struct(*(c[f].alias(f) for f in facts)))
+    states = F.transform(F.array_distinct("cs.post"), lambda post: F.struct(post.alias("post"), lead(post).alias("mine")))
+    fixed = ["violation_id", "constraint_type", "known", "pre", "p_local", *roles]
+    states = packed.select(*fixed, F.posexplode(states).alias("state", "x")).select(*fixed, "state", "x.*")
+    each = states.select("violation_id", "state", "constraint_type", "mine", (F.col("post") != F.col("pre")).alias("changed"), "p_local", "post", *roles, F.explode_outer("known").alias("x"))
     each = each.select("*", "x.*").drop("x").join(instances, "constraint_id", "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
     checkable, satisfied = Check("post", closed).columns("chk")
     # An edit that changes nothing leaves every verdict as it was.
@@ -59,13 +57,13 @@ def evaluate(candidates: DataFrame, records: DataFrame, instances: DataFrame, cl
     both = ~primary & pre_ok & c
     tracked = ~primary & F.coalesce(F.col("checkable_gold") & (F.col("satisfied_gold") == 1), F.lit(False)) & c
     count = F.count_if
-    sums = each.groupBy(*per).agg(
-        count(pre_ok).alias("checkable_pre"), count(pre_ok & pre_sat).alias("satisfied_pre"), count(c).alias("checkable_post"), count(s).alias("satisfied_post"),
+    sums = each.groupBy("violation_id", "state").agg(
+        F.first("constraint_type").alias("constraint_type"), F.first("mine").alias("mine"), count(pre_ok).alias("checkable_pre"), count(pre_ok & pre_sat).alias("satisfied_pre"), count(c).alias("checkable_post"), count(s).alias("satisfied_post"),
         count(primary & s).alias("primary_satisfied"), count(both & pre_sat & ~s).alias("regressions"), count(both & pre_sat).alias("regressions_denom"),
         count(both & ~pre_sat & s).alias("improvements"), count(both & ~pre_sat).alias("improvements_denom"),
         count(tracked & ~s).alias("gold_regressions"), count(tracked).alias("gold_regressions_denom"),
     )
-    sums = told.join(sums, per).drop("state")
+    sums = sums.withColumn("c", F.explode("mine")).drop("state", "mine").select("*", "c.*").drop("c")
     sums = sums.withColumns(
         {
             "pre_fraction": rate(F.col("satisfied_pre"), F.col("checkable_pre")), "post_fraction": rate(F.col("satisfied_post"), F.col("checkable_post")),
