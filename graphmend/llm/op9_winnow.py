@@ -5,17 +5,19 @@ benchmark items alike. A passage of at least ``K + WINDOW - 1`` = 13 shared word
 the same place within the passage. Kept k-grams are joined and each hit is extended, word by word, as far as both texts
 agree; extensions of 13 words or more are windows of the item. Items of fewer words are looked up by all their words.
 
-The index of the items goes to every task if it is within ``INDEX_WORDS`` words; more items are taken in blocks of that
-size, a pass over the documents each, and what the passes hit is united. A document is worked on alone in its task.
-
-Results for odd input: a null, empty or wordless text has no words and no hits, and is not contaminated; null item ids
-are left out of the list of items, as they cannot be named; repeated rows are documents of their own; several items
-with equal texts are all listed; an item_id is listed once; empty tables give no rows, or no hits; other columns are
-carried by ``drop_contaminated`` only, whatever their names.
+Where the items have at most ``INDEX_BYTES``, they go to every task as one index and documents stay where they are.
+Larger benchmarks stay distributed: the kept k-grams of documents and items are joined on their hashes, and each document
+meets the items that share any, in one pass. A document is worked on alone in its task either way.
+
+Results for odd input: a null, empty or wordless text has no words and no hits, and is not contaminated; an item with a
+null id counts as an item with hits but has no name in the list; ids of any type are told as strings; repeated rows are
+documents of their own; several items with equal texts are all listed; an item_id is listed once; empty tables give no
+rows, or no hits; other columns are carried by ``drop_contaminated`` only, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import each_text, own_name, read_table, written
+from .shared import each_text, own_name, read_table, slices, written
 
 SPAN = 13
 K = 7
 WINDOW = SPAN - K + 1
-#: Words of benchmark items in one index: some 200 bytes each in a task.
-INDEX_WORDS = 1_000_000
+#: UTF-8 bytes of all items in one index: at most half as many words, some 200 bytes each in a worker.
+INDEX_BYTES = 4 << 20
 
 #: Letters lowered; all that parts words made a blank.
 _TABLE = bytes(
@@ -72,9 +74,9 @@ def winnow(ids: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarra
 
 
 class Index:
-    """Benchmark items of one block: word ids, kept k-grams by hash, short items by their first word."""
+    """Benchmark items: word ids, kept k-grams by hash, short items by their first word."""
 
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]]) -> None:
         self.vocabulary: dict[bytes, int] = {}
         self.names = [i for i, _ in items]
         self.words: list[np.ndarray] = []
@@ -125,47 +127,113 @@ class Index:
         return p - (int(differ[0]) if len(differ) else most), end
 
 
-def _blocks(benchmark: DataFrame, text_col: str, id_col: str, most_words: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of at most ``most_words`` words (or a single longer item)."""
-    block: list[tuple[int, str | None]] = []
-    held = 0
-    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    for r in rows.distinct().toLocalIterator():  # one block at a time comes to the driver, none whole
-        n = len(words_of(r.t))
-        if block and held + n > most_words:
-            yield block
-            block, held = [], 0
-        block.append((r.i, r.t))
-        held += n
-    yield block
+_FIELDS = "n_words long, starts array<long>, ends array<long>, items array<string>"
+#: The index of this worker process, by the name of its benchmark: built once, not in every task.
+_HELD: dict[str, Index] = {}
+
+
+def _held(name: str, items: list[tuple[str | None, str]]) -> Index:
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Index(items)
+    return _HELD[name]
+
+
+def _found(index: Index, text: str | None) -> tuple[int, list[int], list[int], list[str | None]]:
+    """(words, starts, ends, items) of the passages that a text shares with the items of an index."""
+    words = words_of(text)
+    word_id = index.vocabulary.get
+    found = index.hits(np.fromiter([word_id(w, 0) for w in words], np.int64, len(words)))
+    return len(words), [f[0] for f in found], [f[1] for f in found], [index.names[f[2]] for f in found]
+
 
+def _arrays(found: list[tuple]) -> list[pa.Array]:
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
+    return [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
 
-def _hits(docs: DataFrame, items: list[tuple[int, str | None]], text_col: str, carry: list[str]) -> DataFrame:
-    """(carried, n_words, starts, ends, items) of each document against one block of items."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most INDEX_WORDS words
+
+def _by_index(docs: DataFrame, items: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
+    """(carried, fields) by one index of all items, which the caller has found to be small."""
+    name = uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in items.collect()])
 
     def make():
-        index = Index(shared.value)
-        word_id = index.vocabulary.get
+        index = _held(name, shared.value)
+        return lambda texts: _arrays([_found(index, t) for t in texts])
+
+    return each_text(docs, text_col, carry, _FIELDS, make)
+
+
+def _hashed(text: str | None) -> np.ndarray:
+    import xxhash
+
+    words = words_of(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _whole(ids: np.ndarray, n: int) -> np.ndarray:
+    """A key for every n consecutive words: for items of fewer than ``SPAN`` words, which are found whole."""
+    keys = np.full(len(ids) - n + 1, n, np.uint64)
+    for j in range(n):
+        keys = (keys ^ ids[j : len(ids) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def _keys(rows: DataFrame, short: list[int], of_items: bool) -> DataFrame:
+    """(h, row): distinct keys of each (row, text): its kept k-grams, and what stands for items of the short lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for text in batch.column(1).to_pylist():
+                ids = _hashed(text)
+                few = 0 < len(ids) < SPAN
+                parts = [_whole(ids, n) for n in short if n <= len(ids) and (not of_items or n == len(ids))]
+                found.append(np.unique(np.concatenate([*parts, np.zeros(0, np.uint64) if of_items and few else winnow(ids)[1]])))
+            take = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
+            h = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(take)], names=["h", "row"])
+
+    return rows.select("row", "text").mapInArrow(run, "h long, row long")
+
+
+def _lengths(items: DataFrame) -> DataFrame:
+    """(n): the words of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in batch.column(0).to_pylist()], pa.int64())], names=["n"])
+
+    return items.select("text").mapInArrow(run, "n long")
+
 
-        def work(texts: list) -> list[pa.Array]:
-            counts, starts, ends, names = [], [], [], []
-            for text in texts:
-                words = words_of(text)
-                found = index.hits(np.fromiter([word_id(w, 0) for w in words], np.int64, len(words)))
-                counts.append(len(words))
-                starts.append([f[0] for f in found])
-                ends.append([f[1] for f in found])
-                names.append([index.names[f[2]] for f in found])
-            return [pa.array(counts, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, ends, names))]
+def _by_join(docs: DataFrame, items: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
+    """(carried, fields) where each document meets only the items that share a key with it."""
+    row, number = own_name(docs, "row"), F.monotonically_increasing_id()
+    numbered = written(docs.withColumn(row, number), "numbered")
+    items = written(items.withColumn("row", number), "items")
+    short = [r.n for r in _lengths(items).where(f"n between 1 and {SPAN - 1}").distinct().collect()]  # twelve at most
+    texts = numbered.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
+    theirs = _keys(items, short, True).withColumnRenamed("row", "item_row")
+    pairs = _keys(texts, short, False).join(theirs, "h").select("row", "item_row").distinct()
+    named = pairs.join(items.select(F.col("row").alias("item_row"), F.struct("item", F.col("text").alias("item_text")).alias("x")), "item_row")
+    lists = named.groupBy("row").agg(F.collect_list("x").alias("xs"))
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")
+    placed = numbered.select(carried, F.col(text_col).cast("string").alias("text"), F.col(row).alias("row")).join(lists, "row", "left")
 
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [_found(Index([(x["item"], x["item_text"]) for x in xs or []]), t) for t, xs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_arrays(found)], names=["carried", "n_words", "starts", "ends", "items"])
 
-    return each_text(docs, text_col, carry, "n_words long, starts array<long>, ends array<long>, items array<long>", make)
+    kind = placed.schema["carried"].dataType.simpleString()
+    return placed.select("carried", "text", "xs").mapInArrow(run, f"carried {kind}, {_FIELDS}")
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: list[str] | None = None, most_words: int = INDEX_WORDS
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: list[str] | None = None, most_bytes: int = INDEX_BYTES
 ) -> DataFrame:
     """(carried, n_words, n_hit, items, spans, contaminated) per document.
 
@@ -173,22 +241,9 @@ def contamination(
     windows, ``spans`` the hit word ranges, sorted. Contaminated: hits are a twentieth of the words or more.
     """
     carry = docs.columns if carry is None else carry
-    blocks = _blocks(benchmark, "text", "item_id", most_words)
-    block, after = next(blocks), next(blocks, None)
-    if after is None:
-        found = _hits(docs, block, text_col, carry)
-    else:
-        row, copy = own_name(docs, "row"), docs.withColumn(own_name(docs, "row"), F.monotonically_increasing_id())
-        copy = written(copy, "numbered")
-        found = written(_hits(copy, block, text_col, [row]).select("carried.*", "n_words", "starts", "ends", "items"), "hits")
-        while after is not None:
-            more = _hits(copy, after, text_col, [row]).where("size(items) > 0")
-            found = found.unionByName(written(more.select("carried.*", "n_words", "starts", "ends", "items"), "hits"))
-            after = next(blocks, None)
-        lists = (F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items"))  # as many as blocks
-        found = found.groupBy(F.col(row).alias("r")).agg(F.max("n_words").alias("n_words"), *lists)
-        carried = copy.select(row, F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"))
-        found = carried.join(found, F.col(row) == F.col("r"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= most_bytes
+    found = (_by_index if small else _by_join)(docs, items, text_col, carry)
     spans = F.array_sort(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")))
     found = found.select("carried", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), spans.alias("spans"))
     return found.withColumn("n_hit", _united()).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
@@ -214,7 +269,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     found = contamination(docs, benchmark, carry=["doc_id"])
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    names = F.array_join("items", ",")  # sorted as strings, null ids left out
     return found.select(
         F.col("carried.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"), "contaminated",
