@@ -53,6 +53,8 @@ BANDS, BAND_ROWS = 28, 6
 #: Texts and shingles that one task holds at a time (8 bytes a shingle); fuller groups are split by both.
 CHUNK_TEXTS = 2048
 CHUNK_SHINGLES = 1 << 22
+#: Links that a task writes, at least: some 8 MB.
+EDGES_A_TASK = 500_000
 
 
 def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -249,30 +251,32 @@ def components(links: DataFrame) -> DataFrame:
 
     A round keeps components and replaces links by links to smaller nodes; the number of rounds grows with the
     logarithm of the longest chain. Each round is written to the shared folder. The smallest neighbours are written
-    too, so both sides of the join that follows are plain scans and Spark may split a hub's rows over many tasks.
+    too, so both sides of the join that follows are plain scans and Spark may split a hub's rows over many tasks. Tables
+    are written by as many tasks as their rows are worth.
     """
     larger, smaller = F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")
     edges = written(links.where("a <> b").select(larger, smaller).distinct(), "edges")
-    while True:
+    before = _state(edges)
+    while before[0]:
+        few = lambda df, name, n=before[0]: written(df.coalesce(max(8, n // EDGES_A_TASK)), name)
         both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(
             edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
         )
-        least = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "least")
+        least = few(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "least")
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
-        large = written(large, "large")
-        low = written(large.groupBy("v").agg(F.min("u").alias("m")), "low")
+        large = few(large, "large")
+        low = few(large.groupBy("v").agg(F.min("u").alias("m")), "low")
         small = (
             large.join(low, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
             .unionByName(low.select("v", F.col("m").alias("u")))
             .distinct()
         )
-        small = written(small, "edges")
-        forget(least, large, low)
-        now, before = (e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first() for e in (small, edges))
-        forget(edges)
-        edges = small
+        small = few(small, "edges")
+        forget(edges, least, large, low)
+        edges, now = small, _state(small)
         if now == before:
             break
+        before = now
     out = edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(
         edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     )
@@ -280,6 +284,22 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number of the links and a sum over them: equal only if a round has changed nothing."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) after links between their roots, or nodes that had none: only the links are contracted."""
+    more = components(links)
+    renamed = more.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = found.join(renamed, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    fresh = more.join(found.select("node"), "node", "left_anti").select("node", "root")
+    out = written(moved.unionByName(fresh), "merged")
+    forget(more, found)
+    return out
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id, component_docs): component_id is the smallest doc_id that links reach."""
     marked = written(fingerprints(docs, text_col, id_col), "fingerprints")
@@ -291,6 +311,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     rooted = written(rooted, "rooted")
     heads = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("docs").alias("component_docs")), "heads")
     by_fp = written(rooted.join(heads, "root").select("fp", "component_id", "component_docs"), "classes")
+    forget(distinct, found, rooted, heads)
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id", "component_docs")
 
 
@@ -392,7 +413,7 @@ def _links_of(placed: DataFrame, radius: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard = None, Shard(radius, similarity)
-        for batch in batches:
+        for batch in slices(batches):
             links: list[tuple[int, int]] = []
             for g, i, j, meets, holds, node, size, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (g, i, j) != now:
@@ -449,11 +470,6 @@ def joined(members: DataFrame, radius: int, similarity: float, chunk: int = CHUN
         """The large groups' rows with the component of each so far as ``comp``."""
         return large.join(found, F.col("row") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "row")).drop("node", "root")
 
-    def also(links: DataFrame, before: DataFrame) -> DataFrame:
-        now = components(before.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        forget(before)
-        return now
-
     while True:
         heads = known().groupBy("g", "comp").agg(F.min("row").alias("row"))
         heads = heads.join(large.drop("chunks"), ["g", "row"])
@@ -463,7 +479,7 @@ def joined(members: DataFrame, radius: int, similarity: float, chunk: int = CHUN
         links = written(_links_of(heads.withColumns({"j": zero, "meets": some, "holds": some}), radius, similarity), "links")
         more, split = links.limit(1).count() > 0, heads.where("chunks > 1").limit(1).count() > 0
         if more:
-            found = also(links, found)
+            found = merged(found, links)
         forget(heads, links)
         if not (more and split):
             break
@@ -475,13 +491,16 @@ def joined(members: DataFrame, radius: int, similarity: float, chunk: int = CHUN
         F.max_by("comp", first).alias("main"), (F.sum("n") - F.max("n")).alias("n"), (F.sum("held") - F.max_by("held", first)).alias("held")
     )
     rest = written(rest.where("n > 0").select("of", "main", parts("n", "held").alias("outer")), "rest")
+    if not rest.limit(1).count():
+        forget(full, large, rows, rest)
+        return found
     both = rows.join(rest, F.col("g") == F.col("of")).withColumn("node", F.col("comp"))
     every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
     held = both.where("comp <> main").withColumns({"i": dealt("row", "outer", 1), "meets": no, "holds": some}).withColumn("j", every("chunks"))
     met = both.withColumns({"j": dealt("row", "chunks", 2), "meets": some, "holds": no}).withColumn("i", every("outer"))
     links = written(_links_of(held.unionByName(met), radius, similarity), "links")
     if links.limit(1).count() > 0:
-        found = also(links, found)
+        found = merged(found, links)
     forget(full, large, rows, rest, links)
     return found
 
