@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,26 @@ def test_each_disguise_alone_is_found(a, blank):
         assert [(k, text[s:e]) for k, s, e, base in op5_pii.find_spans(text) if not base] == [(0, text)], text
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["dot" + " " * 10**6, "1.2" + "3" * 10**6, "dot " + "-" * 10**6 + " at " + "-" * 10**6, "(" * 10**6 + " at " + ")" * 10**6,
+     "dot .-" + "at-" * 300_000, "x dot " * 200_000 + "at y dot z", "a@" * 500_000 + " dot", ("one" + " " * 1000) * 1000, "+1" + "-" * 10**6, "1" * 10**6],
+    ids=range(10),
+)
+def test_long_runs_take_linear_time(text):
+    best = []
+    for part in (text[: len(text) // 4], text):
+        start = time.process_time()
+        op5_pii.find_spans(part)
+        best.append(time.process_time() - start)
+    assert best[1] < 12 * best[0] + 1  # four times the length; a quadratic pattern takes minutes
+
+
+@pytest.mark.parametrize("text", ["j\u043e\u043a\u0435r@mail.com", "\u0442\u043e\u043c@mail.com", "\u24d9ohn@mail.com", "\U0001d41cat@mail.com", "j\u1d0fhn@mail.com", "john@mail\ufe52com"])
+def test_letters_of_other_alphabets_are_seen_through(text):
+    assert (0, 0, len(text), False) in op5_pii.find_spans(text)
+
+
 def test_plain_texts_stay():
     for text in ("one two three go", "Meet at noon. Dot the i.", "", None, "The point is at home", "© 2024 été"):
         assert op5_pii.find_spans(text) == [] and op5_pii.redacted(text) == text
@@ -226,8 +247,8 @@ def slow_hits(text, items):
             for k in range(len(w) - n + 1):
                 if tuple(w[k : k + n]) in grams:
                     hit.update(range(k, k + n))
-                    names.add(name)
-    return len(w), len(hit), sorted(names), len(hit) > 0 and 20 * len(hit) >= len(w)
+                    names.add(None if name is None else str(name))
+    return len(w), len(hit), sorted(names, key=lambda x: (x is None, x)), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
 def test_winnowing_finds_every_window(spark):
@@ -235,6 +256,7 @@ def test_winnowing_finds_every_window(spark):
     some = ["w%d" % i for i in range(5)]
     say = lambda n: " ".join(rng.choice(some) for _ in range(n))
     items = [(i, say(rng.choice((2, 9, 13, 14, 20, 40)))) for i in range(25)] + [(99, None), (98, ""), (97, "A-b. C!"), (96, "same " * 30)]
+    items += [(None, say(15)), (None, say(3))]
     rows = [(i, say(rng.choice((0, 5, 30, 200))), "s") for i in range(60)]
     for i in range(60, 90):
         k, text = rng.randrange(25), items[rng.randrange(25)][1].upper().replace(" ", ", ")
@@ -242,14 +264,18 @@ def test_winnowing_finds_every_window(spark):
     rows += [(90, None, "s"), (91, "a B c", "s"), (92, "Same " * 50, "s"), (90, "é " * 30, "s")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter((i, n, h, tuple(m), c) for i, t, _ in rows for n, h, m, c in [slow_hits(t, items)])
-    for most in (10**6, 60):  # one block, and several
-        out = op9_winnow.contamination(frame(spark, rows), bench, most_words=most).collect()
+    for most in (10**6, 0):  # one index, and a join
+        out = op9_winnow.contamination(frame(spark, rows), bench, most_bytes=most).collect()
         assert Counter((r.carried.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in out) == want
     kept = op9_winnow.drop_contaminated(frame(spark, rows), bench)
     assert kept.count() == sum(n for (_, _, _, _, c), n in want.items() if not c)
     assert op9_winnow.contamination(frame(spark, []), bench).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert op9_winnow.contamination(frame(spark, rows), none).where("n_hit > 0").count() == 0
+    assert op9_winnow.contamination(frame(spark, rows), none, most_bytes=-1).where("n_hit > 0").count() == 0
+    named = spark.createDataFrame([("b-2", "same " * 30), ("b-10", "same " * 20)], "item_id string, text string")
+    hits = op9_winnow.contamination(frame(spark, [(92, "Same " * 50, "s")]), named).first()
+    assert hits["items"] == ["b-10", "b-2"] and hits.n_hit == 50
 
 
 # --- section counts ------------------------------------------------------------------------------------------------
@@ -330,12 +356,27 @@ def test_derivatives_link_and_survive_the_file(spark):
     about = next(r for r in out if r.page_id == 1 and r.warc_type == "metadata").block.split("\r\n")
     assert about[:2] == ["title: A & B", "language: en"] and "outlink: /z" in about
     path = new_path(spark, "warc")
-    records = op4_warc.derivatives(found).select("header", "block").unionByName(op4_warc.response_records(found))
+    records = op4_warc.all_records(found).select("header", "block")
     op4_warc.write_records(records, path)
     assert Counter(map(tuple, op4_warc.read_records(spark, path).collect())) == Counter(map(tuple, records.collect()))
     assert op4_warc.derivatives(op4_warc.responses(pages.limit(0))).count() == 0
 
 
+def test_records_of_odd_pages(spark):
+    html = "<html lang=fr><title>A\r\nWARC-Type: x</title><a href='/q'>&#65;&#x1F600;&#x110000;</a><a\nhref=/r>&amp;#66; &hellip;</a><a href=\"/s\nt\">"
+    rows = [(1, "http://a/\r\nX: y", html, "2020-02-03T04:05:06Z"), (1, "http://a/\r\nX: y", html, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, date string")
+    out = op4_warc.all_records(op4_warc.responses(pages)).collect()
+    assert {r.date for r in out} == {"2020-02-03T04:05:06Z", op4_warc.DATE} and len(out) == 6
+    named = {r.record_id for r in out if r.warc_type == "response"}
+    assert all(r.refers_to in named for r in out if r.warc_type != "response") and len(named) == 1
+    assert all(r.target == "http://a/%0D%0AX: y" and "\nX: y" not in r.header for r in out)
+    about = next(r for r in out if r.warc_type == "metadata").block.split("\r\n")
+    assert about[:2] == ["title: A WARC-Type: x", "language: fr"] and about[4:] == ["outlink: /q", "outlink: /r", "outlink: /s t"]
+    text = next(r for r in out if r.warc_type == "conversion").block
+    assert "A\U0001F600&#x110000;" in text and "&#66; …" in text
+
+
 def test_crc_of_text_is_the_plain_one(spark):
     row = spark.createDataFrame([("é",)], "t string").select(F.crc32(F.col("t").cast("binary")).alias("c")).first()
     assert row.c == zlib.crc32("é".encode())
