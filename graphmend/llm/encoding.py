@@ -12,8 +12,6 @@ import re
 
 import numpy as np
 
-#: Words kept per worker process: about 270 bytes each.
-CACHE_WORDS = 250_000
 #: Words that one call to the library encodes at a time.
 JOINED = 400
 
@@ -32,6 +30,8 @@ class Encoder:
     #: A text that is one token wherever white space or a line break surrounds it, and what surrounds it here.
     mark = "\n"
     glue = ""
+    #: Words kept per worker process: about 270 bytes each.
+    cache_words = 600_000
     #: Signs that never merge with a letter before them.
     tails = ".,;:!?"
 
@@ -139,7 +139,7 @@ class Encoder:
             for i, core, tail in gaps:
                 parts[i] = learnt[core] + tail
             out.append(b"".join(parts))
-        if len(self.cache) + len(learnt) <= CACHE_WORDS:
+        if len(self.cache) + len(learnt) <= self.cache_words:
             self.cache.update(learnt)
         return out
 
@@ -176,6 +176,8 @@ class WordEndEncoder(Encoder):
 
     mark = "|"
     glue = " "
+    #: Packing shares its workers with other stages of a pipeline.
+    cache_words = 250_000
     #: White space to str.split that the tokenizer takes for symbols.
     control = "\x1c\x1d\x1e\x1f"
 

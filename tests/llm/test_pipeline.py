@@ -35,7 +35,7 @@ def test_stages_keep_clean_documents_and_their_columns(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     sizes = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
-    assert {r.doc_id: r.doc_tokens for r in packed} == sizes
+    assert {p.doc_id: p.doc_tokens for r in packed for p in r.pieces} == sizes
 
 
 def test_entries_are_registered():

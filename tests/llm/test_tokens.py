@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from graphmend.llm.encoding import ByteLevelEncoder, WordEndEncoder
-from graphmend.llm.op2_packing import first_fit_decreasing, pack, pack_digest, sequences, token_pieces
+from graphmend.llm.op2_packing import first_fit_decreasing, pack_digest, pack_documents, padded_length
 from graphmend.llm.op6_store import (
     LEAST_IDS,
     MOST_IDS,
@@ -104,12 +104,26 @@ def test_packing_holds_every_id_once(spark):
 
 
 def test_sequences_carry_the_ids(spark):
-    pieces = written(token_pieces(spark.createDataFrame(rows(), SCHEMA), WORD), "pieces")
-    out = sequences(pieces, pack(pieces, 10)).collect()
-    assert all(r.padded == (r.tokens if r.tokens & (r.tokens - 1) == 0 else 4096) for r in out)
-    assert all(len(r.input_ids) == 4 * r.padded for r in out)
-    found = sorted(x for r in out for x in np.frombuffer(bytes(r.input_ids), "<u4")[: r.tokens].tolist())
-    assert found == sorted(x for _, t, _, _ in rows() for x in plain(WORD, t))
+    """Every id of every document stands in the padded sequences where the pieces say."""
+    out = pack_documents(spark.createDataFrame(rows(), SCHEMA), WORD).collect()
+    assert len({r.sequence_id for r in out}) == len(out)
+    found = []
+    for r in out:
+        ids = np.frombuffer(bytes(r.input_ids), "<u4")
+        assert len(ids) == (r.tokens if r.tokens & (r.tokens - 1) == 0 else 4096) == padded_length(r.tokens, 4096)
+        at = 0
+        for p in r.pieces:
+            assert p.offset == at
+            found.append((p.doc_id is None, p.doc_id or 0, p.doc_tokens, p.start, tuple(ids[at : at + p.length].tolist())))
+            at += p.length
+        assert at == r.tokens and not ids[at:].any()
+    want = []
+    for i, text, _, _ in rows():
+        ids = plain(WORD, text)
+        want += [(i is None, i or 0, len(ids), a, tuple(ids[a : a + 4096])) for a in range(0, len(ids), 4096)]
+    assert sorted(found) == sorted(want)
+    assert pack_documents(spark.createDataFrame([], SCHEMA), WORD).count() == 0
+
 
 
 def test_store_round_trip(spark):
