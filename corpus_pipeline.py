@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphmend.llm.op1_simhash import keep_one_of_each
-from graphmend.llm.op2_packing import pack_digest
+from graphmend.llm.op2_packing import pack_documents
 from graphmend.llm.op3_quality import keep_good
 from graphmend.llm.op5_pii import redact
 from graphmend.llm.op9_winnow import drop_contaminated
-from graphmend.llm.shared import read_table, written
+from graphmend.llm.shared import forget, read_table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece: its document, place in it, digest of its ids, sequence, place there."""
+    """A row for each training sequence: its ids, padded, and where each document stands in it."""
     import public_tokenizers
 
-    return pack_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        done = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, f"stage{i}")
+            now = written(done, f"stage{i}")
+            forget(docs, *done.__dict__.get("reads", ()))
+            docs = now
+        else:
+            docs = done
     return docs
