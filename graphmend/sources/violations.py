@@ -39,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out while its rows are still narrow; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def long(value: int) -> Column:
     return F.lit(value).cast("long")
 
@@ -78,7 +84,7 @@ def _edit() -> list[str]:
 
 def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per order (rules in the fixtures' description), without the constraint closures."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customer = spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
     counts = orders.agg(F.count("*").alias("no")).crossJoin(customer.agg(F.count("*").alias("nc")))  # one row
     rows = orders.join(customer, orders.o_custkey == customer.c_custkey).crossJoin(F.broadcast(counts)).selectExpr(
         "o_orderkey as violation_id", "o_orderkey % 9 as k", "o_orderkey div 9 as q", "o_custkey as ck", "o_orderkey + 1000000000 as s",
