@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_simhash import op1_simhash
 from .op10_shards import op10_shards
+from .op11_lines import ORACLE as OP11_SQL
+from .op11_lines import op11_lines
+from .op12_middle import ORACLE as OP12_SQL
+from .op12_middle import op12_middle
 from .op2_packing import op2_packing
 from .op3_quality import ORACLE as OP3_SQL
 from .op3_quality import op3_quality
@@ -31,10 +35,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_counts": op8_counts,
     "op9_winnow": op9_winnow,
     "op10_shards": op10_shards,
+    "op11_lines": op11_lines,
+    "op12_middle": op12_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op9_winnow": OP9_SQL,
+    "op11_lines": OP11_SQL,
+    "op12_middle": OP12_SQL,
 }
