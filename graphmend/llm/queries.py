@@ -12,6 +12,8 @@ from .op11_lines import ORACLE as OP11_SQL
 from .op11_lines import op11_lines
 from .op12_middle import ORACLE as OP12_SQL
 from .op12_middle import op12_middle
+from .op13_phrases import ORACLE as OP13_SQL
+from .op13_phrases import op13_phrases
 from .op2_packing import op2_packing
 from .op3_quality import ORACLE as OP3_SQL
 from .op3_quality import op3_quality
@@ -37,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
     "op11_lines": op11_lines,
     "op12_middle": op12_middle,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -45,4 +48,5 @@ ORACLES: dict[str, str] = {
     "op9_winnow": OP9_SQL,
     "op11_lines": OP11_SQL,
     "op12_middle": OP12_SQL,
+    "op13_phrases": OP13_SQL,
 }
