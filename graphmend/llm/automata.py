@@ -108,7 +108,7 @@ class Automaton:
 
         def states(label: np.ndarray, weight: np.ndarray, target: np.ndarray, ends: np.ndarray) -> np.ndarray:
             """The state of each run of arcs that ends there; a run whose equal is registered gets that one's state."""
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
             data = np.column_stack([label, weight, target]).astype("<i8").tobytes()
             found, fresh, n = [], [], len(register)
             for start, end in zip((24 * starts).tolist(), (24 * ends).tolist(), strict=True):

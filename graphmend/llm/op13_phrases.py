@@ -207,13 +207,10 @@ def asked_parts(grams: Grams) -> Grams:
     """Parts of all candidates, weighted by one and the largest count of a longer candidate around them."""
     real = grams.weights > 0
     two, three = real & (grams.ids[:, 1] >= 0) & (grams.ids[:, 2] < 0), real & (grams.ids[:, 2] >= 0)
-    none = np.full(len(grams), -1)
-    words = [grams.ids[two, 0], grams.ids[two, 1], grams.ids[three, 0], grams.ids[three, 2]]
-    single = np.unique(np.concatenate(words))
-    ids = [np.column_stack([single, none[: len(single)], none[: len(single)]]) if len(single) <= len(none) else np.column_stack([single, np.full((len(single), 2), -1)])]
-    weights = [np.ones(len(single), np.int64)]
+    single = np.unique(np.concatenate([grams.ids[two, 0], grams.ids[two, 1], grams.ids[three, 0], grams.ids[three, 2]]))
+    ids, weights = [np.column_stack([single, np.full((len(single), 2), -1)])], [np.ones(len(single), np.int64)]
     for at in (0, 1):
-        ids.append(np.column_stack([grams.ids[three, at], grams.ids[three, at + 1], none[: int(three.sum())]]))
+        ids.append(np.column_stack([grams.ids[three, at], grams.ids[three, at + 1], np.full(int(three.sum()), -1)]))
         weights.append(grams.weights[three] + 1)
     return Grams.of(grams.words, np.concatenate(ids), np.concatenate(weights), np.maximum)
 
