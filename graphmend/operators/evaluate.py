@@ -2,68 +2,81 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .baselines import EDIT, SLOTS
-from .evidence import Check, resolved, with_edit, with_evidence
-from .labels import factors, rate
+from .evidence import Check, resolved, with_edit
+from .labels import ROLES, rate, verdicts
 from .metrics import triple
+from .registry import Catalog
 
 BUDGET = 2
 
 
-def focus_present(state: str) -> Column:
-    return F.exists(f"{state}.s", lambda x: (x["p"] == F.col("predicate")) & (x["o"] == F.col("object")))
+#: What an attached constraint adds to each sum: m primary, cp sp checkable and satisfied before, cg sg after the historical
+#: edit, c s after the candidate.
+SUMS = {
+    "checkable_post": "c", "satisfied_post": "s", "primary_satisfied": "m and s", "regressions": "not m and cp and c and sp and not s",
+    "regressions_denom": "not m and cp and c and sp", "improvements": "not m and cp and c and not sp and s",
+    "improvements_denom": "not m and cp and c and not sp", "gold_regressions": "not m and cg and sg and c and not s",
+    "gold_regressions_denom": "not m and cg and sg and c",
+}
+
 
+def _count(items: str, condition: str) -> str:
+    """SQL of how many of ``items`` fulfil a condition on their fields."""
+    return f"cast(size(filter({items}, k -> {re.sub(r'[a-z]+', lambda m: m[0] if m[0] in ('not', 'and') else f'k.{m[0]}', condition)})) as bigint)"
 
-def evaluate(candidates: DataFrame, records: DataFrame, instances: DataFrame, closed: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+
+def with_known(records: DataFrame, known: Catalog | DataFrame, closed: bool = True) -> DataFrame:
+    """Records with the state ``pre``, the attached constraints that have a checker (``known``: verdicts before any
+    candidate, and ``watched``, the properties that a verdict depends on) and the sums of an edit that changes nothing.
+    """
+    rows = verdicts(records, known, closed=closed)
+    inst = "n" if isinstance(known, Catalog) and known.entries else "c"
+    fields = {
+        inst: f"y.{inst}", "m": "y.constraint_id = constraint_id", "cp": "y.checkable_pre", "sp": "y.satisfied_pre = 1", "cg": "y.checkable_post", "sg": "y.satisfied_post = 1",
+        "watched": "y.watched",
+    }
+    kept = f"transform(verdicts, y -> named_struct({', '.join(f"'{n}', {e}" for n, e in fields.items())}))"
+    rows = rows.withColumn("known", F.expr(kept)).drop("verdicts")
+    still = {n: re.sub(r"\b[cs]\b", lambda m: f"{m[0]}p", c) for n, c in SUMS.items()}
+    return rows.withColumns({"checkable_pre": F.expr(_count("known", "cp")), "satisfied_pre": F.expr(_count("known", "cp and sp")), **{f"still_{n}": F.expr(_count("known", c)) for n, c in still.items()}})
+
+
+def evaluate(candidates: DataFrame, records: DataFrame, known: Catalog | DataFrame, closed: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per candidate (violation_id, idx, slots, and columns to carry): effects on the record's attached constraints.
 
-    The state before and after the historical edit is labelled once a record and travels as one array, so only states
-    after candidates are evaluated, and of equal states of a record (most candidates change nothing or do the same) one.
-    Constraints without a checker never count and are left out before the product.
+    By difference: the states before and after the historical edit are judged once a record. A candidate rechecks only
+    the constraints that watch a property of its edit and inherits all other verdicts and their sums; constraints without
+    a checker never count. Candidates meet their record once and nothing regroups after that.
     """
-    known = factors(records, instances, closed=closed).where("supported")
-    flags = F.struct("constraint_id", "is_primary", "checkable_pre", "satisfied_pre", F.col("checkable_post").alias("checkable_gold"), F.col("satisfied_post").alias("satisfied_gold"))
-    known = known.groupBy("violation_id").agg(F.collect_list(flags).alias("known"))
-    roles = ["subject", "predicate", "object", "other_subject", "other_predicate", "other_object"]
-    base = with_evidence(records).select("violation_id", "constraint_type", "p_local", "x_id", "x_raw", "pre", *roles).join(known, "violation_id", "left")
-    rows = with_edit(candidates.select("violation_id", "idx", *SLOTS, *carry).join(base, "violation_id"), [F.col(n) for n in SLOTS], "post", closed)
+    sums = [f"still_{n}" for n in SUMS]
+    base = with_known(records, known, closed).select("violation_id", "constraint_type", "p_local", "x_id", "x_raw", "pre", "known", "checkable_pre", "satisfied_pre", *sums, *ROLES)
+    rows = candidates.select("violation_id", "idx", *SLOTS, *carry).join(base, "violation_id")
+    rows = with_edit(rows, [F.col(n) for n in SLOTS], "post", closed)
     gone = [resolved(F.col(n)) for n in SLOTS[3:]]
     whole = lambda a: (triple([F.col(f"{a}_{x}") for x in "spo"]).isNotNull()).cast("long")
     rows = rows.withColumns(
         {
-            "add_count": whole("add"), "del_count": whole("del"), "pre_focus": focus_present("pre"), "post_focus": focus_present("post"),
+            "add_count": whole("add"), "del_count": whole("del"), "pre_focus": F.col("pre.focus"), "post_focus": F.col("post.focus"),
             "deletes_focus": (gone[0] == F.col("subject")) & (gone[1] == F.col("predicate")) & (gone[2] == F.col("object")),
         }
     )
-    # A record's row carries each different state with the candidates that lead to it.
-    facts = ("idx", *carry, "add_count", "del_count", "pre_focus", "post_focus", "deletes_focus")
-    fixed = [c for c in base.columns if c != "violation_id"]
-    packed = rows.groupBy("violation_id").agg(*(F.first(c).alias(c) for c in fixed), F.collect_list(F.struct(*facts, "post")).alias("cs"))
-    lead = lambda post: F.transform(F.filter("cs", lambda c: c["post"] == post), lambda c: F.struct(*(c[f].alias(f) for f in facts)))
-    states = F.transform(F.array_distinct("cs.post"), lambda post: F.struct(post.alias("post"), lead(post).alias("mine")))
-    fixed = ["violation_id", "constraint_type", "known", "pre", "p_local", *roles]
-    states = packed.select(*fixed, F.posexplode(states).alias("state", "x")).select(*fixed, "state", "x.*")
-    each = states.select("violation_id", "state", "constraint_type", "mine", (F.col("post") != F.col("pre")).alias("changed"), "p_local", "post", *roles, F.explode_outer("known").alias("x"))
-    each = each.select("*", "x.*").drop("x").join(instances, "constraint_id", "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
-    checkable, satisfied = Check("post", closed).columns("chk")
-    # An edit that changes nothing leaves every verdict as it was.
-    each = each.withColumn("chk", F.when(F.col("changed"), checkable).otherwise(F.coalesce("checkable_pre", F.lit(False))))
-    each = each.withColumn("sat", F.when(F.col("changed"), satisfied).otherwise(F.coalesce(F.col("satisfied_pre") == 1, F.lit(False))))
-    pre_ok, pre_sat = F.coalesce("checkable_pre", F.lit(False)), F.coalesce(F.col("satisfied_pre") == 1, F.lit(False))
-    primary, c, s = F.coalesce("is_primary", F.lit(False)), F.col("chk"), F.col("sat")
-    both = ~primary & pre_ok & c
-    tracked = ~primary & F.coalesce(F.col("checkable_gold") & (F.col("satisfied_gold") == 1), F.lit(False)) & c
-    count = F.count_if
-    sums = each.groupBy("violation_id", "state").agg(
-        F.first("constraint_type").alias("constraint_type"), F.first("mine").alias("mine"), count(pre_ok).alias("checkable_pre"), count(pre_ok & pre_sat).alias("satisfied_pre"), count(c).alias("checkable_post"), count(s).alias("satisfied_post"),
-        count(primary & s).alias("primary_satisfied"), count(both & pre_sat & ~s).alias("regressions"), count(both & pre_sat).alias("regressions_denom"),
-        count(both & ~pre_sat & s).alias("improvements"), count(both & ~pre_sat).alias("improvements_denom"),
-        count(tracked & ~s).alias("gold_regressions"), count(tracked).alias("gold_regressions_denom"),
+    checkable, satisfied = Check("post", closed, "k.inst.").rules("k.c")
+    inst = known.entry_sql("k.n") if isinstance(known, Catalog) and known.entries else "k.c"
+    flags = ", ".join(f"'{n}', k.{n}" for n in ("m", "cp", "sp", "cg", "sg"))
+    rows = rows.withColumn("again", F.expr(f"transform(transform(filter(known, k -> arrays_overlap(k.watched, touched)), k -> named_struct('inst', {inst}, {flags})), k -> named_struct('inst', k.inst, {flags}, 'c', {checkable}))"))
+    rows = rows.withColumn("again", F.expr(f"transform(again, k -> named_struct({flags}, 'c', k.c, 's', {satisfied}))"))
+    before = {n: re.sub(r"\b[cs]\b", lambda m: f"{m[0]}p", c) for n, c in SUMS.items()}
+    told = {n: F.expr(f"still_{n} + {_count('again', c)} - {_count('again', before[n])}") for n, c in SUMS.items()}
+    sums = rows.select(
+        "violation_id", "constraint_type", "idx", *carry, "add_count", "del_count", "pre_focus", "post_focus", "deletes_focus", "checkable_pre", "satisfied_pre",
+        *(c.alias(n) for n, c in told.items()),
     )
-    sums = sums.withColumn("c", F.explode("mine")).drop("state", "mine").select("*", "c.*").drop("c")
     sums = sums.withColumns(
         {
             "pre_fraction": rate(F.col("satisfied_pre"), F.col("checkable_pre")), "post_fraction": rate(F.col("satisfied_post"), F.col("checkable_post")),

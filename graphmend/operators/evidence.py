@@ -44,7 +44,7 @@ def with_evidence(records: DataFrame) -> DataFrame:
     none = F.array().cast(FACTS)
     o = F.when(F.col("object") == F.col("subject"), s).when(x_is("object"), F.col("x_raw")).when(F.col("object") == 0, none).otherwise(F.col("o_raw"))
     rows = rows.withColumns({"s_facts": s, "o_facts": o})
-    pre = _state(F.col("s_facts"), F.col("o_facts"), _predicates("s_facts"), _predicates("o_facts"), F.array().cast(PAIRS))
+    pre = _state("s_facts", "o_facts", _predicates("s_facts"), _predicates("o_facts"), F.array().cast(PAIRS))
     return rows.withColumn("pre", pre)
 
 
@@ -52,8 +52,12 @@ def _predicates(facts: str) -> Column:
     return F.array_distinct(F.transform(facts, lambda x: x["p"]))
 
 
-def _state(s: Column, o: Column, sp: Column, op: Column, missing: Column) -> Column:
-    return F.struct(s.alias("s"), o.alias("o"), sp.alias("sp"), op.alias("op"), missing.alias("missing"))
+def _state(s: str, o: str, sp: Column, op: Column, missing: Column) -> Column:
+    """Facts (s, o), their predicates (hs, ho), predicates ever present (sp, op), unknown pairs, whether the focus is there."""
+    held = [F.transform(c, lambda x: x["p"]) for c in (s, o)]
+    focus = F.exists(s, lambda x: (x["p"] == F.col("predicate")) & (x["o"] == F.col("object")))
+    names = ("s", "o", "hs", "ho", "sp", "op", "missing", "focus")
+    return F.struct(*(c.alias(n) for n, c in zip(names, (F.col(s), F.col(o), *held, sp, op, missing, focus), strict=True)))
 
 
 def resolved(value: Column) -> Column:
@@ -64,7 +68,8 @@ def resolved(value: Column) -> Column:
 
 
 def with_edit(rows: DataFrame, slots: list[Column], name: str, closed: bool = True) -> DataFrame:
-    """Adds the state ``name`` after an edit of six slots (added triple, deleted triple): deletion first, then addition.
+    """Adds the state ``name`` after an edit of six slots (added triple, deleted triple): deletion first, then addition;
+    and ``touched``, the predicates of the edit: what doesn't depend on them is as before.
 
     An incomplete triple does nothing. An edit whose predicate is not local, whose entity is out of scope or, in the
     open world, whose predicate was not present before, changes nothing and marks its (entity, predicate) as unknown.
@@ -95,26 +100,29 @@ def with_edit(rows: DataFrame, slots: list[Column], name: str, closed: bool = Tr
     unknown = F.array_compact(
         F.array(*(F.when(ready[a] & ~reached[a], F.struct(F.col(f"e_{a}_s").alias("e"), F.col(f"e_{a}_p").alias("p"))) for a in ("del", "add")))
     )
-    state = _state(facts("pre.s", "subject"), facts("pre.o", "object"), present("pre.sp", "subject"), present("pre.op", "object"), unknown)
-    return rows.withColumn(name, state).drop(*parts)
+    rows = rows.withColumns({"e_s": facts("pre.s", "subject"), "e_o": facts("pre.o", "object")})
+    state = _state("e_s", "e_o", present("pre.sp", "subject"), present("pre.op", "object"), unknown)
+    return rows.withColumns({name: state, "touched": F.array("e_add_p", "e_del_p")}).drop(*parts, "e_s", "e_o")
 
 
 class Check:
     """Checkability and satisfaction of an instance in the state column ``state``; a row has the record and instance.
 
-    Rules are SQL text: one expression a family, so that plans are built in a few calls.
+    Rules are SQL text: one expression a family, so that plans are built in a few calls. ``of`` is where the instance's
+    fields stand: in columns, or ("c.") in a struct that a lambda runs over.
     """
 
-    def __init__(self, state: str, closed: bool = True) -> None:
-        self.state, self.closed = state, closed
-        self.focus = f"exists({state}.s, x -> x.p = predicate and x.o = object)"
-        self.local = "array_contains(p_local, property)"
-        self.free = f"not {self.guarded('s', 'property')}"
-        self.base = f"subject <> 0 and property <> 0 and {self.free}"
-        self.complete = self.known("s", "property")
+    def __init__(self, state: str, closed: bool = True, of: str = "") -> None:
+        self.state, self.closed, self.of = state, closed, of
+        self.property = f"{of}property"
+        self.focus = f"{state}.focus"
+        self.local = f"array_contains(p_local, {self.property})"
+        self.free = f"not {self.guarded('s', self.property)}"
+        self.base = f"subject <> 0 and {self.property} <> 0 and {self.free}"
+        self.complete = self.known("s", self.property)
 
     def has(self, of: str, p: str) -> str:
-        return f"exists({self.state}.{of}, x -> x.p = {p})"
+        return f"array_contains({self.state}.h{of}, {p})"
 
     def known(self, of: str, p: str) -> str:
         """The property is complete or present at an entity in scope (the focus subject always is)."""
@@ -134,41 +142,45 @@ class Check:
         return f"if({trigger}, {then}, {self.complete})"
 
     def conflict_with(self) -> tuple[str, str]:
-        props = "if(size(conflicts) = 0 and other_predicate <> 0, array(other_predicate), conflicts)"
+        own = f"{self.of}conflicts"
+        props = f"if(size({own}) = 0 and other_predicate <> 0, array(other_predicate), {own})"
         good = f"{self.base} and {self.local} and size({props}) > 0 and {self.usable('s', props)} and {self.complete}"
-        return good, f"not ({self.has('s', 'property')} and exists({props}, q -> {self.has('s', 'q')}))"
+        return good, f"not ({self.has('s', self.property)} and exists({props}, q -> {self.has('s', 'q')}))"
 
     def inverse(self) -> tuple[str, str]:
-        then = f"object <> 0 and {self.usable('o', 'inverses')}"
-        back = f"exists({self.state}.o, x -> array_contains(inverses, x.p) and x.o = subject)"
-        return f"{self.base} and predicate = property and {self.triggered(self.focus, then)}", f"not {self.focus} or {back}"
+        then = f"object <> 0 and {self.usable('o', f'{self.of}inverses')}"
+        back = f"exists({self.state}.o, x -> array_contains({self.of}inverses, x.p) and x.o = subject)"
+        return f"{self.base} and predicate = {self.property} and {self.triggered(self.focus, then)}", f"not {self.focus} or {back}"
 
     def item_requires(self) -> tuple[str, str]:
-        trigger = self.has("s", "property")
-        good = f"{self.base} and size(required) > 0 and {self.local} and {self.triggered(trigger, self.usable('s', 'required'))}"
-        return good, f"not {trigger} or forall(required, q -> {self.has('s', 'q')})"
+        trigger, required = self.has("s", self.property), f"{self.of}required"
+        good = f"{self.base} and size({required}) > 0 and {self.local} and {self.triggered(trigger, self.usable('s', required))}"
+        return good, f"not {trigger} or forall({required}, q -> {self.has('s', 'q')})"
 
     def value_requires(self) -> tuple[str, str]:
-        then = f"object <> 0 and size(required) > 0 and {self.usable('o', 'required')}"
-        good = f"property <> 0 and {self.free} and predicate = property and {self.triggered(self.focus, then)}"
-        return good, f"not {self.focus} or forall(required, q -> {self.has('o', 'q')})"
+        required = f"{self.of}required"
+        then = f"object <> 0 and size({required}) > 0 and {self.usable('o', required)}"
+        good = f"{self.property} <> 0 and {self.free} and predicate = {self.property} and {self.triggered(self.focus, then)}"
+        return good, f"not {self.focus} or forall({required}, q -> {self.has('o', 'q')})"
 
     def one_of(self) -> tuple[str, str]:
-        good = f"size(items) > 0 and predicate = property and {self.local} and {self.free} and {self.triggered(self.focus, 'object <> 0')}"
-        return good, f"not {self.focus} or array_contains(items, object)"
+        items = f"{self.of}items"
+        good = f"size({items}) > 0 and predicate = {self.property} and {self.local} and {self.free} and {self.triggered(self.focus, 'object <> 0')}"
+        return good, f"not {self.focus} or array_contains({items}, object)"
 
     def single(self) -> tuple[str, str]:
-        return f"{self.base} and {self.local} and {self.complete}", f"size(filter({self.state}.s, x -> x.p = property)) <= 1"
+        return f"{self.base} and {self.local} and {self.complete}", f"size(filter({self.state}.hs, x -> x = {self.property})) <= 1"
 
     def _typed(self, of: str) -> tuple[str, str]:
-        trigger, entity = self.has("s", "property"), "subject" if of == "s" else "object"
-        some = f"exists(relations, r -> {self.has(of, 'r')})"
-        then = f"size(relations) > 0 and {self.usable(of, 'relations')} and {some}"
-        good = f"{entity} <> 0 and property <> 0 and {self.local} and {self.free} and size(classes) > 0 and {self.triggered(trigger, then)}"
-        return good, f"not {trigger} or exists({self.state}.{of}, x -> array_contains(relations, x.p) and array_contains(classes, x.o))"
+        trigger, entity = self.has("s", self.property), "subject" if of == "s" else "object"
+        relations, classes = f"{self.of}relations", f"{self.of}classes"
+        some = f"exists({relations}, r -> {self.has(of, 'r')})"
+        then = f"size({relations}) > 0 and {self.usable(of, relations)} and {some}"
+        good = f"{entity} <> 0 and {self.property} <> 0 and {self.local} and {self.free} and size({classes}) > 0 and {self.triggered(trigger, then)}"
+        return good, f"not {trigger} or exists({self.state}.{of}, x -> array_contains({relations}, x.p) and array_contains({classes}, x.o))"
 
     def distinct(self) -> tuple[str, str]:
-        other = "other_subject <> 0 and other_predicate <> 0 and other_object <> 0 and other_predicate = property"
+        other = f"other_subject <> 0 and other_predicate <> 0 and other_object <> 0 and other_predicate = {self.property}"
         rival = f"{other} and other_object = object and other_subject <> subject"
         return f"{self.base} and {self.local} and {self.triggered(self.focus, other)}", f"not {self.focus} or not ({rival})"
 
@@ -179,12 +191,15 @@ class Check:
             "single": self.single, "type": lambda: self._typed("s"), "valueType": lambda: self._typed("o"), "distinct": self.distinct,
         }
 
-    def columns(self, checkable_name: str) -> tuple[Column, Column]:
-        """(checkable, satisfied): false where a family has no checker; satisfied only where checkable.
+    def rules(self, checkable_name: str) -> tuple[str, str]:
+        """SQL of (checkable, satisfied): false where a family has no checker; satisfied only where checkable.
 
-        Satisfaction reads the first of the two from the column ``checkable_name``, so that it isn't computed twice.
+        Satisfaction reads the first of the two from ``checkable_name``, so that it isn't computed twice.
         """
         rules = {family: check() for family, check in self.families().items()}
-        case = lambda i: "case family " + " ".join(f"when '{f}' then {r[i]}" for f, r in rules.items()) + " else false end"
-        checkable = f"coalesce(supported and {case(0)}, false)"
-        return F.expr(checkable), F.expr(f"{checkable_name} and coalesce({case(1)}, false)")
+        case = lambda i: f"case {self.of}family " + " ".join(f"when '{f}' then {r[i]}" for f, r in rules.items()) + " else false end"
+        return f"coalesce({self.of}supported and {case(0)}, false)", f"{checkable_name} and coalesce({case(1)}, false)"
+
+    def columns(self, checkable_name: str) -> tuple[Column, Column]:
+        checkable, satisfied = self.rules(checkable_name)
+        return F.expr(checkable), F.expr(satisfied)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evidence import Check, with_edit, with_evidence
+from .registry import INSTANCE, Catalog
 
 KEYS = ("violation_id", "split", "constraint_type", "position", "constraint_id", "is_primary", "family", "supported", "in_registry", "type_index")
 STATES = ("checkable_pre", "satisfied_pre", "checkable_post", "satisfied_post")
@@ -20,24 +23,84 @@ def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def attached(rows: DataFrame, scope: str = "local") -> DataFrame:
-    """A row per record and attached constraint, in attached order, with all columns of the record."""
-    ids = F.col("local_constraint_ids") if scope == "local" else F.coalesce("local_constraint_ids_focus", "local_constraint_ids")
-    return rows.select("*", F.posexplode(ids).alias("position", "attached_id"))
+def attached_ids(scope: str) -> Column:
+    return F.col("local_constraint_ids") if scope == "local" else F.coalesce("local_constraint_ids_focus", "local_constraint_ids")
 
 
-def factors(records: DataFrame, instances: DataFrame, scope: str = "local", policy: str = "all", closed: bool = True) -> DataFrame:
-    """Exploded labels (violation_id, ..., position, constraint_id, ..., checkable and satisfied, pre and post).
+ROLES = ("subject", "predicate", "object", "other_subject", "other_predicate", "other_object")
+
+
+def _struct(fields: dict[str, str]) -> str:
+    return f"named_struct({', '.join(f"'{n}', {e}" for n, e in fields.items())})"
+
+
+def verdicts(records: DataFrame, known: Catalog | DataFrame, scope: str = "local", closed: bool = True) -> DataFrame:
+    """Adds ``p_local``, ``x_id``, ``x_raw``, the state ``pre`` and ``verdicts`` of the attached constraints with a checker.
 
-    Instances are joined by id; ``supported_only`` drops secondary constraints without a checker. Constraints outside the
-    registry keep type -1. No exchange when the instances are small enough to be broadcast.
+    A verdict has position, id, the instance (``c``, or its number ``n`` in a catalog that is part of the plan), the
+    predicates it depends on (``watched``) and the four flags before and after the historical edit. Everything is worked out
+    in the record's row; a registry that plans can't hold is joined by id first, and records regroup once.
     """
     rows = with_edit(with_evidence(records), [F.col(c) for c in EDIT], "post", closed)
-    keep = ["violation_id", "split", "constraint_type", "primary_id", "p_local", "pre", "post", *("subject", "predicate", "object", "other_subject", "other_predicate", "other_object")]
-    rows = rows.withColumn("primary_id", F.col("constraint_id"))
-    ids = F.col("local_constraint_ids") if scope == "local" else F.coalesce("local_constraint_ids_focus", "local_constraint_ids")
-    each = rows.select(*keep, F.posexplode(ids).alias("position", "constraint_id"))
-    joined = each.join(instances, "constraint_id", "left").withColumns(
+    if isinstance(known, Catalog) and known.entries:
+        rows = rows.withColumn("placed", placed(known, scope)).withColumn("verdicts", F.filter("placed", lambda y: y["n"].between(0, known.supported - 1)))
+        kept, entry = "n", known.entry_sql("y.n")
+    else:
+        instances = known.instances if isinstance(known, Catalog) else known
+        each = records.select("violation_id", F.posexplode(attached_ids(scope)).alias("position", "constraint_id")).join(instances.where("supported"), "constraint_id")
+        c = F.struct(*(f.strip().split(" ")[0] for f in INSTANCE.split(",")))
+        lists = each.groupBy("violation_id").agg(F.array_sort(F.collect_list(F.struct("position", "constraint_id", c.alias("c")))).alias("verdicts"))
+        rows = rows.join(lists, "violation_id", "left").withColumn("verdicts", F.coalesce("verdicts", F.array().cast(lists.schema["verdicts"].dataType)))
+        kept, entry = "c", "y.c"
+    # An edit of predicates that a verdict doesn't depend on leaves it as it was.
+    watched = "array_distinct(concat(y.c.required, y.c.relations, y.c.inverses, y.c.conflicts, array(y.c.property, predicate, other_predicate)))"
+    rules = {s: Check(s, closed, "y.c.").rules(f"y.checkable_{s}") for s in ("pre", "post")}
+    named = {n: f"y.{n}" for n in ("position", "constraint_id", kept)}
+    own = named | {"c": entry}
+    first = {n: f"y.{n}" for n in own} | {"watched": watched, "checkable_pre": rules["pre"][0]}
+    second = {n: f"y.{n}" for n in first} | {"satisfied_pre": rules["pre"][1], "again": "arrays_overlap(y.watched, touched)"}
+    third = {n: f"y.{n}" for n in second} | {"checkable_post": f"if(y.again, {rules['post'][0]}, y.checkable_pre)"}
+    last = {n: f"y.{n}" for n in (*named, "watched", "checkable_pre", "checkable_post")} | {"satisfied_pre": "cast(y.satisfied_pre as int)", "satisfied_post": f"cast(if(y.again, {rules['post'][1]}, y.satisfied_pre) as int)"}
+    made = reduce(lambda items, fields: f"transform({items}, y -> {_struct(fields)})", (own, first, second, third, last), "verdicts")
+    return rows.withColumn("verdicts", F.expr(made)).drop("post", "touched")
+
+
+def placed(known: Catalog, scope: str) -> Column:
+    """(position, constraint_id, n): the attached constraints and the numbers of their entries."""
+    return F.transform(attached_ids(scope), lambda x, i: F.struct(i.alias("position"), x.alias("constraint_id"), known.number(x).alias("n")))
+
+
+def factors(records: DataFrame, instances: Catalog | DataFrame, scope: str = "local", policy: str = "all", closed: bool = True) -> DataFrame:
+    """Exploded labels (violation_id, ..., position, constraint_id, ..., checkable and satisfied, pre and post).
+
+    With a catalog in the plan verdicts are made in the record's row, and narrow structs are exploded: constraints without a
+    checker need none. Otherwise instances are joined by id, without an exchange where they are small enough to be broadcast
+    (and over streams). ``supported_only`` drops secondary constraints without a checker. Constraints outside the registry
+    keep type -1.
+    """
+    if isinstance(instances, Catalog) and instances.entries:
+        if policy not in ("all", "supported_only"):
+            raise ValueError(f"unknown policy: {policy}")
+        rows = verdicts(records, instances, scope, closed).withColumnRenamed("constraint_id", "primary_id")
+        number = instances.number(F.col("y.constraint_id"))
+        judged = F.expr(f"transform(verdicts, y -> {_struct({f: f'y.{f}' for f in ('position', 'constraint_id', *STATES)})})")
+        bare = F.filter("placed", lambda y: ~y["n"].between(0, instances.supported - 1) & (F.lit(policy == "all") | (y["constraint_id"] == F.col("primary_id"))))
+        none = {"position": "y.position", "constraint_id": "y.constraint_id", "checkable_pre": "false", "satisfied_pre": "0", "checkable_post": "false", "satisfied_post": "0"}
+        rows = rows.withColumns({"judged": judged, "bare": bare}).withColumn("bare", F.expr(f"transform(bare, y -> {_struct(none)})"))
+        keys = ("violation_id", "split", "constraint_type", "primary_id")
+        each = rows.select(*keys, F.explode(F.concat("judged", "bare")).alias("y")).withColumn("n", number)
+        c = lambda f: instances.entry(F.col("n"))[f]
+        more = {
+            "is_primary": F.col("y.constraint_id") == F.col("primary_id"), "family": c("family"), "supported": F.col("n").between(0, instances.supported - 1),
+            "in_registry": F.col("n") >= 0, "type_index": F.coalesce(c("type_index"), F.lit(-1).cast("long")),
+        }
+        return each.select(*(more[k].alias(k) if k in more else k if k in keys else F.col(f"y.{k}").alias(k) for k in (*KEYS, *STATES)))
+    if policy not in ("all", "supported_only"):
+        raise ValueError(f"unknown policy: {policy}")
+    rows = with_edit(with_evidence(records), [F.col(c) for c in EDIT], "post", closed).withColumn("primary_id", F.col("constraint_id"))
+    keep = ["violation_id", "split", "constraint_type", "primary_id", "p_local", "pre", "post", *ROLES]
+    each = rows.select(*keep, F.posexplode(attached_ids(scope)).alias("position", "constraint_id"))
+    joined = each.join(instances.instances if isinstance(instances, Catalog) else instances, "constraint_id", "left").withColumns(
         {
             "in_registry": F.col("family").isNotNull(),
             "supported": F.coalesce("supported", F.lit(False)),
@@ -47,8 +110,6 @@ def factors(records: DataFrame, instances: DataFrame, scope: str = "local", poli
     )
     if policy == "supported_only":
         joined = joined.where("supported or is_primary")
-    elif policy != "all":
-        raise ValueError(f"unknown policy: {policy}")
     rules = {s: Check(s, closed).columns(f"checkable_{s}") for s in ("pre", "post")}
     joined = joined.withColumns({f"checkable_{s}": r[0] for s, r in rules.items()})
     joined = joined.withColumns({f"satisfied_{s}": r[1].cast("int") for s, r in rules.items()})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,34 +44,99 @@ def property_index(definitions: DataFrame) -> DataFrame:
     return definitions.groupBy("property").agg(F.array_sort(F.collect_set("constraint_id")).alias("constraint_ids"))
 
 
-def with_closures(records: DataFrame, definitions: DataFrame, most: int = INDEX_MOST) -> DataFrame:
+@dataclass(frozen=True)
+class PropertyIndex:
+    """A property index as a constant of plans: at each property's distance from the lowest, its constraints' ids."""
+
+    low: int
+    places: str
+
+    @staticmethod
+    def of(definitions: DataFrame, most: int = INDEX_MOST) -> PropertyIndex | None:
+        """None where there are more than ``most`` places or ids."""
+        index = property_index(definitions).where("property is not null")
+        size = index.agg(F.min("property").alias("low"), F.max("property").alias("high"), F.sum(F.size("constraint_ids")).alias("ids")).first()
+        if size.low is None or size.high - size.low >= most or size.ids > most:
+            return None
+        ids = {r["property"]: r.constraint_ids for r in index.collect()}
+        return PropertyIndex(size.low, json.dumps([ids.get(p) for p in range(size.low, size.high + 1)]))
+
+    def ids(self, p: Column) -> Column:
+        places = F.from_json(F.lit(self.places), "array<array<bigint>>")
+        return F.when(p >= self.low, F.get(places, (p - self.low).cast("int")))
+
+
+#: What checks read of an instance.
+INSTANCE = (
+    "family string, supported boolean, type_index bigint, property bigint, required array<bigint>, items array<bigint>, classes array<bigint>, "
+    "relations array<bigint>, inverses array<bigint>, conflicts array<bigint>"
+)
+
+
+ENTRIES = f"array<struct<{INSTANCE.replace(' ', ':').replace(',:', ', ')}>>"
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """Instances, and the same as constants of plans: of each id the number of its entry, entries without repeats.
+
+    Entries with a checker come first, and constraints without one are told apart by family alone, so there are few. Without
+    the constants (a registry over ``INDEX_MOST`` places or values) instances are joined by id.
+    """
+
+    instances: DataFrame
+    low: int = 0
+    numbers: str = ""
+    entries: str = ""
+    supported: int = 0
+
+    @staticmethod
+    def of(instances: DataFrame, most: int = INDEX_MOST) -> Catalog:
+        lists = ("required", "items", "classes", "relations", "inverses", "conflicts")
+        values = sum((F.size(c) for c in lists), F.lit(0))
+        size = instances.agg(F.min("constraint_id").alias("low"), F.max("constraint_id").alias("high"), F.sum(F.when(F.col("supported"), values)).alias("values")).first()
+        if size.low is None or size.high - size.low >= most or (size["values"] or 0) > most:
+            return Catalog(instances)
+        told = ("family", "supported", "type_index", *(F.when(F.col("supported"), F.col(c)).alias(c) for c in ("property", *lists)))
+        numbers: list[int | None] = [None] * (size.high - size.low + 1)
+        entries: dict[str, int] = {}
+        for r in sorted(instances.select("constraint_id", *told).collect(), key=lambda r: not r.supported):
+            entry = {k: v for k, v in r.asDict().items() if k != "constraint_id"}
+            numbers[r.constraint_id - size.low] = entries.setdefault(json.dumps(entry), len(entries))
+        return Catalog(instances, size.low, json.dumps(numbers), f"[{','.join(entries)}]", sum(json.loads(e)["supported"] for e in entries))
+
+    def number(self, constraint: Column) -> Column:
+        """Of its entry; -1 outside the registry."""
+        numbers = F.from_json(F.lit(self.numbers), "array<int>")
+        return F.coalesce(F.when(constraint >= self.low, F.get(numbers, (constraint - self.low).cast("int"))), F.lit(-1))
+
+    def entry(self, number: Column) -> Column:
+        """The instance's struct; null for -1."""
+        return F.get(F.from_json(F.lit(self.entries), ENTRIES), number)
+
+    def entry_sql(self, number: str) -> str:
+        return f"get(from_json('{self.entries}', '{ENTRIES}'), {number})"
+
+
+def with_closures(records: DataFrame, definitions: DataFrame, most: int = INDEX_MOST, index: PropertyIndex | None = None) -> DataFrame:
     """Adds ``local_constraint_ids`` and ``local_constraint_ids_focus``: sorted, unique, the own id included.
 
-    The index from property to constraints is part of the plan where it has at most ``most`` places and ids, so records
-    stay where they are. A larger one is joined by property, and records are regrouped by their id.
+    The index from property to constraints (made here unless it is given) is part of the plan where it has at most
+    ``most`` places and ids, so records stay where they are. A larger one is joined by property, and records are regrouped
+    by their id.
     """
-    index = property_index(definitions)
     own = definitions.select(F.col("constraint_id").alias("own"), F.col("property").alias("constrained")).distinct()
     focus = F.filter(F.array_distinct(F.array("predicate", "other_predicate", F.coalesce("constrained", F.lit(0).cast("long")))), lambda p: p != 0)
     keyed = records.join(own, F.col("constraint_id") == F.col("own"), "left").withColumns({"p_local": local_properties(), "p_focus": focus})
-    size = index.agg(F.min("property").alias("low"), F.max("property").alias("high"), F.sum(F.size("constraint_ids")).alias("ids")).first()
-    if size.low is not None and size.high - size.low < most and size.ids <= most:
-        places = _places(index, size.low, size.high)
-        of = lambda p: F.when(p.between(size.low, size.high), F.get(places, (p - size.low).cast("int")))
-        found = keyed.withColumns({c: F.flatten(F.array_compact(F.transform(f"p_{c}", of))) for c in ("local", "focus")})
+    if index := index or PropertyIndex.of(definitions, most):
+        found = keyed.withColumns({c: F.flatten(F.array_compact(F.transform(f"p_{c}", index.ids))) for c in ("local", "focus")})
     else:
-        found = keyed.join(_regrouped(keyed, index), "violation_id", "left")
+        found = keyed.join(_regrouped(keyed, property_index(definitions)), "violation_id", "left")
     none = F.array().cast("array<bigint>")
     closed = lambda c: F.array_sort(F.array_distinct(F.concat(F.coalesce(F.col(c), none), F.array("constraint_id"))))
     return found.select(*records.columns, closed("local").alias("local_constraint_ids"), closed("focus").alias("local_constraint_ids_focus"))
 
 
-def _places(index: DataFrame, low: int, high: int) -> Column:
-    """A constant array: at each property's distance from the lowest, its constraints' ids. The caller checks the size."""
-    ids = {r["property"]: r.constraint_ids for r in index.where("property is not null").collect()}
-    return F.from_json(F.lit(json.dumps([ids.get(p) for p in range(low, high + 1)])), "array<array<bigint>>")
-
-
 def _regrouped(keyed: DataFrame, index: DataFrame) -> DataFrame:
     narrow = keyed.select("violation_id", "p_focus", F.explode(F.array_union("p_local", "p_focus")).alias("property"), "p_local")
     found = narrow.join(index, "property").select(

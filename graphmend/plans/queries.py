@@ -12,13 +12,13 @@ from graphmend.operators import baselines, candidates, evaluate, graph, labels,
 from graphmend.operators.evidence import resolved
 from graphmend.operators.registry import instances
 from graphmend.sources import corrections
-from graphmend.sources.violations import definitions, table, violations
+from graphmend.sources.violations import catalog, definitions, table, violations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def labelled(spark: SparkSession, sf_dir: str, scope: str = "local", policy: str = "all", closed: bool = True) -> DataFrame:
-    return labels.factors(violations(spark, sf_dir), instances(definitions(spark)), scope, policy, closed)
+    return labels.factors(violations(spark, sf_dir), catalog(spark), scope, policy, closed)
 
 
 def _coverage(scope: str = "local", closed: bool = True) -> Query:
@@ -95,7 +95,7 @@ def evaluated(spark: SparkSession, sf_dir: str, only: int | None = None) -> Data
     records = violations(spark, sf_dir)
     found = simple_candidates(spark, records)
     found = found if only is None else found.where(F.col("idx") == only)
-    return evaluate.evaluate(found, records, instances(definitions(spark)))
+    return evaluate.evaluate(found, records, catalog(spark))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full candidate sets, evaluated, with the summed slot scores, and their oracle report."""
     records = violations(spark, sf_dir)
     found = candidates.candidate_scores(candidate_sets(spark, sf_dir), candidates.slot_scores(records))
-    rows = evaluate.evaluate(found, records, instances(definitions(spark)), carry=("score",))
+    rows = evaluate.evaluate(found, records, catalog(spark), carry=("score",))
     return evaluate.oracle_report(rows, records)
 
 

@@ -11,7 +11,7 @@ from graphmend.operators.baselines import SLOTS
 from graphmend.operators.evidence import resolved
 from graphmend.operators.registry import instances
 from graphmend.sources import corrections
-from graphmend.sources.violations import definitions, table, violations
+from graphmend.sources.violations import catalog, definitions, table, violations
 
 from . import queries as base
 
@@ -34,7 +34,7 @@ def variant_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = F.count_if(F.col("outcome").isin("exact", "alternative_fix"))
     hits = metrics.prf(levels(acts, *metrics._hits(), labels.rate(fixed, F.count("*")).alias("primary_fix_rate")))
     numbered = predicted.withColumn("idx", F.array_position(F.array(*map(F.lit, VARIANTS)), F.col("variant")).cast("int") - 1)
-    found = evaluate.evaluate(numbered, records, known).withColumn("variant", F.get(F.array(*map(F.lit, VARIANTS)), F.col("idx"))).join(size, "violation_id")
+    found = evaluate.evaluate(numbered, records, catalog(spark)).withColumn("variant", F.get(F.array(*map(F.lit, VARIANTS)), F.col("idx"))).join(size, "violation_id")
     means = {"gfr": "post_fraction", "srr": "srr", "sir": "sir", "disruption_add": "add_count", "disruption_del": "del_count", "disruption": "ops"}
     whole = levels(found, F.count("*").alias("support"), *(F.avg(c).alias(n) for n, c in means.items()))
     rows = hits.select("variant", named, "precision", "recall", "f1", "primary_fix_rate")

@@ -6,6 +6,8 @@ integers, 0 is "absent"; lists are never null after reading.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,8 +124,30 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KEPT: dict[str, object] = {}
+
+
+def property_index(spark: SparkSession):
+    """The adapter's index; its definitions are fixed values, so one a process is enough."""
+    from graphmend.operators.registry import PropertyIndex
+
+    if "index" not in _KEPT:
+        _KEPT["index"] = PropertyIndex.of(definitions(spark))
+    return _KEPT["index"]
+
+
+def catalog(spark: SparkSession):
+    """The adapter's instances, also as constants of plans; made once a process."""
+    from graphmend.operators.registry import Catalog, instances
+
+    known = instances(definitions(spark))
+    if "catalog" not in _KEPT:
+        _KEPT["catalog"] = Catalog.of(known)
+    return replace(_KEPT["catalog"], instances=known)
+
+
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records from orders with both closures."""
+    """Records from orders with both closures; no Spark job runs here once the index is made."""
     from graphmend.operators.registry import with_closures
 
-    return with_closures(from_orders(spark, sf_dir), definitions(spark))
+    return with_closures(from_orders(spark, sf_dir), definitions(spark), index=property_index(spark))
