@@ -21,7 +21,7 @@ SLICE_CHARS = 1 << 20
 #: Letters that normalisation and lowering keep letters.
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
-_KEPT: dict[str, "Encoder"] = {}
+_KEPT: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
@@ -35,12 +35,16 @@ class Encoder:
     #: Signs that never merge with a letter before them.
     tails = ".,;:!?"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, spelled_out: bool = False) -> None:
+        """``spelled_out``: strings of special tokens in a text are ordinary text; else they get the special ids, as the
+        library's files have it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = spelled_out
+        # A text that spells one of them, in any case, is encoded whole.
+        self.special = () if spelled_out else tuple(t.content.lower() for t in self.library.get_added_tokens_decoder().values() if t.special)
         if self.library.get_vocab_size() > 65536:
             raise ValueError("ids need more than 16 bits")
         self.cache: dict[str, bytes] = {}
@@ -51,11 +55,14 @@ class Encoder:
         self.tail_ids = dict(zip(self.tails, self._whole(list(self.tails)), strict=True))
 
     @staticmethod
-    def at(path: str, kind: type[Encoder]) -> Encoder:
+    def at(path: str, kind: type[Encoder], spelled_out: bool = False) -> Encoder:
         """The process's encoder for a file."""
-        if path not in _KEPT:
-            _KEPT[path] = kind(path)
-        return _KEPT[path]
+        if (path, spelled_out) not in _KEPT:
+            _KEPT[path, spelled_out] = kind(path, spelled_out)
+        return _KEPT[path, spelled_out]
+
+    def _holds_special(self, text: str) -> bool:
+        return any(s in text for s in self.special) if text.islower() else any(s in text.lower() for s in self.special)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,7 +116,7 @@ class Encoder:
         rows: list[tuple[list, list] | None] = []
         need: set[str] = set()
         for text in texts:
-            words = self._words(text)
+            words = None if "|>" in text and self._holds_special(text) else self._words(text)
             if words is None:
                 rows.append(None)
                 continue

@@ -6,8 +6,9 @@ the same place within the passage. Kept k-grams are joined and each hit is exten
 agree; extensions of 13 words or more are windows of the item. Items of fewer words are looked up by all their words.
 
 Where the items have at most ``INDEX_BYTES``, they go to every task as one index and documents stay where they are.
-Larger benchmarks stay distributed: the kept k-grams of documents and items are joined on their hashes, and each document
-meets the items that share any, in one pass. A document is worked on alone in its task either way.
+Larger benchmarks stay distributed, in blocks of half that size: the kept k-grams of documents and blocks are joined on
+their hashes, and each document meets the blocks that share any. A document is worked on alone in its task either way; a
+very long one is one row.
 
 Results for odd input: a null, empty or wordless text has no words and no hits, and is not contaminated; an item with a
 null id counts as an item with hits but has no name in the list; ids of any type are told as strings; repeated rows are
@@ -26,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import each_text, own_name, read_table, slices, written
+from .shared import each_text, own_name, read_table, reading, slices, written
 
 SPAN = 13
 K = 7
 WINDOW = SPAN - K + 1
 #: UTF-8 bytes of all items in one index: at most half as many words, some 200 bytes each in a worker.
 INDEX_BYTES = 4 << 20
+#: Bytes of texts, and 4,096 a text, that one task holds with the index of a block.
+TASK_WEIGHT = 32 << 20
 
 #: Letters lowered; all that parts words made a blank.
 _TABLE = bytes(
@@ -209,32 +212,48 @@ def _lengths(items: DataFrame) -> DataFrame:
     return items.select("text").mapInArrow(run, "n long")
 
 
-def _by_join(docs: DataFrame, items: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
-    """(carried, fields) where each document meets only the items that share a key with it."""
+def _by_join(docs: DataFrame, items: DataFrame, text_col: str, carry: list[str], block_bytes: int) -> DataFrame:
+    """(carried, fields) where each document meets only the blocks of items that share a key with it.
+
+    A block is an index of some ``block_bytes`` of items. A key names the blocks that hold it, not the items, so a passage of
+    all items and many documents gives one row a document and block; a block that many documents meet is worked on by
+    several tasks, each of at most some ``TASK_WEIGHT``.
+    """
     row, number = own_name(docs, "row"), F.monotonically_increasing_id()
-    numbered = written(docs.withColumn(row, number), "numbered")
-    items = written(items.withColumn("row", number), "items")
+    counted = each_text(docs.withColumn(row, number), text_col, list(dict.fromkeys([*carry, text_col, row])), "n_words long", lambda: lambda texts: [pa.array([len(words_of(t)) for t in texts], pa.int64())])
+    inner = lambda c: F.col("carried").getField(c)
+    numbered = counted.select(F.struct(*(inner(c).alias(c) for c in carry)).alias("carried"), inner(text_col).cast("string").alias("text"), inner(row).alias("row"), "n_words")
+    numbered = written(numbered, "numbered")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 2 * total // block_bytes + 1
+    items = written(items.withColumn("row", number).withColumn("block", F.pmod(F.xxhash64("text", "item"), F.lit(blocks)).cast("int")), "items")
     short = [r.n for r in _lengths(items).where(f"n between 1 and {SPAN - 1}").distinct().collect()]  # twelve at most
-    texts = numbered.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
-    theirs = _keys(items, short, True).withColumnRenamed("row", "item_row")
-    pairs = _keys(texts, short, False).join(theirs, "h").select("row", "item_row").distinct()
-    named = pairs.join(items.select(F.col("row").alias("item_row"), F.struct("item", F.col("text").alias("item_text")).alias("x")), "item_row")
-    lists = named.groupBy("row").agg(F.collect_list("x").alias("xs"))
-    carried = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")
-    placed = numbered.select(carried, F.col(text_col).cast("string").alias("text"), F.col(row).alias("row")).join(lists, "row", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [_found(Index([(x["item"], x["item_text"]) for x in xs or []]), t) for t, xs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_arrays(found)], names=["carried", "n_words", "starts", "ends", "items"])
-
-    kind = placed.schema["carried"].dataType.simpleString()
-    return placed.select("carried", "text", "xs").mapInArrow(run, f"carried {kind}, {_FIELDS}")
+    theirs = _keys(items, short, True).join(items.select("row", "block"), "row").select("h", "block").distinct()
+    pairs = written(_keys(numbered, short, False).join(theirs, "h").select("row", "block").distinct(), "pairs")
+    weights = pairs.join(numbered.select("row", (F.octet_length("text") + 4096).alias("weight")), "row").groupBy("block").agg(F.sum("weight").alias("weight"))
+    salts = written(weights.select("block", F.ceil(F.col("weight") / TASK_WEIGHT).cast("int").alias("salts")), "salts")
+    asked = pairs.join(salts, "block").select("row", "block", F.pmod(F.xxhash64("row"), F.col("salts")).alias("salt"))
+    asked = asked.join(numbered.select("row", "text"), "row")
+    held = items.join(salts, "block").select("block", "item", F.col("text").alias("item_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        index = Index(list(zip(right["item"].to_pylist(), right["item_text"].to_pylist(), strict=True))) if left.num_rows else None
+        found = [_found(index, left["text"][i].as_py())[1:] for i in range(left.num_rows)]
+        starts, ends, names = zip(*found, strict=True) if found else ((), (), ())
+        lists = [pa.array(x, pa.list_(k)) for x, k in ((starts, pa.int64()), (ends, pa.int64()), (names, pa.string()))]
+        return pa.table([left["row"].combine_chunks(), *lists], names=["row", "starts", "ends", "items"])
+
+    met = asked.groupBy("block", "salt").cogroup(held.groupBy("block", "salt")).applyInArrow(run, "row long, starts array<long>, ends array<long>, items array<string>")
+    lists = met.groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
+    none = {"starts": "array<long>", "ends": "array<long>", "items": "array<string>"}
+    out = numbered.select("carried", "row", "n_words").join(lists, "row", "left")
+    return reading(out.select("carried", "n_words", *(F.coalesce(c, F.array().cast(k)).alias(c) for c, k in none.items())), numbered, items, pairs, salts)
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: list[str] | None = None, most_bytes: int = INDEX_BYTES
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: list[str] | None = None, most_bytes: int = INDEX_BYTES,
+    block_bytes: int = INDEX_BYTES,
+) -> DataFrame:
     """(carried, n_words, n_hit, items, spans, contaminated) per document.
 
     ``carried`` holds the columns ``carry`` (all by default), ``items`` the sorted distinct ids of items with occurring
@@ -243,10 +262,11 @@ def contamination(
     carry = docs.columns if carry is None else carry
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= most_bytes
-    found = (_by_index if small else _by_join)(docs, items, text_col, carry)
+    found = _by_index(docs, items, text_col, carry) if small else _by_join(docs, items, text_col, carry, block_bytes)
+    reads = found.__dict__.get("reads", ())
     spans = F.array_sort(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")))
     found = found.select("carried", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), spans.alias("spans"))
-    return found.withColumn("n_hit", _united()).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    return reading(found.withColumn("n_hit", _united()).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words")), *reads)
 
 
 def _united():
@@ -263,7 +283,8 @@ def _united():
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents, all columns, without the contaminated ones."""
-    return contamination(docs, benchmark, text_col).where("not contaminated").select("carried.*")
+    found = contamination(docs, benchmark, text_col)
+    return reading(found.where("not contaminated").select("carried.*"), *found.__dict__.get("reads", ()))
 
 
 def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:

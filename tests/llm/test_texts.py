@@ -251,7 +251,7 @@ def slow_hits(text, items):
     return len(w), len(hit), sorted(names, key=lambda x: (x is None, x)), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
-def test_winnowing_finds_every_window(spark):
+def test_winnowing_finds_every_window(spark, monkeypatch):
     rng = random.Random(10)
     some = ["w%d" % i for i in range(5)]
     say = lambda n: " ".join(rng.choice(some) for _ in range(n))
@@ -269,6 +269,10 @@ def test_winnowing_finds_every_window(spark):
         assert Counter((r.carried.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in out) == want
     kept = op9_winnow.drop_contaminated(frame(spark, rows), bench)
     assert kept.count() == sum(n for (_, _, _, _, c), n in want.items() if not c)
+    # Blocks of one or two items, each met by several tasks.
+    monkeypatch.setattr(op9_winnow, "TASK_WEIGHT", 9000)
+    again = op9_winnow.contamination(frame(spark, rows), bench, most_bytes=-1, block_bytes=60).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, out))
     assert op9_winnow.contamination(frame(spark, []), bench).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert op9_winnow.contamination(frame(spark, rows), none).where("n_hit > 0").count() == 0

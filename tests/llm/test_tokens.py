@@ -28,9 +28,7 @@ SCHEMA = "doc_id long, text string, piece string, Part int"
 
 
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def plain(path, text):
@@ -48,6 +46,20 @@ def rows():
     return [(i, t, "x", 1) for i, t in enumerate(texts)] + [(0, texts[0], None, 2), (None, "null id", "x", 3)]
 
 
+@pytest.mark.parametrize(("path", "kind"), [(WORD, WordEndEncoder), (BYTE, ByteLevelEncoder)])
+def test_special_tokens_in_texts(path, kind):
+    """Strings of special tokens inside, before and after words get the ids that the library as loaded gives them."""
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext", "|>"]
+    texts = [f"{a}{m}{b}" for m in marks for a in ("", "a ", "a", "A\n", ". ") for b in ("", " b", "b", "\nB c.", m)]
+    texts += [" ".join(marks), "plain words", "plain words <|endoftext|>"]
+    for spelled_out in (False, True):
+        theirs = library(path)
+        theirs.encode_special_tokens = spelled_out
+        mine = kind(path, spelled_out)
+        for _ in range(2):
+            assert mine.encode(texts) == [np.array(theirs.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize(("path", "kind"), [(WORD, WordEndEncoder), (BYTE, ByteLevelEncoder)])
 def test_cached_encoding_is_the_librarys(path, kind):
     mine, theirs = kind(path), library(path)
