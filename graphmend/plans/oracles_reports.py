@@ -127,7 +127,7 @@ select violation_id, kind, id, ord, coalesce(new_id, 8) feature from n left join
     "target_classes": f"""with {base._TOKENS} select violation_id, concat_ws(',', {', '.join(f"case when {c} <= 0 then 0 when {c} in (select token from vi) then {c} else 8 end" for c in base._EDIT)}) y from v""",
     "label_alignment": f"with {RECORDS} select count(*) records, 0::bigint wrong_length, 0::bigint wrong_order from v",
     "baseline_max_ids": f"with {RECORDS} select split, count(*) records, max(greatest({', '.join(base._EDIT)}))::bigint max_id from v group by 1",
-    "lost_factor_tokens": f"""with {base._TOKENS} select constraint_id token, count(*) occurrences from cl where constraint_id not in (select token from ko where kept) group by 1""",
+    "lost_factor_tokens": f"""with {base._TOKENS.replace('count(*) >= 5', 'count(*) >= 2000')} select constraint_id token, count(*) occurrences from cl where constraint_id not in (select token from ko where kept) group by 1""",
     "registry_cache_ids": f"""with {base._PARTS}, n as (select constraint_id, property "key" from pd union select constraint_id, "value" from pp)
 select "key", case when "key" in (select property from pd) then substring("key", 2)::bigint end id, count(*) occurrences from n group by 1, 2""",
     "label_fanout": f"""select s.*, p_name "label" from ({_SPELLED}) s left join part on entity = 'Q' || (p_partkey + 1)""",
@@ -180,3 +180,47 @@ w as (select violation_id, act, least(sum({_HELD('s', 0)} * {_HELD('p', 1)} * {_
 b as (select violation_id, coalesce(max(u) filter (where act = 'add'), 0) "add", coalesce(max(u) filter (where act = 'del'), 0) del from v left join w using (violation_id) group by 1)
 select violation_id, "add", del, 1 - (1 - "add") * (1 - del) fix from b""",
 }
+
+#: Whole candidate sets: every different resolved edit of a record is a pseudo-record of its own, labelled by the same rules;
+#: all constraints with a checker are judged anew for each of them.
+_PARTS_OF = ("sf", "of", "xf", "pl")
+_RESOLVED = ", ".join(f"case when ok_{a} then {base._ROLE(f'{a}_{x}')} else 0 end r_{a}_{x}" for a in ("add", "del") for x in "spo")
+_SIX = ", ".join(f"r_{a}_{x}" for a in ("add", "del") for x in "spo")
+_READY = ", ".join(f"least({', '.join(base._ROLE(f'{a}_{x}') for x in 'spo')}) <> 0 ok_{a}" for a in ("add", "del"))
+_REPLACED = ", ".join(f"r_{a}_{x[0]} as {a}_{x}" for a in ("add", "del") for x in ("subject", "predicate", "object"))
+_FOCUS_AT = "exists (select 1 from state t where t.violation_id = v.violation_id and t.st = '{0}' and t.e = subject and t.p = predicate and t.v = object)"
+_SETS = f"""q_cs as materialized (with {_CANDIDATES} select * exclude (is_gold) from cs), q_v as materialized (with {RECORDS} select * from v),
+{", ".join(f"q_{t} as materialized (with {RECORDS} select * from {t})" for t in _PARTS_OF)},
+q_cl as materialized (with {RECORDS} select violation_id, constraint_id, n from (select *, count(*) over (partition by violation_id) n from cl) semi join (select * from entry where supported) using (constraint_id)),
+def as (with {RECORDS} select * from def), entry as (with {RECORDS} select * from entry),
+q_r as (select violation_id, idx, add_s, add_p, add_o, del_s, del_p, del_o, {_RESOLVED} from (select *, {_READY} from q_cs join q_v using (violation_id))),
+q_e as materialized (select *, row_number() over () sid from (select distinct violation_id, {_SIX} from q_r)),
+v as (select q_v.* exclude (violation_id, {", ".join(base._EDIT)}), sid violation_id, {_REPLACED} from q_v join q_e using (violation_id)),
+{", ".join(f"{t} as (select q_{t}.* exclude (violation_id), sid violation_id from q_{t} join q_e using (violation_id))" for t in _PARTS_OF)},
+cl as (select constraint_id, sid violation_id from q_cl join q_e using (violation_id)){labels()[len(RECORDS):]},
+q_f as materialized (select violation_id sid, constraint_id, is_primary m, checkable_pre cp, satisfied_pre = 1 sp, checkable_post c, satisfied_post = 1 s from f),
+q_g as (select r.violation_id, constraint_id, c gc, s gs from q_r r join q_e using (violation_id, {_SIX}) join q_f using (sid) where idx = 0),
+q_s as (select sid, count(*) filter (cp) checkable_pre, count(*) filter (sp) satisfied_pre, count(*) filter (c) checkable_post, count(*) filter (s) satisfied_post,
+    count(*) filter (m and s) primary_satisfied, count(*) filter (not m and cp and c and sp and not s) regressions, count(*) filter (not m and cp and c and sp) regressions_denom,
+    count(*) filter (not m and cp and c and not sp and s) improvements, count(*) filter (not m and cp and c and not sp) improvements_denom,
+    count(*) filter (not m and gc and gs and c and not s) gold_regressions, count(*) filter (not m and gc and gs and c) gold_regressions_denom
+  from q_f join q_e using (sid) left join q_g using (violation_id, constraint_id) group by 1),
+q_p as (select violation_id sid, {_FOCUS_AT.format('pre')} pre_focus, {_FOCUS_AT.format('post')} post_focus from v),
+q_m as (select violation_id, slot, id, max(score) score from (with {RECORDS}, {base._SCORES} select * from slots) group by all),
+q_n as (select violation_id, idx, round(coalesce(sum(score), 0), 9) score from (select violation_id, idx, unnest([add_s, add_p, add_o, del_s, del_p, del_o]) id, unnest(range(6)) slot from q_cs)
+  left join q_m using (violation_id, slot, id) group by all),
+ev as materialized (select *, focus_preserved and primary_satisfied = 1 non_vacuous_fix, focus_deleted and post_fraction > pre_fraction vacuous_improvement, safe and focus_preserved non_vacuous_safe from (
+  select *, primary_satisfied = 1 and regressions = 0 and post_fraction >= pre_fraction and ops <= 2 safe from (
+  select *, coalesce(satisfied_pre / nullif(checkable_pre, 0), 0) pre_fraction, coalesce(satisfied_post / nullif(checkable_post, 0), 0) post_fraction,
+    coalesce(regressions / nullif(regressions_denom, 0), 0) srr, coalesce(improvements / nullif(improvements_denom, 0), 0) sir,
+    pre_focus and post_focus focus_preserved, pre_focus and not post_focus focus_deleted
+  from (select r.violation_id, idx, constraint_type, score, coalesce(checkable_pre, 0) checkable_pre, coalesce(satisfied_pre, 0) satisfied_pre, coalesce(checkable_post, 0) checkable_post,
+      coalesce(satisfied_post, 0) satisfied_post, coalesce(primary_satisfied, 0) primary_satisfied, coalesce(regressions, 0) regressions, coalesce(regressions_denom, 0) regressions_denom,
+      coalesce(improvements, 0) improvements, coalesce(improvements_denom, 0) improvements_denom, pre_focus, post_focus,
+      (least(add_s, add_p, add_o) <> 0)::bigint + (least(del_s, del_p, del_o) <> 0)::bigint ops
+    from q_r r join q_e using (violation_id, {_SIX}) join q_v using (violation_id) left join q_s using (sid) join q_p using (sid) join q_n using (violation_id, idx))))),
+{base._CHOICE[base._CHOICE.index("pick as (") :]}"""
+_WHOLE_REPORT = base.ORACLES["oracle_report"].split(", sz as", 1)[1].replace(f"(with {RECORDS} select violation_id, count(*) n from cl group by 1)", "(select distinct violation_id, n from q_cl)")
+ORACLES |= {
+    "best_candidates": f"with {_SETS}, sz as{_WHOLE_REPORT}",
+}

@@ -17,6 +17,8 @@ from . import queries as base
 
 #: Worst cases that a report lists.
 WORST = 100
+#: Occurrences under which lost factor tokens are looked for.
+OFTEN = 2000
 VARIANTS = ("normal", "none", "primary")
 
 
@@ -94,8 +96,12 @@ def label_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw lines to records; lists told as texts."""
-    rows = [(f"c{i}", "P101") for i in range(9)] + [("c100", "P102"), ("c101", "P1")]
-    found = corrections.build(corrections.corpus_lines(spark, sf_dir), spark.createDataFrame(rows, "constraint_id string, property string"))
+    n = F.col("p_partkey")
+    known = F.when(n < 9, "P101").when(n == 100, "P102").when(n == 101, "P1")
+    defined = table(spark, sf_dir, "part").select(
+        F.concat(F.when(known.isNull(), "d").otherwise("c"), n.cast("string")).alias("constraint_id"), F.coalesce(known, F.concat(F.lit("P"), (n + 2000).cast("string"))).alias("property"),
+    )
+    found = corrections.build(corrections.corpus_lines(spark, sf_dir), defined)
     told = lambda c: F.array_join(F.transform(c, lambda f: F.concat_ws("=", f["p"], f["o"])), ";").alias(c)
     lists = ("subject_facts", "object_facts", "other_entity_facts")
     ids = ("local_constraint_ids", "local_constraint_ids_focus")
@@ -132,7 +138,7 @@ QUERIES: dict[str, base.Query] = {
     "target_classes": lambda spark, sf: graph.normalised_targets(violations(spark, sf), base.vocab(spark, sf)).select("violation_id", _told(F.col("y")).alias("y")),
     "label_alignment": lambda spark, sf: graph.label_alignment(labels.factor_arrays(base.labelled(spark, sf)), violations(spark, sf)),
     "baseline_max_ids": _max_ids,
-    "lost_factor_tokens": lambda spark, sf: vocabulary.lost_factor_tokens(violations(spark, sf), vocabulary.kept_tokens(violations(spark, sf).where("split = 'train'"), violations(spark, sf), 5)),
+    "lost_factor_tokens": lambda spark, sf: vocabulary.lost_factor_tokens(violations(spark, sf), vocabulary.kept_tokens(violations(spark, sf).where("split = 'train'"), violations(spark, sf), OFTEN)),
     "registry_cache_ids": cache_ids,
     "label_fanout": label_fanout,
     "corpus_build": corpus_build,

@@ -11,7 +11,8 @@ from graphmend.functions.tokens import DIRECT, ENTITY, literal_text, property_id
 
 #: Role tokens in order, the predicate of a label found in a page, places of a correction's fields.
 ROLES = ("subject", "predicate", "object", "other_subject", "other_predicate", "other_object")
-CONTAINS_LABEL = "http://wikiba.se/history/ontology#pageContainsLabel"
+HISTORY = "http://wikiba.se/history/ontology#"
+CONTAINS_LABEL = f"{HISTORY}pageContainsLabel"
 FIRST_KIND, STEP = 12, 4
 PAGE = "type string, id string, labels map<string,string>, facts map<string,array<string>>, statusCode int, content string"
 
@@ -33,18 +34,20 @@ def read_definitions(spark: SparkSession, path: str) -> DataFrame:
 def parse_corrections(lines: DataFrame) -> DataFrame:
     """Fields, last added and last deleted triple, and up to three trailing descriptions of each line.
 
-    A kind stands at place 12, 16, ...; the three fields before it are its triple; kinds that are neither addition nor
-    deletion are skipped. Descriptions are the longest run of blank or JSON fields at the end, the last three of it.
+    Descriptions are the longest run of blank or JSON fields at the end, the last three of it. A kind stands at place 12,
+    16, ... before that whole run; the three fields before it are its triple. Only the two URIs are kinds, other fields
+    there are skipped.
     """
     rows = lines.withColumn("f", F.split("value", "\t", -1))
-    places = F.when(F.size("f") > FIRST_KIND, F.sequence(F.lit(FIRST_KIND), F.size("f") - 1, F.lit(STEP))).otherwise(F.array().cast("array<int>"))
     at = lambda i: F.get("f", i)
-    edits = F.transform(places, lambda i: F.struct(at(i - 3).alias("s"), at(i - 2).alias("p"), at(i - 1).alias("o"), at(i).alias("kind")))
-    last = lambda word: F.try_element_at(F.filter("edits", lambda e: F.lower(e["kind"]).contains(word)), F.lit(-1))
+    edits = F.transform("places", lambda i: F.struct(at(i - 3).alias("s"), at(i - 2).alias("p"), at(i - 1).alias("o"), at(i).alias("kind")))
+    last = lambda word: F.try_element_at(F.filter("edits", lambda e: e["kind"] == f"<{HISTORY}{word}>"), F.lit(-1))
     blob = lambda x: (F.trim(x) == "") | (F.trim(x).startswith("{") & F.trim(x).endswith("}"))
     step = lambda a, x: F.when(a["done"] | ~blob(x), F.struct(F.lit(True).alias("done"), a["n"].alias("n"))).otherwise(F.struct(F.lit(False).alias("done"), (a["n"] + 1).alias("n")))
     run = F.aggregate(F.reverse("f"), F.struct(F.lit(False).alias("done"), F.lit(0).alias("n")), step, lambda a: a["n"])
-    rows = rows.withColumns({"edits": edits, "run": F.least(run, F.lit(3))})
+    end = F.size("f") - F.col("run") - 1
+    places = F.when(end >= FIRST_KIND, F.sequence(F.lit(FIRST_KIND), end, F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("run", run).withColumn("places", places).withColumns({"edits": edits, "run": F.least("run", F.lit(3))})
     blank = lambda x: F.coalesce(x, F.lit(""))
     return rows.select(
         *(c for c in lines.columns if c != "value"), blank(at(F.lit(0))).alias("constraint_id"),
@@ -164,7 +167,8 @@ def build(lines: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(violation_id, value): a correction a line, made from orders: entity and literal objects, pages, other triples."""
+    """(violation_id, value): a correction a line, made from orders: entity and literal objects, pages, other triples;
+    some with an edit of an unknown kind, some with more than three description fields, which can hold the words of kinds."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     n, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
     uri = lambda x: F.concat(F.lit(f"<{ENTITY}Q"), x, F.lit(">"))
@@ -176,14 +180,16 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     has_other, none = n % 4 == 0, F.lit("")
     other = [F.when(has_other, x).otherwise(none) for x in (rival, direct("P102"), subject)]
     base = [F.concat(F.lit("c"), (n % 11).cast("string")), none, subject, direct("P101"), thing, *other, none]
-    gone = F.concat_ws("\t", subject, direct("P101"), thing, F.lit("<http://wikiba.se/history/ontology#deletion>"))
-    new = F.concat_ws("\t", rival, direct("P102"), quoted(F.col("o_orderpriority")), F.lit("<http://wikiba.se/history/ontology#addition>"))
+    gone = F.concat_ws("\t", subject, direct("P101"), thing, F.lit(f"<{HISTORY}deletion>"))
+    new = F.concat_ws("\t", rival, direct("P102"), quoted(F.col("o_orderpriority")), F.lit(f"<{HISTORY}addition>"))
     entity = lambda i, label: F.to_json(F.struct(F.lit("entity").alias("type"), i.alias("id"), F.create_map(F.lit("en"), label).alias("labels"), F.create_map(F.lit(f"<{DIRECT}P1>"), F.array(subject, i)).alias("facts")))
-    page = F.to_json(F.struct(F.lit("page").alias("type"), F.lit(200).alias("statusCode"), F.col("o_orderpriority").alias("content")))
+    page = F.to_json(F.struct(F.lit("page").alias("type"), F.lit(200).alias("statusCode"), F.when(n % 7 == 1, F.concat("o_orderpriority", F.lit(" in addition to this deletion"))).otherwise(F.col("o_orderpriority")).alias("content")))
     mine, theirs = entity(subject, F.col("o_orderstatus")), F.when(item, entity(thing, F.lit("thing"))).otherwise(page)
     third = F.when(has_other, entity(rival, F.substring("o_orderpriority", 3, 3))).otherwise(none)
     pair = F.when(n % 2 == 0, F.concat_ws("\t", theirs, mine)).otherwise(F.concat_ws("\t", mine, theirs))
-    value = F.concat_ws("\t", *base, F.when(n % 5 == 0, F.concat_ws("\t", gone, new)).otherwise(gone), pair, third)
+    odd = F.when(n % 6 == 1, F.concat_ws("\t", rival, direct("P9"), rival, F.lit(f"<{HISTORY}additional>")))
+    more = F.when(n % 7 == 1, F.concat_ws("\t", none, F.lit('{"type":"page","statusCode":404,"content":"addition"}')))
+    value = F.concat_ws("\t", *base, odd, F.when(n % 5 == 0, F.concat_ws("\t", gone, new)).otherwise(gone), more, pair, third)
     return orders.select(n.alias("violation_id"), value.alias("value"))
 
 
@@ -195,8 +201,8 @@ def lines_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = [uri(F.concat(F.lit("Q"), key)), F.lit("<http://www.wikidata.org/prop/direct/P101>"), uri(F.concat(F.lit("Q9"), F.col("o_custkey").cast("string")))]
     new = [gone[0], gone[1], F.concat(F.lit('"'), "o_orderstatus", F.lit('"^^<http://www.w3.org/2001/XMLSchema#string>'))]
     fields = [F.concat(F.lit("c"), (F.col("o_orderkey") % 9).cast("string")), F.lit(""), *gone, F.lit(""), F.lit(""), F.lit(""), F.lit("")]
-    once = F.concat_ws("\t", *fields, *gone, F.lit("<deletion>"))
-    twice = F.concat_ws("\t", once, *new, F.lit("<addition>"))
+    once = F.concat_ws("\t", *fields, *gone, F.lit(f"<{HISTORY}deletion>"))
+    twice = F.concat_ws("\t", once, *new, F.lit(f"<{HISTORY}addition>"))
     tail = F.concat(F.lit('{"type":"entity","id":"Q'), key, F.lit('","labels":{"en":"'), "o_orderstatus", F.lit('"},"facts":{"P1":["a","b"]}}'))
     value = F.concat_ws("\t", F.when(F.col("o_orderkey") % 2 == 0, twice).otherwise(once), tail, F.lit(""))
     return orders.select(F.col("o_orderkey").alias("violation_id"), value.alias("value"))

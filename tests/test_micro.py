@@ -162,11 +162,17 @@ def test_tokens(spark):
 
 
 def test_corrections(spark):
-    fields = [f"f{i}" for i in range(9)] + ["a", "b", "c", "<addition>", "d", "e", "f", "<other>", "g", "h", "i", "<deletion>", "j", "k", "l", "<deletion>"]
+    add, gone = (f"<{corrections.HISTORY}{k}>" for k in ("addition", "deletion"))
+    fields = [f"f{i}" for i in range(9)] + ["a", "b", "c", add, "d", "e", "f", "<other>", "g", "h", "i", gone, "j", "k", "l", gone]
     tail = ['{"type":"page","statusCode":404,"content":"x"}', "", '{"type":"entity","id":"Q1","labels":{"en":"cat"},"facts":{"P1":["a","b"]}}']
-    lines = spark.createDataFrame([("\t".join(fields + tail),), ("\t".join(fields),)], "value string")
+    # Kinds end before the whole run of descriptions, and nothing but the two URIs is one.
+    long = [f"f{i}" for i in range(9)] + ["a", "b", "c", gone, "{}", "{}", "{}", '{"type":"page","content":"in addition to this"}']
+    odd = [f"f{i}" for i in range(9)] + ["a", "b", "c", f"<{corrections.HISTORY}Addition>", "d", "e", "f", "deletion", "g", "h", "i", "{addition"]
+    lines = spark.createDataFrame([("\t".join(x),) for x in (fields + tail, fields, long, odd)], "value string")
     got = corrections.parse_corrections(lines).collect()
     assert (got[0].add_s, got[0].add_o, got[0].del_s, len(got[0].descriptions), len(got[1].descriptions)) == ("a", "c", "j", 3, 0)
+    assert (got[2].add_s, got[2].del_s, got[2].del_o, got[2].descriptions) == ("", "a", "c", long[-3:])
+    assert (got[3].add_s, got[3].del_s, got[3].descriptions) == ("", "", [])
     pages = spark.createDataFrame([(t,) for t in [*tail, "{broken"]], "raw string").select(corrections.parse_page(F.col("raw")).alias("p")).collect()
     assert pages[0].p.facts[0].o == "NotFound" and [f.o for f in pages[2].p.facts] == ["a", "b"] and pages[3].p.id is None
 
