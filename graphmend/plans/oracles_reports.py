@@ -224,3 +224,14 @@ _WHOLE_REPORT = base.ORACLES["oracle_report"].split(", sz as", 1)[1].replace(f"(
 ORACLES |= {
     "best_candidates": f"with {_SETS}, sz as{_WHOLE_REPORT}",
 }
+
+ORACLES |= {
+    "capped_lines": f"""with l as (select o_orderkey, case when o_orderkey % 20 < 14 then 'train' when o_orderkey % 20 < 17 then 'val' else 'test' end || '-c' || (o_orderkey % 11) file from orders),
+n as (select *, row_number() over (partition by file order by o_orderkey) - 1 line from l),
+c as (select *, row_number() over (order by file, line) place from n where line < 200)
+select file, line, 'c' || (o_orderkey % 11) constraint_id, 'Q' || o_orderkey subject, '<{_E}Q' || o_orderkey || '>' deleted from c where place <= 2500""",
+    "resumed_shards": f"""with {RECORDS}, a as (select violation_id, count(*) n from cl group by 1),
+r as (select violation_id, split, (violation_id // 20 % 4)::int shard, n, greatest({", ".join(base._EDIT)}) <> 0 keep from v join a using (violation_id))
+select split, shard, count(*) filter (keep) kept, count(*) filter (not keep) dropped, count(*) filter (keep) "rows", sum(violation_id) filter (keep)::bigint id_sum,
+  sum(n) filter (keep)::bigint attached from r group by 1, 2""",
+}

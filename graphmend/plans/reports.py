@@ -10,7 +10,7 @@ from graphmend.operators import baselines, candidates, evaluate, graph, labels,
 from graphmend.operators.baselines import SLOTS
 from graphmend.operators.evidence import resolved
 from graphmend.operators.registry import instances
-from graphmend.sources import corrections
+from graphmend.sources import corrections, ingest
 from graphmend.sources.violations import catalog, definitions, table, violations
 
 from . import queries as base
@@ -108,6 +108,34 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*(c for c in found.columns if c not in (*lists, *ids)), *map(told, lists), *(F.array_join(c, ",").alias(c) for c in ids))
 
 
+#: Caps of the line scan: lines a file and lines in all.
+PER_FILE, OVERALL, SHARDS, CUT = 200, 2500, 4, 5
+
+
+def capped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections written as gzipped files, one a constraint and split, read back, numbered and capped."""
+    n = F.col("violation_id")
+    split = F.when(n % 20 < 14, "train").when(n % 20 < 17, "val").otherwise("test")
+    lines = corrections.corpus_lines(spark, sf_dir).withColumn("file", F.concat_ws("-", split, F.concat(F.lit("c"), (n % 11).cast("string"))))
+    path = ingest.shared_folder(spark)
+    ingest.write_lines(lines, path, "violation_id")
+    found = ingest.capped(ingest.numbered_lines(spark, path), PER_FILE, OVERALL)
+    parsed = corrections.parse_corrections(found)
+    return parsed.select("file", "line", "constraint_id", tokens.token(F.col("subject")).alias("subject"), F.col("del_s").alias("deleted"))
+
+
+def resumed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with an edit, written in shards by a pass that is cut short and one that goes on: the ledger and what is stored."""
+    records = violations(spark, sf_dir).withColumn("shard", F.pmod(F.expr("violation_id div 20"), F.lit(SHARDS)).cast("int"))
+    keep = F.exists(F.array(*labels.EDIT), lambda x: x != 0)
+    path = ingest.shared_folder(spark)
+    ingest.Shards(spark, path, SHARDS).write(records, keep, stop_after=CUT)
+    again = ingest.Shards(spark, path, SHARDS)
+    again.write(records, keep)
+    stored = again.rows().groupBy("split", "shard").agg(F.count("*").alias("rows"), F.sum("violation_id").alias("id_sum"), F.sum(F.size("local_constraint_ids")).alias("attached"))
+    return again.ledger().join(stored, ["split", "shard"], "left")
+
+
 def literal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.literal_texts(corrections.in_tokens(corrections.parse_corrections(corrections.corpus_lines(spark, sf_dir))))
 
@@ -142,6 +170,8 @@ QUERIES: dict[str, base.Query] = {
     "registry_cache_ids": cache_ids,
     "label_fanout": label_fanout,
     "corpus_build": corpus_build,
+    "capped_lines": capped_lines,
+    "resumed_shards": resumed_shards,
     "literal_texts": literal_texts,
     "exposure_counts": lambda spark, sf: scores.exposure_counts(scores.exposure(violations(spark, sf).where("split = 'train'"))),
     "primary_factor_index": lambda spark, sf: base.labelled(spark, sf).where("is_primary").select("violation_id", F.col("position").cast("long").alias("primary_index")),
