@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .baselines import EDIT, SLOTS
@@ -179,6 +180,38 @@ def degeneracy(model: DataFrame, focus: DataFrame, tolerance: float = 1e-9) -> D
     return sums.withColumn("constraint_type", F.coalesce("constraint_type", F.lit("all")))
 
 
+#: Figures of both edits that a degeneracy report gives the rates of.
+RATES = ("focus_deleted", "deletes_focus", "vacuous_improvement", "non_vacuous_fix")
+
+
+def degeneracy_levels(model: DataFrame, focus: DataFrame, density: DataFrame, examples: int, tolerance: float = 1e-9) -> DataFrame:
+    """(density, constraint_type, support, rates, examples): model edits against delete-focus edits over all, by density and
+    by type. Examples are the first records whose edits differ in slots or effect, at most so many a level.
+
+    Both inputs are evaluated with their slots; ``density`` is (violation_id, density). Ranks within a level are cut in each
+    task before rows are exchanged.
+    """
+    near, same_flags = ("primary_satisfied", "post_fraction", "sir", "srr"), ("focus_preserved", "focus_deleted", "deletes_focus")
+    columns = (*SLOTS, *near, "ops", "focus_preserved", *RATES)
+    b = focus.select("violation_id", *(F.col(c).alias(f"f_{c}") for c in columns))
+    rows = model.select("violation_id", "constraint_type", *columns).join(b, "violation_id").join(density, "violation_id")
+    every = lambda tests: reduce(lambda x, y: x & y, tests)
+    rows = rows.withColumn("exact", every(F.col(c) == F.col(f"f_{c}") for c in SLOTS))
+    rows = rows.withColumn("equivalent", every([*(F.abs(F.col(c) - F.col(f"f_{c}")) <= tolerance for c in near), *(F.col(c) == F.col(f"f_{c}") for c in ("ops", *same_flags))]))
+    share = lambda c, n: F.avg(F.col(c).cast("double")).alias(n)
+    sums = rows.groupingSets([[], [F.col("density")], [F.col("constraint_type")]], F.col("density"), F.col("constraint_type")).agg(
+        F.count("*").alias("support"), share("exact", "exact"), share("equivalent", "equivalent"), *(share(f"{p}{c}", f"{n}_{c}") for p, n in (("", "model"), ("f_", "focus")) for c in RATES)
+    )
+    whole = {c: F.coalesce(c, F.lit("all")) for c in ("density", "constraint_type")}
+    level = lambda d, t: F.struct(d.alias("density"), t.alias("constraint_type"))
+    top = F.lit("all")
+    levels = F.explode(F.array(level(top, top), level(F.col("density"), top), level(top, F.col("constraint_type")))).alias("level")
+    odd = rows.where("not (exact and equivalent)").select("violation_id", levels)
+    first = odd.withColumn("rank", F.row_number().over(Window.partitionBy("level").orderBy("violation_id"))).where(F.col("rank") <= examples)
+    lists = first.groupBy("level").agg(F.array_sort(F.collect_list("violation_id")).alias("examples")).select("level.*", "examples")
+    return sums.withColumns(whole).join(lists, ["density", "constraint_type"], "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<bigint>")))
+
+
 def selection_score(report: DataFrame, w_fix: float = 1.0, w_srr: float = 1.0, w_f1: float = 1.0, w_ops: float = 0.1) -> DataFrame:
     """Adds the model-selection score and its variant with the logarithm of the disruption to joined metrics.
 

@@ -235,3 +235,44 @@ r as (select violation_id, split, (violation_id // 20 % 4)::int shard, n, greate
 select split, shard, count(*) filter (keep) kept, count(*) filter (not keep) dropped, count(*) filter (keep) "rows", sum(violation_id) filter (keep)::bigint id_sum,
   sum(n) filter (keep)::bigint attached from r group by 1, 2""",
 }
+
+#: The nodes of a record in order of use: keys of entities repeat, all others are new at each use; a number is a key's rank.
+_USES = f"""{base._WIRED.split("obs as")[0]}
+fc as (select violation_id, constraint_id, row_number() over (partition by violation_id order by constraint_id) place from wf),
+st as (
+  select violation_id, 0 kind, ord, 0 sub, s a, p b, o c from tr
+  union all select violation_id, 1, 1000 + place, 0, constraint_id, 0, 0 from fc
+  union all select violation_id, 2, 1000 + place, row_number() over (partition by violation_id, constraint_id order by substring(parameter, 2)::bigint, value), constraint_id,
+    substring(parameter, 2)::bigint, value from fc join def using (constraint_id) where parameter is not null),
+ps as (select *, row_number() over (partition by violation_id order by ord, sub) - 1 place from st),
+us as (
+  select violation_id, place, 3 * place pos, 's' part, case kind when 0 then 'e' || a when 1 then 'f' || a end k from ps where kind < 2
+  union all select violation_id, place, 3 * place + 1, 'p', 'p' || place from ps where kind <> 1
+  union all select violation_id, place, 3 * place + 2, 'o', 'e' || c from ps where kind <> 1),
+nu as (select violation_id, k, row_number() over (partition by violation_id order by min(pos)) - 1 num from us group by 1, 2)"""
+_SOURCES = f"""e as (select case when vec_id % 5 <> 4 then vec_id + 2000000000 end id, case when vec_id % 5 = 4 then 'L' || vec_id end k, embedding from embeddings),
+nd as (select distinct violation_id, id from ({base.ORACLES['graph_nodes']}) where kind = 'entity')"""
+_ALIKE = " and ".join(
+    [f"abs(a.{c} - b.{c}) <= 1e-9" for c in ("primary_satisfied", "post_fraction", "sir", "srr")] + [f"a.{c} = b.{c}" for c in ("ops", "focus_preserved", "focus_deleted", "deletes_focus")]
+)
+ORACLES |= {
+    "dense_graph": f"""with {_USES}, tot as (select violation_id, count(*) nodes from nu group by 1)
+select p.violation_id, nodes, count(*) n_paths, md5(string_agg(concat_ws(',', kind, case kind when 1 then a else b end, case when kind = 2 then f.num else s.num end,
+  coalesce(q.num, -1), coalesce(o.num, -1)), ';' order by p.place)) paths_md5
+from ps p join tot using (violation_id) left join nu s on s.violation_id = p.violation_id and kind < 2 and s.k = case kind when 0 then 'e' || a else 'f' || a end
+  left join nu f on f.violation_id = p.violation_id and kind = 2 and f.k = 'f' || a
+  left join nu q on q.violation_id = p.violation_id and kind <> 1 and q.k = 'p' || place
+  left join nu o on o.violation_id = p.violation_id and kind <> 1 and o.k = 'e' || c group by all""",
+    "node_vectors": f"""with {_SOURCES}
+select violation_id, nd.id, case when a.embedding is not null then 'id' when b.embedding is not null then 'literal' else 'unknown' end source,
+  len(coalesce(a.embedding, b.embedding, u.embedding)) dims, coalesce(a.embedding, b.embedding, u.embedding)[1]::double "first"
+from nd left join e a on a.id = nd.id left join e b on b.k = 'L' || (nd.id % 100) and nd.id between 8000 and 8999
+  cross join (select embedding from e where id = 2000000007) u""",
+    "degeneracy_report": f"""with g as (with {RECORDS} select violation_id, {base._GOLD} from v), ev as materialized (select * from {evaluated({0: None, 1: base.DELETE_FOCUS})}),
+r as (select a.*, density, (add_s, add_p, add_o, del_s, del_p, del_o) = (0, 0, 0, 1, 2, 3) exact, {_ALIKE} equivalent, {", ".join(f"b.{c} f_{c}" for c in ("focus_deleted", "deletes_focus", "vacuous_improvement", "non_vacuous_fix"))}
+  from ev a join ev b on a.violation_id = b.violation_id and a.idx = 0 and b.idx = 1 join g on g.violation_id = a.violation_id join {_DENSITY} d on d.violation_id = a.violation_id)
+select coalesce(density, 'all') density, coalesce(constraint_type, 'all') constraint_type, count(*) support, avg(exact::int) exact, avg(equivalent::int) equivalent,
+  {", ".join(f"avg({p}{c}::int) {n}_{c}" for p, n in (("", "model"), ("f_", "focus")) for c in ("focus_deleted", "deletes_focus", "vacuous_improvement", "non_vacuous_fix"))},
+  coalesce(array_to_string((list(violation_id order by violation_id) filter (not (exact and equivalent)))[1:5], ','), '') examples
+from r group by grouping sets ((), (density), (constraint_type))""",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmend.functions import tokens
-from graphmend.operators import baselines, candidates, evaluate, graph, labels, metrics, patterns, profile, registry, reports, scores, textcache, vocabulary
+from graphmend.operators import baselines, candidates, dense, evaluate, graph, labels, metrics, patterns, profile, registry, reports, scores, textcache, vectors, vocabulary
 from graphmend.operators.baselines import SLOTS
 from graphmend.operators.evidence import resolved
 from graphmend.operators.registry import instances
@@ -136,6 +136,44 @@ def resumed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.ledger().join(stored, ["split", "shard"], "left")
 
 
+#: Examples that a degeneracy report lists a level.
+EXAMPLES = 5
+
+
+def dense_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as a graph over 0 .. n - 1: facts, then factors with a checker in attached order, with their parameters;
+    a digest tells the paths."""
+    records = violations(spark, sf_dir)
+    held = base.labelled(spark, sf_dir, policy="supported_only").where("supported").select("violation_id", "position", "constraint_id")
+    params = definitions(spark).where("parameter is not null").select("constraint_id", F.substring("parameter", 2, 20).cast("long").alias("p"), F.col("value").alias("o"))
+    rows = dense.numbered(records, dense.factor_steps(held, params))
+    paths = F.array_join(F.transform("paths", lambda x: F.concat_ws(",", *(x[c].cast("string") for c in ("kind", "id", "s", "p", "o")))), ";")
+    return rows.select("violation_id", F.col("nodes").cast("long").alias("nodes"), F.size("paths").cast("long").alias("n_paths"), F.md5(paths.cast("binary")).alias("paths_md5"))
+
+
+def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity nodes with cached vectors: customers by id, order states and priorities by literal, all others by the unknown
+    token's entry. Vectors are told by their size and first element."""
+    cached = table(spark, sf_dir, "embeddings")
+    entries = cached.select(
+        F.when(F.col("vec_id") % 5 != 4, F.col("vec_id") + 2_000_000_000).alias("id"), F.when(F.col("vec_id") % 5 == 4, F.concat(F.lit("L"), F.col("vec_id").cast("string"))).alias("key"),
+        F.when(F.col("vec_id") == 7, "unknown").otherwise(F.col("label").cast("string")).alias("text"), F.col("embedding").alias("vector"),
+    )
+    nodes = graph.nodes(base.facts(spark, sf_dir)).where("kind = 'entity'")
+    wanted = nodes.select("violation_id", "id", F.when(F.col("id").between(8000, 8999), F.concat(F.lit("L"), F.col("id") % 100)).alias("key"))
+    found = vectors.VectorCache(entries, ingest.shared_folder(spark)).lookup(wanted)
+    return found.select("violation_id", "id", "source", F.size("vector").cast("long").alias("dims"), F.element_at("vector", 1).cast("double").alias("first"))
+
+
+def degeneracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The historical edit as the model's against delete-focus, over all, by density and by type, with examples."""
+    records = violations(spark, sf_dir)
+    slots = base.simple_candidates(spark, records)
+    rows = base.evaluated(spark, sf_dir).join(slots, ["violation_id", "idx"])
+    report = evaluate.degeneracy_levels(rows.where("idx = 0"), rows.where("idx = 1"), density(records), EXAMPLES)
+    return report.withColumn("examples", _told(F.col("examples")))
+
+
 def literal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.literal_texts(corrections.in_tokens(corrections.parse_corrections(corrections.corpus_lines(spark, sf_dir))))
 
@@ -172,6 +210,9 @@ QUERIES: dict[str, base.Query] = {
     "corpus_build": corpus_build,
     "capped_lines": capped_lines,
     "resumed_shards": resumed_shards,
+    "dense_graph": dense_graph,
+    "node_vectors": node_vectors,
+    "degeneracy_report": degeneracy_report,
     "literal_texts": literal_texts,
     "exposure_counts": lambda spark, sf: scores.exposure_counts(scores.exposure(violations(spark, sf).where("split = 'train'"))),
     "primary_factor_index": lambda spark, sf: base.labelled(spark, sf).where("is_primary").select("violation_id", F.col("position").cast("long").alias("primary_index")),
