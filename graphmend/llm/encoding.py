@@ -42,8 +42,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = spelled_out
-        # A text that spells one of them, in any case, is encoded whole.
+        self.library.encode_special_tokens = True
+        # A text that spells a special token, in any case, is encoded whole by the library as loaded; it costs more there.
+        self.loaded = self.library if spelled_out else Tokenizer.from_file(path)
         self.special = () if spelled_out else tuple(t.content.lower() for t in self.library.get_added_tokens_decoder().values() if t.special)
         if self.library.get_vocab_size() > 65536:
             raise ValueError("ids need more than 16 bits")
@@ -62,9 +63,11 @@ class Encoder:
         return _KEPT[path, spelled_out]
 
     def _holds_special(self, text: str) -> bool:
-        return any(s in text for s in self.special) if text.islower() else any(s in text.lower() for s in self.special)
+        return "|>" in text and any(s in text.lower() for s in self.special)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
+        if any(map(self._holds_special, texts)):
+            return [np.array((self.loaded if self._holds_special(t) else self.library).encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, text: str) -> list[str] | None:
@@ -116,7 +119,7 @@ class Encoder:
         rows: list[tuple[list, list] | None] = []
         need: set[str] = set()
         for text in texts:
-            words = None if "|>" in text and self._holds_special(text) else self._words(text)
+            words = None if self._holds_special(text) else self._words(text)
             if words is None:
                 rows.append(None)
                 continue
