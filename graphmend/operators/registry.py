@@ -46,10 +46,13 @@ def property_index(definitions: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class PropertyIndex:
-    """A property index as a constant of plans: at each property's distance from the lowest, its constraints' ids."""
+    """A property index as a constant of plans: at each property's distance from the lowest, its constraints' ids; and at each
+    constraint's distance from the lowest, its property (empty where a constraint has several, or places are too many)."""
 
     low: int
     places: str
+    own_low: int = 0
+    own: str = ""
 
     @staticmethod
     def of(definitions: DataFrame, most: int = INDEX_MOST) -> PropertyIndex | None:
@@ -59,7 +62,17 @@ class PropertyIndex:
         if size.low is None or size.high - size.low >= most or size.ids > most:
             return None
         ids = {r["property"]: r.constraint_ids for r in index.collect()}
-        return PropertyIndex(size.low, json.dumps([ids.get(p) for p in range(size.low, size.high + 1)]))
+        places = json.dumps([ids.get(p) for p in range(size.low, size.high + 1)])
+        named = [(c, p) for p, held in ids.items() for c in held]
+        own = dict(named)
+        if len(own) < len(named) or max(own) - min(own) >= most or definitions.where("property is null").limit(1).count():
+            return PropertyIndex(size.low, places)
+        return PropertyIndex(size.low, places, min(own), json.dumps([own.get(c) for c in range(min(own), max(own) + 1)]))
+
+    def constrained(self, constraint: Column) -> Column:
+        """The property of a constraint."""
+        own = F.from_json(F.lit(self.own), "array<bigint>")
+        return F.when(constraint >= self.own_low, F.get(own, (constraint - self.own_low).cast("int")))
 
     def ids(self, p: Column) -> Column:
         places = F.from_json(F.lit(self.places), "array<array<bigint>>")
@@ -125,10 +138,15 @@ def with_closures(records: DataFrame, definitions: DataFrame, most: int = INDEX_
     ``most`` places and ids, so records stay where they are. A larger one is joined by property, and records are regrouped
     by their id.
     """
-    own = definitions.select(F.col("constraint_id").alias("own"), F.col("property").alias("constrained")).distinct()
+    index = index or PropertyIndex.of(definitions, most)
+    if index and index.own:
+        known = records.withColumn("constrained", index.constrained(F.col("constraint_id")))
+    else:
+        own = definitions.select(F.col("constraint_id").alias("own"), F.col("property").alias("constrained")).distinct()
+        known = records.join(own, F.col("constraint_id") == F.col("own"), "left")
     focus = F.filter(F.array_distinct(F.array("predicate", "other_predicate", F.coalesce("constrained", F.lit(0).cast("long")))), lambda p: p != 0)
-    keyed = records.join(own, F.col("constraint_id") == F.col("own"), "left").withColumns({"p_local": local_properties(), "p_focus": focus})
-    if index := index or PropertyIndex.of(definitions, most):
+    keyed = known.withColumns({"p_local": local_properties(), "p_focus": focus})
+    if index:
         found = keyed.withColumns({c: F.flatten(F.array_compact(F.transform(f"p_{c}", index.ids))) for c in ("local", "focus")})
     else:
         found = keyed.join(_regrouped(keyed, property_index(definitions)), "violation_id", "left")
