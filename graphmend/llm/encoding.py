@@ -46,6 +46,7 @@ class Encoder:
         # A text that spells a special token, in any case, is encoded whole by the library as loaded; it costs more there.
         self.loaded = self.library if spelled_out else Tokenizer.from_file(path)
         self.special = () if spelled_out else tuple(t.content.lower() for t in self.library.get_added_tokens_decoder().values() if t.special)
+        self.hint = "|>" if all(s.endswith("|>") for s in self.special) else ""
         if self.library.get_vocab_size() > 65536:
             raise ValueError("ids need more than 16 bits")
         self.cache: dict[str, bytes] = {}
@@ -63,7 +64,7 @@ class Encoder:
         return _KEPT[path, spelled_out]
 
     def _holds_special(self, text: str) -> bool:
-        return "|>" in text and any(s in text.lower() for s in self.special)
+        return self.hint in text and any(s in text.lower() for s in self.special)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         if any(map(self._holds_special, texts)):
