@@ -39,5 +39,5 @@ def test_stages_keep_clean_documents_and_their_columns(spark, tmp_path):
 
 
 def test_entries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and 4 <= len(corpus_pipeline.STAGES) <= 5
