@@ -1,19 +1,15 @@
-"""Readers and writers of record tables: registries, predictions, sharded graph tables with manifests, report files."""
+"""Readers and writers of record tables: predictions, sharded graph tables with manifests, report files."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmend.functions.tokens import token
 from graphmend.operators.baselines import SLOTS
+from graphmend.sources.ingest import numbered_lines
 
 #: Bytes of a file that its digest in a manifest covers.
 DIGEST_BYTES = 16 << 20
-ENTRY = (
-    "struct<constraint_type_item:string,constraint_family:string,constraint_family_supported:boolean,constraint_type_name:string,"
-    "constraint_type_supported:boolean,constraint_type_index:bigint,constrained_property:string,param_predicates:array<string>,param_objects:array<string>>"
-)
 
 
 def to_id(value: Column) -> Column:
@@ -31,44 +27,47 @@ def to_type(value: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit("UNKNOWN"))
 
 
-def read_registry(spark: SparkSession, path: str, column: str = "registry_json") -> DataFrame:
-    """A row per entry from the one JSON map; older keys stand in for missing ones, a missing index is computed."""
-    from graphmend.operators.registry import type_index
+def read_optional(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """Those of the wanted columns that the table has."""
+    rows = spark.read.parquet(path)
+    return rows.select(*(c for c in wanted if c in rows.columns))
 
-    entries = spark.read.parquet(path).select(F.explode(F.from_json(column, f"map<string,{ENTRY}>")).alias("raw_id", "e")).select("raw_id", "e.*")
-    rows = entries.select(
-        "raw_id", token(F.col("raw_id")).alias("constraint_key"), F.coalesce("constraint_type_item", F.lit("")).alias("type_item"),
-        F.coalesce("constraint_family", "constraint_type_name").alias("family"),
-        F.coalesce("constraint_family_supported", "constraint_type_supported", F.lit(False)).alias("supported"),
-        F.col("constraint_type_index").alias("given"), token(F.col("constrained_property")).alias("property"), "param_predicates", "param_objects",
-    )
-    return rows.join(type_index(rows, "type_item"), "type_item", "left").withColumn("type_index", F.coalesce("given", "type_index")).drop("given")
 
+def edit_slots(line: Column) -> Column:
+    """The six slots of a prediction's JSON: a flat list, {"slots": [6]}, or {"add": [3], "del" or "delete": [3]}.
 
-def resolve_ids(raw: DataFrame, vocabulary: DataFrame, column: str) -> DataFrame:
-    """Adds ``id`` by one canonical key for all spellings; of several ids the one of the plainest spelling."""
-    keyed = vocabulary.select(token(F.col("token")).alias("k"), "id", F.length("token").alias("rank")).groupBy("k").agg(F.min_by("id", F.struct("rank", "id")).alias("id"))
-    return raw.join(keyed, token(F.col(column)) == F.col("k"), "left").drop("k")
+    A missing or null half is no edit; null where six ids can't be read.
+    """
+    v = F.try_parse_json(line)
+    ids = lambda path: F.try_variant_get(v, path, "array<bigint>")
+    none = F.array(*(F.lit(0).cast("long"),) * 3)
+    stored = lambda key: F.when(F.try_variant_get(v, f"$.{key}", "string").isNull(), none).otherwise(ids(f"$.{key}"))
+    gone = F.when(F.try_variant_get(v, "$.del", "string").isNull(), stored("delete")).otherwise(ids("$.del"))
+    is_list = F.schema_of_variant(v).startswith("ARRAY")
+    six = F.when(is_list, ids("$")).when(F.try_variant_get(v, "$.slots", "string").isNotNull(), ids("$.slots"))
+    return six.otherwise(F.when(F.schema_of_variant(v).startswith("OBJECT"), F.concat(stored("add"), gone)))
 
 
-def read_optional(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    """Those of the wanted columns that the table has."""
-    rows = spark.read.parquet(path)
-    return rows.select(*(c for c in wanted if c in rows.columns))
+def _checked(six: Column) -> Column:
+    """The slots, or an error from the task that meets a broken prediction: no pass over the file before the reading one."""
+    sound = (F.size(six) == 6) & ~F.exists(six, lambda x: x.isNull() | (x < 0))
+    return F.when(F.coalesce(sound, F.lit(False)), six).otherwise(F.raise_error(F.lit("predictions need six ids of 0 or more")))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(violation_id, slots) from JSON lines {"violation_id", "add": [3], "del": [3]} or {"violation_id", "slots": [6]}."""
-    rows = spark.read.schema("violation_id long, add array<long>, del array<long>, slots array<long>").json(path)
-    none = F.array(*(F.lit(0).cast("long"),) * 3)
-    six = F.coalesce("slots", F.concat(F.coalesce("add", none), F.coalesce("del", none)))
-    rows = rows.withColumn("six", six)
-    broken = rows.where((F.size("six") != 6) | F.exists("six", lambda x: x.isNull() | (x < 0))).limit(1).count()
-    if broken:
-        raise ValueError("predictions need six ids of 0 or more")
+    """(violation_id, slots) from JSON lines with a violation_id, in any layout of ``edit_slots``."""
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    key = F.try_variant_get(F.try_parse_json("value"), "$.violation_id", "bigint")
+    rows = rows.select(key.alias("violation_id"), _checked(edit_slots(F.col("value"))).alias("six"))
     return rows.select("violation_id", *(F.get("six", i).alias(n) for i, n in enumerate(SLOTS)))
 
 
+def ordered_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, slots) of predictions that stand in the order of the records of their file, numbered from 0."""
+    rows = numbered_lines(spark, path).select("file", "line", _checked(edit_slots(F.col("value"))).alias("six"))
+    return rows.select("file", "line", *(F.get("six", i).alias(n) for i, n in enumerate(SLOTS)))
+
+
 def rows_after(rows: DataFrame, skip: int, most: int | None = None) -> DataFrame:
     """Rows behind the record ``skip``, in order of their ids; the first ``most`` of them if given."""
     rest = rows.where(F.col("violation_id") > skip)

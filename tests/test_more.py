@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphmend.operators import evaluate, graph, patterns, registry, reports, textcache, vocabulary
 from graphmend.operators.registry import instances
 from graphmend.plans import queries
-from graphmend.sources import corrections, tables
+from graphmend.sources import cells, corrections, tables
 from graphmend.sources.violations import definitions, violations
 
 SF = "/root/testdata/sf0.001"
@@ -61,12 +61,12 @@ def test_scans_with_caps_and_files(spark, tmp_path):
 def test_registry_files_and_ids(spark, tmp_path):
     entry = {"constraint_type_item": "Q2", "constraint_type_name": "single", "constraint_type_supported": True, "constrained_property": "<http://www.wikidata.org/entity/P5>", "param_predicates": [], "param_objects": []}
     spark.createDataFrame([(json.dumps({"<http://www.wikidata.org/entity/statement/x>": entry, "y": {**entry, "constraint_family": "type", "constraint_type_index": 7}}),)], "registry_json string").write.parquet(f"{tmp_path}/r")
-    found = {r.raw_id: r for r in tables.read_registry(spark, f"{tmp_path}/r").collect()}
+    found = {r.raw_id: r for r in cells.read_registry(spark, f"{tmp_path}/r").collect()}
     assert found["y"].family == "type" and found["y"].type_index == 7 and found["y"].property == "P5"
     assert (found["<http://www.wikidata.org/entity/statement/x>"].family, found["<http://www.wikidata.org/entity/statement/x>"].type_index) == ("single", 0)
-    vocab = spark.createDataFrame([("Q1", 5), ("<http://www.wikidata.org/entity/Q1>", 6)], "token string, id long")
+    vocab = spark.createDataFrame([("Q1", 5), ("<http://www.wikidata.org/entity/Q1>", 6), ("http://www.wikidata.org/prop/direct/P1", 7)], "token string, id long")
     raw = spark.createDataFrame([("http://www.wikidata.org/entity/Q1",), ("Q7",)], "raw string")
-    assert {r.raw: r.id for r in tables.resolve_ids(raw, vocab, "raw").collect()} == {"http://www.wikidata.org/entity/Q1": 5, "Q7": None}
+    assert {r.raw: r.id for r in cells.resolve_ids(raw, vocab, "raw").collect()} == {"http://www.wikidata.org/entity/Q1": 6, "Q7": None}
     assert tables.read_optional(spark, f"{tmp_path}/r", ["none", "registry_json"]).columns == ["registry_json"]
     odd = spark.createDataFrame([("7", ["1", "x", None], " ")], "a string, b array<string>, c string")
     assert odd.select(tables.to_id(F.col("a")), tables.to_ids(F.col("b")), tables.to_ids(F.col("b"), True), tables.to_type(F.col("c"))).first()[:] == (7, [1], [1, 0, 0], "UNKNOWN")
