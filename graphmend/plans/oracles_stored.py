@@ -35,4 +35,6 @@ ORACLES: dict[str, str] = {
   select token from nz join v using (violation_id) where split = 'train' group by 1 having count(*) >= 5 union select unnest(range(1, 9))),
 ci as (select token, row_number() over (order by token) id from ks)
 select violation_id, field, count(*) n, md5(string_agg(coalesce(id, (select id from ci where token = 8))::varchar, ',' order by pos)) values_md5 from nz left join ci using (token) group by 1, 2""",
+    "cache_lookup": """select o_orderkey, o_custkey + 2000000000 id, case when c_acctbal >= 0 then c_name when o_orderpriority < '3' then 'priority ' || o_orderpriority else 'unknown' end "text"
+from orders left join customer on o_custkey = c_custkey""",
 }

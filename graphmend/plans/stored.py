@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmend.functions.tokens import DIRECT, ENTITY
-from graphmend.operators import baselines, registry, vocabulary
+from graphmend.operators import baselines, registry, textcache, vocabulary
 from graphmend.operators.idset import IdSet
 from graphmend.sources import cells, ingest, tables
 from graphmend.sources.violations import LISTS, SCALARS, table, violations
@@ -17,6 +17,8 @@ from . import queries as base
 LEAST = 5
 #: Records that a file of predictions holds.
 PER_FILE = 1000
+#: Files of the stored text cache.
+CACHE_FILES = 16
 
 
 def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +103,20 @@ def filtered_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("violation_id", "field", F.size("values").cast("long").alias("n"), F.md5(base.told("values").cast("binary")).alias("values_md5"))
 
 
-QUERIES: dict[str, base.Query] = {"registry_cells": registry_cells, "stored_predictions": stored_predictions, "filtered_view": filtered_view}
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the orders' customers from a stored cache that holds customers with a balance: by id, else by the literal of the
+    order's priority, of which the cache holds two, else the fallback."""
+    n, wide = F.col("c_custkey"), F.col("c_custkey") + 2_000_000_000
+    rows = table(spark, sf_dir, "customer")
+    named = rows.where("c_acctbal >= 0").select(F.lit("uri").alias("kind"), F.concat(F.lit("Q"), n.cast("string")).alias("key"), wide.alias("id"), F.col("c_name").alias("text"))
+    orders = table(spark, sf_dir, "orders")
+    urgent = orders.where("o_orderpriority < '3'").groupBy(F.col("o_orderpriority").alias("key")).agg(F.concat(F.lit("priority "), F.max("o_orderpriority")).alias("text"))
+    cache = named.unionByName(urgent.select(F.lit("literal").alias("kind"), "key", F.lit(None).cast("long").alias("id"), "text"))
+    stored = textcache.SortedCache(spark, ingest.shared_folder(spark))
+    stored.write(cache, CACHE_FILES)
+    wanted = orders.select("o_orderkey", (F.col("o_custkey") + 2_000_000_000).alias("id"), F.concat(F.lit("Q"), F.col("o_custkey").cast("string")).alias("uri"), F.col("o_orderpriority").alias("key"))
+    asked = wanted.select(F.lit("uri").alias("kind"), F.col("uri").alias("key")).unionByName(wanted.select(F.lit("literal").alias("kind"), "key"))
+    return textcache.lookup(wanted, stored.of(asked), "unknown").select("o_orderkey", "id", "text")
+
+
+QUERIES: dict[str, base.Query] = {"registry_cells": registry_cells, "stored_predictions": stored_predictions, "filtered_view": filtered_view, "cache_lookup": cache_lookup}

@@ -14,7 +14,7 @@ SOME = (
     "coverage_focus", "sampling_report", "baseline_majority_family", "fidelity_micro", "policy_labels", "slot_topk", "graph_edges", "registry_build",
     "token_frequency", "parse_corrections", "uri_normalise", "cache_merge", "candidates", "fix_probability",
     "policy_filter", "corpus_build", "factor_wiring_both", "label_fanout", "primary_support", "capped_lines", "resumed_shards", "dense_graph", "node_vectors",
-    "registry_cells", "stored_predictions", "filtered_view",
+    "registry_cells", "stored_predictions", "filtered_view", "cache_lookup",
 )
 
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from graphmend.operators import textcache
 from graphmend.operators.idset import IdSet
 from graphmend.sources import cells, ingest, tables
 
@@ -91,3 +92,20 @@ def test_broken_predictions_stop_the_read(spark, tmp_path, text):
     (tmp_path / "p.json").write_text(text + "\n")
     with pytest.raises(Exception, match="six ids"):
         tables.ordered_predictions(spark, str(tmp_path / "p.json")).collect()
+
+
+def test_a_stored_cache_reads_the_files_of_its_keys(spark, tmp_path):
+    n = F.col("id")
+    rows = spark.range(2000).select(F.lit("uri").alias("kind"), F.format_string("Q%05d", n).alias("key"), n.alias("id"), n.cast("string").alias("text"))
+    hot = spark.range(1000).select(F.lit("literal").alias("kind"), F.lit("hot").alias("key"), n.alias("id"), n.cast("string").alias("text"))
+    cache = textcache.SortedCache(spark, str(tmp_path / "c"))
+    cache.write(rows.unionByName(hot), 12)
+    keys = lambda *pairs: spark.createDataFrame(list(pairs), "kind string, key string")
+    assert len(cache.files_of(keys(("uri", "Q00700"), ("uri", "Q00701"), ("uri", "Q00700")))) <= 2
+    assert cache.of(keys(("uri", "Q00700"), ("uri", "Q01999"))).where("key in ('Q00700', 'Q01999')").count() == 2
+    assert cache.of(keys(("literal", "hot"))).where("key = 'hot'").count() == 1000 and 1 < len(cache.files_of(keys(("literal", "hot")))) < 12
+    assert cache.files_of(keys(("a", "a"), ("zz", "z"), ("uri", None), (None, "x"))) == [] and cache.of(keys(("zz", "z"))).count() == 0
+    plan = cache.of(keys(("uri", "Q00000")))._jdf.queryExecution().toString()
+    assert plan.count("part-") <= 2 or "1 paths" in plan
+    with pytest.raises(ValueError):
+        cache.write(rows, textcache.MOST_FILES + 1)
