@@ -182,6 +182,14 @@ def test_plain_texts_stay():
         assert op5_pii.find_spans(text) == [] and op5_pii.redacted(text) == text
 
 
+@pytest.mark.parametrize("odd", "\u0130\u0131\u017f\u212a")
+def test_letters_that_match_ascii_ones_without_case(odd):
+    for word in ("six", "five"):
+        for letter in "isk":
+            text = f"a@b.co, one two three and {word.replace(letter, odd)} one two three"
+            assert [s[:3] for s in op5_pii.find_spans(text) if s[3]] == slow_base(text) == [(0, 0, 6)]
+
+
 def test_personal_data_frames(spark):
     rows = [(1, "mail a@b.org", "s"), (2, None, "s"), (3, "", None), (None, "x " * 50000 + "a at b dot net", "s")]
     out = {r.carried.doc_id: r.spans for r in op5_pii.personal_data(frame(spark, rows)).collect()}
