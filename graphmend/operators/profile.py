@@ -99,7 +99,9 @@ def family_occurrences(found: DataFrame) -> DataFrame:
 
 
 def missing_ids(found: DataFrame) -> DataFrame:
-    return found.where("not in_registry").groupBy("constraint_id").agg(F.count("*").alias("occurrences"), count_if(F.col("is_primary")).alias("as_primary"))
+    """Over labels, or (constraint_id, is_primary) of those outside the registry alone."""
+    gone = found.where("not in_registry") if "in_registry" in found.columns else found
+    return gone.groupBy("constraint_id").agg(F.count("*").alias("occurrences"), count_if(F.col("is_primary")).alias("as_primary"))
 
 
 def support_histogram(found: DataFrame) -> DataFrame:
@@ -109,3 +111,39 @@ def support_histogram(found: DataFrame) -> DataFrame:
     )
     each = rows.select(F.explode(F.create_map(*(x for c in ("total", "supported", "unsupported") for x in (F.lit(c), F.col(c))))).alias("kind", "factors"))
     return each.groupBy("kind", "factors").agg(F.count("*").alias("records"))
+
+
+def tallied_occurrences(found: DataFrame) -> DataFrame:
+    """``family_occurrences`` over tallies: few rows are left before the share of all attached is taken."""
+    rows = found.groupBy("family", "supported", "in_registry").agg(F.sum("n").alias("occurrences"), F.count("*").alias("records"))
+    rows = rows.withColumn("all", F.sum("occurrences").over(Window.partitionBy(F.lit(1)))).where("in_registry")
+    return rows.select("family", "supported", "occurrences", "records", rate(F.col("occurrences"), F.col("all")).alias("share"))
+
+
+def counted_histogram(counts: DataFrame) -> DataFrame:
+    """``support_histogram`` over support counts."""
+    told = F.create_map(*(x for c in ("total", "supported", "unsupported") for x in (F.lit(c), F.col(c))))
+    each = counts.select(F.explode(F.when(F.col("total") > 0, told)).alias("kind", "factors"))
+    return each.groupBy("kind", "factors").agg(F.count("*").alias("records"))
+
+
+def counted_support_by_split(counts: DataFrame) -> DataFrame:
+    """``support_by_split`` over support counts."""
+    c, p = F.col, F.col("primaries") > 0
+    sums = counts.groupBy("split").agg(
+        count_if(c("total") > 0).alias("records"), F.sum("total").alias("factors"), F.sum("supported").alias("supported"), F.sum("unsupported").alias("unsupported"),
+        F.sum("missing").alias("missing"), count_if(c("supported") > 0).alias("with_supported"), count_if((c("supported") == 0) & (c("total") > 0)).alias("without_supported"),
+        count_if((c("supported") == 0) & (c("unsupported") > 0)).alias("only_unsupported"), count_if(p & c("own_supported")).alias("primary_supported"),
+        count_if(p & ~c("own_in_registry")).alias("primary_missing"), count_if(p & c("own_supported") & (c("family") != c("constraint_type"))).alias("primary_family_mismatch"),
+    )
+    return sums.where("records > 0").withColumns({"supported_rate": rate(F.col("supported"), F.col("factors")), "with_supported_rate": rate(F.col("with_supported"), F.col("records"))})
+
+
+def counted_primary_support(counts: DataFrame) -> DataFrame:
+    """``primary_support`` over support counts."""
+    rows = counts.where("primaries > 0").select("constraint_type", F.coalesce("family", F.lit("missing_registry")).alias("family"), F.col("own_supported").alias("supported"), "primaries")
+    sums = rows.groupingSets(
+        [[F.col("constraint_type"), F.col("supported")], [F.col("constraint_type"), F.col("family"), F.col("supported")]],
+        F.col("constraint_type"), F.col("family"), F.col("supported"),
+    ).agg(F.sum("primaries").alias("factors"), F.grouping("family").alias("whole"))
+    return sums.select("constraint_type", F.when(F.col("whole") == 1, "all").otherwise(F.col("family")).alias("family"), "supported", "factors")

@@ -127,6 +127,23 @@ class Catalog:
         """The instance's struct; null for -1."""
         return F.get(F.from_json(F.lit(self.entries), ENTRIES), number)
 
+    def kinds(self) -> list[tuple[str, bool]]:
+        """(family, supported) of the entries, without repeats, those with a checker first."""
+        return list(dict.fromkeys((e["family"], e["supported"]) for e in json.loads(self.entries)))
+
+    def kind(self, constraint: Column) -> Column:
+        """The place among ``kinds`` of a constraint's entry; -1 outside the registry."""
+        places = {k: i for i, k in enumerate(self.kinds())}
+        held = [places[e["family"], e["supported"]] for e in json.loads(self.entries)]
+        of = F.from_json(F.lit(json.dumps([None if n is None else held[n] for n in json.loads(self.numbers)])), "array<int>")
+        return F.coalesce(F.when(constraint >= self.low, F.get(of, (constraint - self.low).cast("int"))), F.lit(-1))
+
+    def told(self, kind: Column) -> tuple[Column, Column, Column]:
+        """The family (null outside the registry), ``supported`` and ``in_registry`` of a kind."""
+        families, supported = [f for f, _ in self.kinds()], sum(s for _, s in self.kinds())
+        family = F.when(kind >= 0, F.get(F.from_json(F.lit(json.dumps(families)), "array<string>"), kind))
+        return family.alias("family"), kind.between(0, supported - 1).alias("supported"), (kind >= 0).alias("in_registry")
+
     def entry_sql(self, number: str) -> str:
         return f"get(from_json('{self.entries}', '{ENTRIES}'), {number})"
 
@@ -151,7 +168,10 @@ def with_closures(records: DataFrame, definitions: DataFrame, most: int = INDEX_
     else:
         found = keyed.join(_regrouped(keyed, property_index(definitions)), "violation_id", "left")
     none = F.array().cast("array<bigint>")
-    closed = lambda c: F.array_sort(F.array_distinct(F.concat(F.coalesce(F.col(c), none), F.array("constraint_id"))))
+    # Sorted without a comparator that is interpreted for each pair; a null own id stays, at the end.
+    own = F.array_compact(F.array("constraint_id"))
+    known_ids = lambda c: F.sort_array(F.array_distinct(F.concat(F.coalesce(F.col(c), none), own)))
+    closed = lambda c: F.concat(known_ids(c), F.when(F.col("constraint_id").isNull(), F.array("constraint_id")).otherwise(none))
     return found.select(*records.columns, closed("local").alias("local_constraint_ids"), closed("focus").alias("local_constraint_ids_focus"))
 
 

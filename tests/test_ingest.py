@@ -1,11 +1,13 @@
 """Numbered lines, restartable shards, dense graphs, cached vectors, degeneracy levels."""
 
 import gzip
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from graphmend.operators import dense, evaluate, labels, vectors
+import __spark_entry__
+from graphmend.operators import dense, evaluate, labels, profile, vectors
 from graphmend.operators.baselines import SLOTS
 from graphmend.operators.registry import Catalog
 from graphmend.sources import ingest
@@ -112,3 +114,27 @@ def test_degeneracy_levels_list_examples(spark):
     assert set(got) == {("all", "all"), ("1", "all"), ("2_4", "all"), ("all", "single")}
     assert got["all", "all"].exact == 0.2 and got["all", "all"].examples == [2, 3] and got["2_4", "all"].examples == [4, 5]
     assert (got["1", "all"].model_focus_deleted, got["1", "all"].focus_focus_deleted) == (1 / 3, 1.0)
+
+
+def test_attached_constraints_counted_in_the_row_agree_with_labels(spark):
+    one = known(spark, (1, "single", 101, None, None), (2, "unsupported:Q", 101, None, None), (3, "type", 101, "P2308", 9), (4, "unsupported:Q", 102, None, None), (5, "single", 102, None, None))
+    held = ([1, 2, 3, 4, 5, 77, 78], [2, 2, 4], [77], [], [1, 5])
+    rows = records(spark, *(dict(violation_id=i, split="train" if i % 2 else "test", constraint_id=own, local_constraint_ids=ids) for i, (ids, own) in enumerate(zip(held, (1, 2, 77, 1, 9), strict=True))))
+    labelled = labels.factors(rows, one)
+    told = lambda df: sorted(repr(sorted(r.asDict().items())) for r in df.collect())
+    for k in (Catalog.of(one), Catalog.of(one, most=0)):
+        tallied, counted = labels.tallies(rows, k), labels.support_counts(rows, k)
+        for mine, theirs in (
+            (labels.tallied_filter_stats(tallied), labels.filter_stats(labelled)), (labels.tallied_filter_families(tallied), labels.filter_families(labelled)),
+            (profile.tallied_occurrences(tallied), profile.family_occurrences(labelled)), (profile.counted_histogram(counted), profile.support_histogram(labelled)),
+            (profile.counted_support_by_split(counted), profile.support_by_split(labelled)), (profile.counted_primary_support(counted), profile.primary_support(labelled)),
+            (profile.missing_ids(labels.missing_ids(rows, k)), profile.missing_ids(labelled)),
+            (labels.primary_places(rows), labelled.where("is_primary").select("violation_id", "position")),
+        ):
+            assert told(mine) == told(theirs) and mine.columns == theirs.columns
+
+
+@pytest.mark.parametrize("name", ["family_occurrences"])
+def test_counts_of_attached_constraints_judge_nothing_and_regroup_no_record(spark, name):
+    plan = __spark_entry__.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "checkable_pre" not in plan and not re.search(r"hashpartitioning\([^)]*violation_id", plan)
