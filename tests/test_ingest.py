@@ -134,7 +134,7 @@ def test_attached_constraints_counted_in_the_row_agree_with_labels(spark):
             assert told(mine) == told(theirs) and mine.columns == theirs.columns
 
 
-@pytest.mark.parametrize("name", ["family_occurrences", "filter_stats", "missing_registry_ids", "support_histogram", "filter_families", "primary_factor_index", "primary_support"])
+@pytest.mark.parametrize("name", ["family_occurrences", "filter_stats", "missing_registry_ids", "support_histogram", "filter_families", "primary_factor_index", "primary_support", "support_by_split"])
 def test_counts_of_attached_constraints_judge_nothing_and_regroup_no_record(spark, name):
     plan = __spark_entry__.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "checkable_pre" not in plan and not re.search(r"hashpartitioning\([^)]*violation_id", plan)
