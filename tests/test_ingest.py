@@ -175,3 +175,8 @@ def test_flags_agree_with_joined_entries(spark, closed):
     assert whole.checked()
     both = [labels.factors(rows, k, closed=closed) for k in (whole, whole.instances)]
     assert both[0].exceptAll(both[1].select(*both[0].columns)).count() == 0 and both[1].select(*both[0].columns).exceptAll(both[0]).count() == 0
+
+
+def test_density_is_carried_in_the_record(spark):
+    plan = __spark_entry__.QUERIES["density_slices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*(violation_id|o_orderkey)", plan) and "Join [violation_id" not in plan
