@@ -194,3 +194,17 @@ def test_held_factors_agree_with_joined_ones(spark):
     whole = Catalog.of(one)
     told = [sorted(map(repr, dense.numbered(r).collect())) for r in (dense.held_factors(rows, whole, params), dense.held_factors(rows, whole, params, most=0), dense.held_factors(rows, Catalog.of(one, most=0), params))]
     assert told[0] == told[1] == told[2] and len(told[0]) == 4
+
+
+def test_shards_are_written_without_a_sort_and_leave_the_session_as_it_was(spark, tmp_path, monkeypatch):
+    asked, put = [], spark.conf.set
+    monkeypatch.setattr(spark.conf, "set", lambda k, v: (asked.append((k, int(v))), put(k, v)))
+    before = spark.conf.get(ingest.OPEN_WRITERS)
+    rows = spark.range(100).select("id", F.lit("train").alias("split"), (F.col("id") % 2).cast("int").alias("shard"))
+    for most, open_at_once in ((2, 2), (1, 0)):
+        asked.clear()
+        monkeypatch.setattr(ingest, "MOST_WRITERS", most)
+        made = ingest.Shards(spark, f"{tmp_path}/t{most}", 2, ("train",))
+        made.write(rows, F.lit(True))
+        assert asked[0] == (ingest.OPEN_WRITERS, open_at_once) and spark.conf.get(ingest.OPEN_WRITERS) == before
+        assert sorted(r.id for r in made.rows().collect()) == list(range(100))
