@@ -1,8 +1,9 @@
 """The filtered-id view: kept ids as a set of bitmaps, tested and renumbered in the row.
 
 Kept ids get contiguous numbers from 1 in their own order; 0 stays 0 and every other id becomes the number of the unknown
-token. A bitmap holds 32,768 ids in 4 KB. Sets within ``MOST`` bitmaps and ``PLACES`` places go to every task as one row, and
-whole records are renumbered without unfolding a list or moving a row. Larger sets meet their ids by salted joins.
+token. A bitmap holds 32,768 ids in 4 KB. Sets within ``MOST`` bitmaps and ``PLACES`` places go to every task once, and whole
+records are renumbered by batches without unfolding a list or moving a row: the set is never part of a row, so the cost of a
+record doesn't grow with it. Larger sets meet their ids by salted joins.
 
 Results for odd input: null ids and ids below 1 are 0 (a set holds none of them); a null list is null; an empty set holds the
 unknown token alone.
@@ -10,10 +11,15 @@ unknown token alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from graphmend.sources.violations import UNKNOWN
 
@@ -21,6 +27,46 @@ from graphmend.sources.violations import UNKNOWN
 MOST, PLACES = 4096, 1 << 20
 #: Copies of a bitmap that a hot one's ids are spread over in the joins of a larger set.
 SALTS = 32
+#: Ids and bytes of a bitmap.
+IDS, BYTES = 32768, 4096
+_ONES = np.array([i.bit_count() for i in range(256)], dtype=np.int64)
+
+
+class Places:
+    """A small set in a task: where each bitmap stands by its distance from the lowest, and the ids before each of its bytes."""
+
+    def __init__(self, low: int, buckets: list[int], bits: list[bytes], before: list[int]) -> None:
+        self.low, self.before = low, np.array(before, dtype=np.int64)
+        self.at = np.full(max(buckets) - low + 1, -1, dtype=np.int32)
+        self.at[np.array(buckets) - low] = np.arange(len(buckets), dtype=np.int32)
+        self.bits = np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), BYTES)
+        ones = _ONES[self.bits].cumsum(axis=1)
+        self.ahead = np.concatenate([np.zeros((len(bits), 1), dtype=np.int64), ones[:, :-1]], axis=1).astype(np.uint16)
+
+    def numbers(self, ids: np.ndarray) -> np.ndarray:
+        """Each id's number in the set; 0 for ids below 1, the unknown token's number for others outside."""
+        found = np.where(ids > 0, self._within(np.array([UNKNOWN]))[0], 0)
+        near = np.flatnonzero((ids > 0) & ((ids - 1) // IDS + 1 >= self.low) & ((ids - 1) // IDS + 1 < self.low + len(self.at)))
+        held = self._within(ids[near])
+        found[near] = np.where(held > 0, held, found[near])
+        return found
+
+    def _within(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers of ids between the lowest and the highest bitmap; 0 outside the set."""
+        at = self.at[(ids - 1) // IDS + 1 - self.low]
+        place = (ids - 1) % IDS
+        byte, bit = place >> 3, place & 7
+        own = self.bits[at, byte].astype(np.int64)
+        number = self.before[at] + self.ahead[at, byte] + _ONES[own & ((2 << bit) - 1)]
+        return np.where((at >= 0) & ((own >> bit) & 1 == 1), number, 0)
+
+    def column(self, values: pa.Array) -> pa.Array:
+        """An array of ids, or of lists of ids, renumbered."""
+        if pa.types.is_list(values.type):
+            sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), self.column(values.flatten()), mask=values.is_null())
+        return pa.array(self.numbers(pc.fill_null(values, 0).to_numpy(zero_copy_only=False)))
 
 
 @dataclass(frozen=True)
@@ -65,13 +111,20 @@ class IdSet:
         return _number(at["bits"], at["before"], F.bitmap_bit_position(value))
 
     def renumbered(self, records: DataFrame, scalars: list[str], lists: list[str]) -> DataFrame:
-        """The records with the named columns renumbered: in the row for small sets, otherwise by joins."""
+        """The records with the named columns renumbered: where they stand for small sets, otherwise by joins."""
         if not self.small:
             return self._joined(records, scalars, lists)
-        one = lambda v: F.when(F.coalesce(v, F.lit(0)) < 1, F.lit(0).cast("long")).otherwise(F.coalesce(self.number(v), F.col("unknown")))
-        rows = records.crossJoin(F.broadcast(self.row()))  # one row
-        new = {c: one(F.col(c).cast("long")) for c in scalars} | {c: F.transform(c, one) for c in lists}
-        return rows.select(*(new[c].alias(c) if c in new else c for c in records.columns))
+        new = {c: LongType() for c in scalars} | {c: ArrayType(LongType()) for c in lists}
+        rows = records.select(*(F.col(c).cast(new[c]).alias(c) if c in new else c for c in records.columns))
+        made = self.buckets.orderBy("bucket").collect()  # MOST at most
+        sent = rows.sparkSession.sparkContext.broadcast((self.low, [r.bucket for r in made], [bytes(r.bits) for r in made], [r.before for r in made]))
+
+        def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = Places(*sent.value)
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([places.column(b.column(c)) if c in new else b.column(c) for c in b.schema.names], names=b.schema.names)
+
+        return rows.mapInArrow(renumber, StructType([StructField(f.name, new.get(f.name, f.dataType)) for f in rows.schema.fields]))
 
     def _joined(self, records: DataFrame, scalars: list[str], lists: list[str]) -> DataFrame:
         """By salted joins on the bitmap's number; a record's lists meet again by its id."""

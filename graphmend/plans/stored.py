@@ -99,7 +99,7 @@ def filtered_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = [c for c in LISTS if c in records.columns]
     rows = kept_set(spark, sf_dir).renumbered(records, list(SCALARS), lists)
     fields = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), (F.col(c) if c in lists else F.array(c)).alias("values")) for c in (*SCALARS, *lists)))).alias("x")
-    rows = rows.select("violation_id", fields).select("violation_id", "x.field", F.filter("x.values", lambda v: v != 0).alias("values")).where("size(values) > 0")
+    rows = rows.select("violation_id", fields).select("violation_id", "x.field", F.array_remove("x.values", 0).alias("values")).where("size(values) > 0")
     return rows.select("violation_id", "field", F.size("values").cast("long").alias("n"), F.md5(base.told("values").cast("binary")).alias("values_md5"))
 
 

@@ -109,3 +109,10 @@ def test_a_stored_cache_reads_the_files_of_its_keys(spark, tmp_path):
     assert plan.count("part-") <= 2 or "1 paths" in plan
     with pytest.raises(ValueError):
         cache.write(rows, textcache.MOST_FILES + 1)
+
+
+def test_the_view_carries_no_set_in_its_rows(spark, tmp_path):
+    ids = IdSet.of(spark.createDataFrame([(i,) for i in (3, 40000, 3_000_000_000)], "id long"), "id", str(tmp_path / "s"))
+    assert ids.small
+    view = ids.renumbered(spark.createDataFrame([(1, 3, [40000, 3_000_000_000, 2_999_999_999])], "violation_id long, a long, b array<long>"), ["a"], ["b"])
+    assert "NestedLoopJoin" not in view._jdf.queryExecution().toString() and list(view.first()) == [1, 1, [3, 4, 2]]
