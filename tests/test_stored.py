@@ -116,3 +116,16 @@ def test_the_view_carries_no_set_in_its_rows(spark, tmp_path):
     assert ids.small
     view = ids.renumbered(spark.createDataFrame([(1, 3, [40000, 3_000_000_000, 2_999_999_999])], "violation_id long, a long, b array<long>"), ["a"], ["b"])
     assert "NestedLoopJoin" not in view._jdf.queryExecution().toString() and list(view.first()) == [1, 1, [3, 4, 2]]
+
+
+def test_fields_of_frequent_tokens_are_remapped_in_place(spark, monkeypatch):
+    from graphmend.operators import vocabulary
+
+    big = 3_000_000_000
+    table = spark.createDataFrame([(1, 9, [big, 0, 9, None, 70]), (2, 0, [9, 9]), (3, None, None), (4, big + 1, [])], "violation_id long, subject long, subject_objects array<long>")
+    ids = spark.createDataFrame([(9, 11, 4), (70, None, 1), (big, 12, 1), (big + 1, 13, 1)], "token long, new_id long, n long")
+    wanted = {(1, "subject"): [11], (1, "subject_objects"): [12, 11, 8], (2, "subject_objects"): [11, 11], (4, "subject"): [13]}
+    for most in (vocabulary.OFTEN, 2, 1):
+        monkeypatch.setattr(vocabulary, "OFTEN", most)
+        assert {(r.violation_id, r.field): r["values"] for r in vocabulary.remapped(table, ids).collect()} == wanted
+    assert {tuple(r) for r in vocabulary.counts(table, F.col("violation_id") == 1).collect()} == {(9, 2, 4), (70, 1, 1), (big, 1, 1), (big + 1, 0, 1)}
