@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphmend.operators import evaluate, graph, patterns, registry, reports, textcache, vocabulary
+from graphmend.operators import candidates, evaluate, graph, patterns, registry, reports, textcache, vocabulary
 from graphmend.operators.registry import instances
 from graphmend.plans import queries
 from graphmend.sources import cells, corrections, tables
@@ -139,3 +139,13 @@ def test_factors_are_wired_in_the_row(spark):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("Join") <= plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin") + plan.count("Cartesian") and "SortMergeJoin" not in plan
         assert plan.count("o_orderkey#") > 0 and "instances" not in plan and plan.count("HashAggregate") <= 4
+
+
+def test_candidate_sets_are_made_in_the_row_as_from_tables(spark):
+    made = queries.candidate_sets(spark, SF)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(violation_id" not in plan and "Window" not in plan
+    records = patterns.with_patterns(violations(spark, SF).where("violation_id < 9"), instances(definitions(spark)))
+    rows = candidates.candidate_sets(records, candidates.triple_topk(candidates.slot_topk(candidates.slot_scores(records))))
+    some = [sorted(map(repr, x.collect())) for x in (made.where("violation_id < 9"), rows)]
+    assert some[0] == some[1] and some[0]
