@@ -32,3 +32,22 @@ def test_masks_give_the_sums_of_verdicts(spark):
 
 def test_degeneracy_report_moves_no_records(spark):
     assert not moved(reports.degeneracy_report(spark, SF))
+
+
+FIGURES = "violation_id long, constraint_type string, idx int, score double, post_fraction double, ops long, srr double, primary_satisfied long, regressions long, non_vacuous_safe boolean"
+
+
+def test_choices_as_candidates_pass(spark):
+    """Records longer than a batch, ties, and records without a non-vacuous candidate."""
+    rows = spark.range(0, 700, 1, 3).selectExpr("id as violation_id", "explode(sequence(0, cast(if(id = 5, 25000, id % 9) as int))) as idx")
+    rows = rows.selectExpr(
+        "violation_id", "concat('t', violation_id % 3) as constraint_type", "idx", "(violation_id * 7 + idx * 5) % 4 / 4.0D as score", "(violation_id + idx) % 3 / 3.0D as post_fraction",
+        "idx % 2L as ops", "(violation_id + idx * 3) % 2 / 2.0D as srr", "(violation_id + idx div 3) % 2 as primary_satisfied", "(violation_id * idx) % 2 as regressions", "violation_id % 5 > 1 and (violation_id + idx) % 4 = 0 as non_vacuous_safe",
+    )
+    assert dict(rows.dtypes) == dict(x.split(" ") for x in FIGURES.replace("long", "bigint").split(", "))
+    made = evaluate.adjoining_choices(rows, ("ops", "non_vacuous_safe"))
+    assert told(made) == told(evaluate.choices(rows, ("ops", "non_vacuous_safe"))) and made.count() == 700
+
+
+def test_best_candidates_move_no_records(spark):
+    assert not moved(queries.best_candidates(spark, SF))
