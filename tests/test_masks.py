@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphmend.operators import evaluate
+from graphmend.operators import evaluate, graph
 from graphmend.operators.registry import instances
 from graphmend.plans import queries, reports
 from graphmend.sources.violations import catalog, definitions, violations
@@ -51,3 +51,15 @@ def test_choices_as_candidates_pass(spark):
 
 def test_best_candidates_move_no_records(spark):
     assert not moved(queries.best_candidates(spark, SF))
+
+
+def test_targets_are_counted_in_the_row(spark):
+    records, known = violations(spark, SF).where("violation_id < 120"), catalog(spark)
+    factors = graph.factor_nodes(records, instances(definitions(spark)))
+    overlap = reports.variant_overlap(graph.wiring(factors, graph.triples(records)))
+    made = graph.held_variants(records, known)
+    some = made.where("targets > 0").select(*overlap.columns)
+    assert told(some) == told(overlap) and made.where("variant = 'none'").count() == 120
+    sizes = factors.groupBy("violation_id").agg(F.count("*").alias("factors"))
+    assert told(made.where("variant = 'none'").select("violation_id", "factors")) == told(sizes)
+    assert not moved(reports.density_summary(spark, SF))
