@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphmend.operators import evaluate, graph
+from graphmend.operators import evaluate, graph, labels
 from graphmend.operators.registry import instances
 from graphmend.plans import queries, reports
 from graphmend.sources.violations import catalog, definitions, violations
@@ -63,3 +63,14 @@ def test_targets_are_counted_in_the_row(spark):
     sizes = factors.groupBy("violation_id").agg(F.count("*").alias("factors"))
     assert told(made.where("variant = 'none'").select("violation_id", "factors")) == told(sizes)
     assert not moved(reports.density_summary(spark, SF))
+
+
+def test_label_arrays_are_made_in_the_row(spark):
+    records, known = violations(spark, SF).where("violation_id < 60"), catalog(spark)
+    ids = F.when(F.col("violation_id") % 4 == 0, F.concat("local_constraint_ids", F.slice("local_constraint_ids", 1, 3), F.array(F.lit(7).cast("long")))).when(F.col("violation_id") % 7 == 0, F.array().cast("array<bigint>"))
+    records = records.withColumn("local_constraint_ids", F.coalesce(ids, F.col("local_constraint_ids")))
+    found, made = labels.factors(records, known), labels.held_arrays(records, known)
+    arrays = labels.factor_arrays(found)
+    names = ["violation_id", *(c for c in arrays.columns if c.startswith("factor_"))]
+    assert told(made.where("factor_types is not null").select(*names)) == told(arrays.select(*names))
+    assert told(labels.held_invariants(made)) == told(labels.invariants(found)) and not moved(queries.label_invariants(spark, SF))
