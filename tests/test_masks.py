@@ -74,3 +74,10 @@ def test_label_arrays_are_made_in_the_row(spark):
     names = ["violation_id", *(c for c in arrays.columns if c.startswith("factor_"))]
     assert told(made.where("factor_types is not null").select(*names)) == told(arrays.select(*names))
     assert told(labels.held_invariants(made)) == told(labels.invariants(found)) and not moved(queries.label_invariants(spark, SF))
+
+
+def test_alignment_moves_no_records_and_sees_odd_ones(spark):
+    assert not moved(reports.label_alignment(spark, SF))
+    made = labels.held_arrays(violations(spark, SF).where("violation_id < 40"), catalog(spark))
+    odd = made.withColumn("local_constraint_ids", F.when(F.col("violation_id") < 3, F.reverse("local_constraint_ids")).when(F.col("violation_id") < 5, F.array(F.lit(1).cast("long"))).otherwise(F.col("local_constraint_ids")))
+    assert graph.held_alignment(made).first()[:] == (40, 0, 0) and graph.held_alignment(odd).first()[:] == (40, 2, 5)
